@@ -6,8 +6,8 @@ smallest hashes are the sketch; inverted lists of retained values generate overl
 with too few values in lists of two or more cannot have a link and leaves. The rest ("suspects")
 are paired with the first member of each of their lists, estimated from the sketch of the union,
 verified exactly on full sets, and contracted to components. Then every pair that shares a list and
-still lies in two components is looked at: lists of up to COLD members by all pairs, longer ones for
-those whose sketch is mostly in such lists, by list and size class. No list is capped or dropped and
+still lies in two components is looked at: lists of up to COLD members by all pairs; those whose sketch
+is mostly in longer lists by the rarest shingles of their full sets. No list is capped or dropped and
 copies are never expanded into pairs.
 
 Edge cases: null text counts as empty; a null doc_id gets component null and is kept; rows that share a
@@ -17,11 +17,10 @@ doc_id are one node; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.llm.components import connected_components
@@ -32,7 +31,7 @@ WIDTH = 5
 SKETCH = 32
 #: A link shares at least 0.75 of the union's sketch in expectation; fewer shared values than this has a chance under 1e-8.
 LEAST_SHARED = 8
-#: Lists with more members are searched by size class instead of by all pairs.
+#: Lists with more members are searched by rare prefixes instead of by all pairs.
 COLD = 32
 #: A link leaves a quarter of the union's sketch unshared in expectation: a sketch with more than this many of its
 #: 32 values outside long lists shares one of those with every link (chance of a miss under 1e-6).
@@ -134,17 +133,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75) -> D
     apart = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _sizes_allow(F.col("na"), F.col("nb"), percent)
     cold = left.join(right, "v").where(apart).select("a", "b")
 
-    # Longer lists: the largest component of each list is compared with what lies outside it, in classes of like size.
-    step = -math.log(percent / 100)
-    warm = spread.where(F.col("df") > COLD).join(hot_count, "rep").where((F.size("sketch") - F.col("hot") <= COLD_ENOUGH) | (F.col("n") < SKETCH)).withColumn("size", F.floor(F.log(F.col("n")) / step).cast("int"))
-    in_list = warm.groupBy("v", "component").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    warm = warm.join(in_list, "v")
-    outside = warm.where("component <> main").select("v", "size", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    near = warm.withColumn("size", F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)]))).select("v", "size", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("main"), F.col("sketch").alias("sb"))
-    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-    likely = F.size(F.array_intersect("sa", "sb")) >= F.least(F.lit(LEAST_SHARED), F.ceil(F.least("na", "nb") * (percent / 100)))
-    hot = outside.join(near, ["v", "size"]).where((F.col("ca") != F.col("cb")) & once & _sizes_allow(F.col("na"), F.col("nb"), percent) & likely)
-    hot = hot.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hot = _rare_prefix_pairs(spread, hot_count, full, percent)
     second = _verified(cold.unionByName(hot).distinct(), full, percent)
     links = stored(first.unionByName(second), "links")
     final = connected_components(links, "a", "b")
@@ -155,6 +144,29 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75) -> D
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _rare_prefix_pairs(spread: DataFrame, hot_count: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components among those whose sketches are mostly in long lists, by the prefixes of their full sets.
+
+    All their shingles are ordered rarest first (ties by value). Two sets of the similarity meet within their first
+    n - overlap + 1 shingles, so that what a large group shares comes last and brings nobody together. No pair is missed.
+    """
+    warm = spread.where(F.col("df") > COLD).join(hot_count, "rep").where((F.size("sketch") - F.col("hot") <= COLD_ENOUGH) | (F.col("n") < SKETCH)).select("rep", "component").distinct()
+    shingles = stored(full.join(warm, "rep").select("rep", "n", "component", F.explode("members").alias("v")), "shingles")
+    counts = shingles.groupBy("v").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
+    own = Window.partitionBy("rep")
+    shared = shingles.join(counts, "v").withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("i", F.col("alone") + F.row_number().over(own.orderBy("df", "v")))
+    prefix = stored(shared.where((F.col("lo") != F.col("hi")) & ((F.col("n") - F.col("i") + 1) * 100 >= F.col("n") * percent)).select("v", "rep", "n", "i", "component"), "prefixes")
+    sizes = prefix.groupBy("v", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("v").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("v", "main")
+    listed = prefix.join(main, "v")
+    left = listed.where("component <> main").select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("component").alias("ca"))
+    right = listed.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("component").alias("cb"), "main")
+    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
+    enough = (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    met = left.join(right, "v").where((F.col("ca") != F.col("cb")) & once & enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; the union's sketch is looked at first."""
     small = full.select(F.col("rep"), "n", "sketch")
