@@ -61,8 +61,8 @@ def ranges(numbers: Column) -> Column:
 
     def add(acc: Column, n: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
-        one = F.array(F.struct(n.cast("long").alias("lo"), n.cast("long").alias("hi")))
-        grown = F.array(F.struct(last["lo"].alias("lo"), n.cast("long").alias("hi")))
+        island = lambda lo, hi: F.array(F.named_struct(F.lit("lo"), lo, F.lit("hi"), hi))
+        one, grown = island(n.cast("long"), n.cast("long")), island(last["lo"], n.cast("long"))
         return F.when(F.coalesce(last["hi"] == n - 1, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), grown)).otherwise(F.concat(acc, one))
 
     islands = F.aggregate(ordered, start, add)

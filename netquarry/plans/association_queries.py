@@ -126,11 +126,11 @@ def a05(spark, d):
 
 @query(
     "j05_keyword_exceptions",
-    f"{KEYWORD_RULES_SQL} SELECT word, acl, device, iface FROM counted JOIN iface_keywords k USING (word) WHERE 10 * n >= 3 * d AND NOT EXISTS (SELECT 1 FROM used u WHERE u.device = k.device AND u.iface = k.iface AND u.acl = counted.acl)",
+    f"{KEYWORD_RULES_SQL} SELECT word, acl, device, iface FROM counted JOIN iface_keywords k USING (word) WHERE 10 * n >= d AND NOT EXISTS (SELECT 1 FROM used u WHERE u.device = k.device AND u.iface = k.iface AND u.acl = counted.acl)",
 )
 def j05(spark, d):
     words, ifaces = B.iface_keywords(spark, d), B.interfaces(spark, d)
-    return A.keyword_exceptions(words, ifaces, A.keyword_rules(words, ifaces).where("10 * n >= 3 * d"))
+    return A.keyword_exceptions(words, ifaces, A.keyword_rules(words, ifaces).where("10 * n >= d"))
 
 
 @query("j06_keyword_stanzas", f"WITH {B.IFACE_KEYWORDS_SQL} SELECT word, count(*) AS owners, count(DISTINCT device) AS devices FROM iface_keywords GROUP BY word")

@@ -123,7 +123,8 @@ def part_edges(spark: SparkSession, d: str) -> DataFrame:
     """Graph of trunk interfaces, VLANs and the keywords of their names."""
     p = table(spark, d, "part")
     t = trunks(spark, d).select(F.concat(F.lit("interface:"), "iface").alias("src"), F.lit("interface").alias("src_type"), F.concat(F.lit("vlan:"), "vlan").alias("dst"), F.lit("vlan").alias("dst_type"), F.lit("allowed").alias("etype"))
-    k = p.select(F.concat(F.lit("vlan:"), "p_partkey"), F.lit("vlan"), F.concat(F.lit("keyword:"), F.explode(F.split("p_name", " "))), F.lit("keyword"), F.lit(None).cast("string"))
+    k = p.select("p_partkey", F.explode(F.split("p_name", " ")).alias("w"))
+    k = k.select(F.concat(F.lit("vlan:"), "p_partkey"), F.lit("vlan"), F.concat(F.lit("keyword:"), "w"), F.lit("keyword"), F.lit(None).cast("string"))
     return t.union(k).distinct()
 
 
