@@ -1 +1,174 @@
-"""Queries."""
+"""Contrast sets over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from netquarry.operators import contrast as C
+from netquarry.plans import bindings as B
+from netquarry.plans.registry import query
+
+FEATURES = ["priority", "kind", "flag", "status", "p_size"]
+BIN_SQL = """sized AS (SELECT p_size, ntile(3) OVER (ORDER BY p_size) AS t FROM (SELECT DISTINCT p_size FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem))),
+bins AS (SELECT p_size, '(' || min(p_size) OVER (PARTITION BY t) || ', ' || max(p_size) OVER (PARTITION BY t) || ')' AS label FROM sized)"""
+FRAME_SQL = f"WITH {B.FRAME_SQL}, {BIN_SQL}, binned AS (SELECT grp, priority, kind, flag, status, label AS p_size FROM frame JOIN bins USING (p_size))"
+ITEMS = {f: f"'{f}=>' || {f}" for f in FEATURES}
+LEARN_PARTS = [f"SELECT {ITEMS[f]} AS rule, grp, count(*) AS a, 1 AS size FROM binned GROUP BY ALL" for f in FEATURES]
+LEARN_PARTS += [f"SELECT {ITEMS[f]} || '|' || {ITEMS[g]}, grp, count(*), 2 FROM binned GROUP BY ALL" for i, f in enumerate(FEATURES) for g in FEATURES[i + 1 :]]
+LEARN_SQL = f"{FRAME_SQL}, learned AS ({' UNION ALL '.join(LEARN_PARTS)})"
+
+
+def _not_sql() -> str:
+    parts = []
+    for f in FEATURES:
+        parts.append(f"SELECT rule, grp, sum(CASE WHEN {f} <> v THEN n ELSE 0 END)::BIGINT AS c FROM (SELECT DISTINCT {ITEMS[f]} AS rule, {f} AS v FROM counted) r, counted GROUP BY rule, grp")
+    for i, f in enumerate(FEATURES):
+        for g in FEATURES[i + 1 :]:
+            parts.append(f"SELECT rule, grp, sum(CASE WHEN {f} <> v AND {g} <> w THEN n ELSE 0 END)::BIGINT FROM (SELECT DISTINCT {ITEMS[f]} || '|' || {ITEMS[g]} AS rule, {f} AS v, {g} AS w FROM counted) r, counted GROUP BY rule, grp")
+    return f"counted AS (SELECT grp, {', '.join(FEATURES)}, count(*) AS n FROM binned GROUP BY ALL), nots AS ({' UNION ALL '.join(parts)})"
+
+
+SCORE_SQL = f"""{LEARN_SQL}, {_not_sql()},
+four AS (SELECT n.rule AS rule, n.grp AS grp, coalesce(l.a, 0) AS a, n.c AS c FROM nots n LEFT JOIN learned l ON n.rule = l.rule AND n.grp = l.grp),
+tabled AS (SELECT *, sum(a) OVER (PARTITION BY rule) - a AS b, sum(c) OVER (PARTITION BY rule) - c AS d FROM four),
+scored AS (SELECT rule, grp, a / (a + b + c + d) AS support, a * (a + b + c + d) / ((a + b) * (a + c)) AS lift, greatest(a / (a + b), a / (a + c)) AS confidence, a / (a + b) AS precision, a / (a + c) AS recall, a::BIGINT AS frequency
+  FROM tabled WHERE abs(a - b) > 2 AND a > 10),
+passed AS (SELECT * FROM scored WHERE support > 0.001 AND lift > 0.9 AND confidence > 0.3)"""
+
+
+def counts(spark, d):
+    return C.item_counts(C.discretize(B.frame(spark, d), "p_size"), FEATURES, "grp")
+
+
+def scored(spark, d):
+    c = counts(spark, d)
+    learned = C.learn(c, FEATURES, 2)
+    return C.score(learned, C.not_rules(learned, c), 0.001, 10, 2, 0.9, 0.3)
+
+
+def _text(df):
+    return df.withColumn("rule", F.array_join("rule", "|"))
+
+
+@query("a09_discretize", f"{FRAME_SQL} SELECT grp, priority, kind, flag, status, p_size, count(*) AS count FROM binned GROUP BY ALL")
+def a09(spark, d):
+    return counts(spark, d)
+
+
+@query("a10_learn", f"{LEARN_SQL} SELECT rule, grp, a FROM learned")
+def a10(spark, d):
+    return _text(C.learn(counts(spark, d), FEATURES, 2))
+
+
+@query("a11_not_rules", f"{LEARN_SQL}, {_not_sql()} SELECT rule, grp, c FROM nots")
+def a11(spark, d):
+    c = counts(spark, d)
+    return _text(C.not_rules(C.learn(c, FEATURES, 2), c))
+
+
+@query("a12_score", f"{SCORE_SQL} SELECT rule, grp, round(support, 9) AS support, round(lift, 9) AS lift, round(confidence, 9) AS confidence, round(precision, 9) AS precision, round(recall, 9) AS recall, frequency FROM passed")
+def a12(spark, d):
+    s = _text(scored(spark, d))
+    return s.select("rule", "grp", *[F.round(c, 9).alias(c) for c in ("support", "lift", "confidence", "precision", "recall")], "frequency")
+
+
+@query("a14_chosen_rules", f"{SCORE_SQL} SELECT rule, grp, frequency FROM passed WHERE precision > 0.335 AND grp = 'F'")
+def a14(spark, d):
+    return _text(C.chosen_rules(scored(spark, d), 0.335, "F")).select("rule", "grp", "frequency")
+
+
+@query("o04_top_rules", f"{SCORE_SQL} SELECT rule, grp, frequency FROM passed ORDER BY precision DESC, frequency DESC, rule, grp LIMIT 9")
+def o04(spark, d):
+    return _text(C.top_rules(scored(spark, d))).select("rule", "grp", "frequency")
+
+
+@query("a32_threshold_collector", f"{SCORE_SQL} SELECT grp, count(*) AS rules, min(frequency) AS least FROM passed WHERE precision >= 0.33 GROUP BY grp")
+def a32(spark, d):
+    return scored(spark, d).where("precision >= 0.33").groupBy("grp").agg(F.count("*").alias("rules"), F.min("frequency").alias("least"))
+
+
+RULE_FRAME_SQL = """f AS (SELECT o_orderkey AS row_id, o_orderstatus AS grp, substr(o_orderpriority, 1, 1) AS priority, c_mktsegment AS segment, c_nationkey::VARCHAR AS nation FROM orders JOIN customer ON o_custkey = c_custkey),
+rules AS (SELECT row_number() OVER (ORDER BY segment, priority) AS rule_id, segment, priority, grp FROM (SELECT segment, priority, max(grp) AS grp FROM f WHERE nation = '3' GROUP BY ALL)),
+matched AS (SELECT rule_id, row_id, rules.grp AS grp, f.grp AS row_group FROM rules JOIN f USING (segment, priority))"""
+ROW_FEATURES = ["segment", "priority", "nation"]
+
+
+def rule_frame(spark, d):
+    o, c = B.table(spark, d, "orders"), B.table(spark, d, "customer")
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("grp"), F.substring("o_orderpriority", 1, 1).alias("priority"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"))
+
+
+def fixed_rules(frame):
+    from pyspark.sql import Window
+
+    base = frame.where("nation = '3'").groupBy("segment", "priority").agg(F.max("grp").alias("grp"))
+    ids = F.row_number().over(Window.orderBy("segment", "priority")).cast("long")
+    return base.select(ids.alias("rule_id"), F.array(C.item("segment"), C.item("priority")).alias("rule"), "grp")
+
+
+@query("a13_coverage", f"WITH {RULE_FRAME_SQL} SELECT rule_id, count(*) AS matched, count(*) FILTER (grp = row_group) AS covered FROM matched GROUP BY rule_id")
+def a13(spark, d):
+    f = rule_frame(spark, d)
+    return C.coverage(fixed_rules(f), f, ROW_FEATURES, "grp")
+
+
+@query("a13_uncovered_rows", f"WITH {RULE_FRAME_SQL} SELECT row_id FROM f WHERE row_id NOT IN (SELECT row_id FROM matched WHERE grp = row_group)")
+def a13_uncovered(spark, d):
+    f = rule_frame(spark, d)
+    return C.uncovered_rows(fixed_rules(f), f, ROW_FEATURES, "grp")
+
+
+@query("g15_violations", f"WITH {RULE_FRAME_SQL} SELECT row_id, rule_id FROM matched WHERE grp <> row_group")
+def g15(spark, d):
+    f = rule_frame(spark, d)
+    return C.violations(fixed_rules(f), f, ROW_FEATURES, "grp")
+
+
+@query("j16_p06_violation_rows", f"WITH {RULE_FRAME_SQL} SELECT row_id, segment, priority, nation, count(*) AS broken FROM matched JOIN f USING (row_id) WHERE matched.grp <> row_group GROUP BY ALL".replace("segment, priority, nation, count", "f.segment AS segment, f.priority AS priority, f.nation AS nation, count"))
+def j16(spark, d):
+    f = rule_frame(spark, d)
+    broken = C.violations(fixed_rules(f), f, ROW_FEATURES, "grp").groupBy("row_id").agg(F.count("*").alias("broken"))
+    return broken.join(f, "row_id").select("row_id", "segment", "priority", "nation", "broken")
+
+
+@query("g15_condense_violations")
+def g15_condense(spark, d):
+    f = rule_frame(spark, d)
+    rules = fixed_rules(f)
+    return C.condense_violations(C.violations(rules, f, ROW_FEATURES, "grp"), rules)
+
+
+@query("g13_g14_spanning_rules")
+def g13(spark, d):
+    f = rule_frame(spark, d)
+    rules = fixed_rules(f)
+    from netquarry.operators.graph import checkpointed
+
+    picked = C.spanning_rules(checkpointed(C.rule_rows(rules, C.long_items(f, ROW_FEATURES))), max_rules=10)
+    return spark.createDataFrame([(k, r) for k, r in enumerate(picked)], "place int, rule_id long")
+
+
+HOT = ["MACHINERY", "BUILDING", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE"]
+
+
+@query("a16_one_hot", "SELECT n_nationkey AS nation, " + ", ".join(f"coalesce(max(CASE WHEN c_mktsegment = '{x}' AND c_acctbal > 5000 THEN 1 END), 0) AS {x}" for x in HOT) + " FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_acctbal > 5000 GROUP BY n_nationkey")
+def a16(spark, d):
+    c = B.table(spark, d, "customer").where("c_acctbal > 5000")
+    return C.one_hot(c.select(F.col("c_nationkey").alias("nation"), "c_mktsegment"), "nation", "c_mktsegment", HOT)
+
+
+@query("a15_prune_columns", "SELECT c_custkey AS k, (c_acctbal > 0)::INT AS rich FROM customer")
+def a15(spark, d):
+    c = B.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") > 0).cast("int").alias("rich"), (F.col("c_custkey") < 0).cast("int").alias("never"), F.lit(1).alias("always"))
+    return C.prune_columns(c, ["rich", "never", "always"])
+
+
+@query("a17_o03_top_keywords", f"WITH {B.IFACE_KEYWORDS_SQL} SELECT word, count(*) AS count FROM iface_keywords GROUP BY word ORDER BY 2 DESC, 1 LIMIT 14")
+def a17(spark, d):
+    return C.top_keywords(B.iface_keywords(spark, d))
+
+
+@query("k09_k10_filter_rules", f"{LEARN_SQL} SELECT rule, grp, a FROM learned WHERE grp = 'O' AND NOT contains(rule, 'status=>')")
+def k09(spark, d):
+    learned = C.learn(counts(spark, d), FEATURES, 2)
+    return _text(learned.where((F.col("grp") == "O") & ~F.exists("rule", lambda x: F.startswith(x, F.lit("status=>")))))
