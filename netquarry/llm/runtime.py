@@ -51,8 +51,18 @@ def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in columns], F.col("text").cast("string").alias("text"))
 
 
+#: Rows that Python workers get at once: texts of some thousand bytes make batches of a few MB on both sides.
+ROWS_AT_ONCE = 1024
+
+
 def map_arrow(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
-    ship_package(df.sparkSession)
+    """mapInArrow with small batches; a lower limit that the session has already is kept."""
+    spark = df.sparkSession
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))
     return df.mapInArrow(fn, schema)
 
 

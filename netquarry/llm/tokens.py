@@ -10,22 +10,31 @@ from functools import lru_cache
 _SIMPLE = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-›€]")
 
 
-@lru_cache(maxsize=4)
-def byte_bpe(json_path: str, ranks_path: str):
-    """encode(text) -> ids by tokenizers' file; its faster equal where the text is simple. Special tokens in texts are text."""
-    import public_tokenizers
-    import tiktoken
+@lru_cache(maxsize=1)
+def _full(json_path: str):
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(json_path)
     full.encode_special_tokens = True
+    return full
+
+
+@lru_cache(maxsize=1)
+def byte_bpe(json_path: str, ranks_path: str):
+    """encode(text) -> ids by tokenizers' file; its faster equal where the text is simple. Special tokens in texts are text.
+
+    The slower one is loaded by the first text that needs it.
+    """
+    import public_tokenizers
+    import tiktoken
+
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
         if _SIMPLE.search(text):
-            return full.encode(text, add_special_tokens=False).ids
+            return _full(json_path).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
