@@ -1 +1,148 @@
-"""Queries."""
+"""Schema inference over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from netquarry.operators import infer as I
+from netquarry.plans import bindings as B
+from netquarry.plans.registry import query
+
+KEYS_SQL = """keys AS (SELECT 'segment' AS signature, c_nationkey::VARCHAR AS instance, c_mktsegment AS key FROM customer
+  UNION ALL SELECT 'customer', c_nationkey::VARCHAR, c_name FROM customer
+  UNION ALL SELECT 'part', p_size::VARCHAR, p_name FROM part
+  UNION ALL SELECT 'odd', p_size::VARCHAR, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END FROM part)"""
+
+
+def keys(spark, d):
+    c, p = B.table(spark, d, "customer"), B.table(spark, d, "part")
+    row = lambda df, s, i, k: df.select(F.lit(s).alias("signature"), F.col(i).cast("string").alias("instance"), k.alias("key"))
+    out = row(c, "segment", "c_nationkey", F.col("c_mktsegment")).union(row(c, "customer", "c_nationkey", F.col("c_name")))
+    return out.union(row(p, "part", "p_size", F.col("p_name"))).union(row(p, "odd", "p_size", F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.col("p_brand"))))
+
+
+@query(
+    "a28_keykinds",
+    f"""WITH {KEYS_SQL}, c AS (SELECT signature, count(*) AS total, count(DISTINCT key) AS "unique", count(DISTINCT key) FILTER (length(key) - length(replace(key, ' ', '')) = 1) AS single, count(DISTINCT key) FILTER (contains(key, ' ')) AS spaced FROM keys GROUP BY 1)
+SELECT signature, total, "unique", CASE WHEN single = "unique" THEN 'pair' WHEN spaced > 0 THEN 'mixed' WHEN "unique" > 0.2 * total OR "unique" > 25 THEN 'name' ELSE 'type' END AS kind FROM c""",
+)
+def a28(spark, d):
+    return I.keykinds(keys(spark, d))
+
+
+@query("a28_mixed_parts", f"WITH {KEYS_SQL}, p AS (SELECT signature, unnest(string_split(key, ' ')) AS part FROM keys WHERE signature IN ('part', 'odd')), n AS (SELECT signature, part, count(*) AS n FROM p GROUP BY ALL) SELECT signature, part, n / max(n) OVER (PARTITION BY signature) AS share FROM n")
+def a28_mixed(spark, d):
+    return I.mixed_parts(keys(spark, d).where("signature in ('part', 'odd')"))
+
+
+SCOPE_SQL = """i AS (SELECT DISTINCT p_type AS type, l_suppkey AS outer_, p_brand AS inner_, (CASE WHEN p_type IN ('SMALL', 'LARGE') THEN p_size // 30 ELSE l_suppkey END)::VARCHAR AS body FROM lineitem JOIN part ON l_partkey = p_partkey),
+one AS (SELECT type, outer_, inner_, min(body) AS body FROM i GROUP BY ALL),
+inn AS (SELECT type, inner_, count(*) AS n, count(DISTINCT body) AS bodies FROM one GROUP BY ALL),
+o AS (SELECT type, greatest(0.05 * count(DISTINCT outer_), 3) AS few FROM one GROUP BY type),
+c AS (SELECT type, CASE WHEN n = 1 THEN 's' WHEN bodies = n THEN 'u' WHEN bodies = 1 THEN 'r' WHEN n < few THEN 'f' WHEN bodies <= few THEN 'r' ELSE 'u' END AS k FROM inn JOIN o USING (type)),
+t AS (SELECT type, count(*) FILTER (k = 'u') AS u, count(*) FILTER (k = 'r') AS r, count(*) FILTER (k = 'f') AS f FROM c GROUP BY type)"""
+
+
+@query("a29_typescope", f"WITH {SCOPE_SQL} SELECT type, CASE WHEN u = 0 AND r = 0 THEN CASE WHEN f = 0 THEN 'unique' ELSE 'unknown' END WHEN u = 0 THEN 'replicated' WHEN u >= r THEN 'unique' WHEN u < 0.15 * r THEN 'replicated' ELSE 'unique' END AS scope FROM t")
+def a29(spark, d):
+    line, part = B.table(spark, d, "lineitem"), B.table(spark, d, "part")
+    i = line.join(part, line["l_partkey"] == part["p_partkey"])
+    body = F.when(F.col("p_type").isin("SMALL", "LARGE"), F.expr("p_size div 30")).otherwise(F.col("l_suppkey")).cast("string")
+    one = i.groupBy(F.col("p_type").alias("type"), F.col("l_suppkey").alias("outer"), F.col("p_brand").alias("inner")).agg(F.min(body).alias("body"))
+    return I.typescope(one)
+
+
+SYMBOLS_SQL = """symbols AS (SELECT DISTINCT 'part ' || lower(p_type) AS type, word AS name FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS word FROM part WHERE p_size < 3)
+  UNION SELECT 'partial ' || lower(p_type), split_part(p_name, ' ', 1) FROM part WHERE p_size < 2
+  UNION SELECT 'address', ((c_custkey >> 8) & 255) || '.0.0.' || (c_custkey & 255) FROM customer
+  UNION SELECT 'description', c_name FROM customer UNION SELECT 'rare', r_name FROM region WHERE r_regionkey < 2),
+sizes AS (SELECT type, count(*) AS n FROM symbols GROUP BY type),
+met AS (SELECT x.type AS a, y.type AS b, count(*) AS common FROM symbols x JOIN symbols y ON x.name = y.name AND x.type <> y.type GROUP BY ALL),
+o AS (SELECT a, b, common, s.n AS na, t.n AS nb FROM met JOIN sizes s ON s.type = a JOIN sizes t ON t.type = b)"""
+
+
+def symbols(spark, d):
+    p, c, r = B.table(spark, d, "part"), B.table(spark, d, "customer"), B.table(spark, d, "region")
+    words = p.where("p_size < 3").select(F.concat(F.lit("part "), F.lower("p_type")).alias("type"), F.explode(F.split("p_name", " ")).alias("name"))
+    firsts = p.where("p_size < 2").select(F.concat(F.lit("partial "), F.lower("p_type")), F.substring_index("p_name", " ", 1))
+    ip = F.concat(F.shiftright("c_custkey", 8).bitwiseAND(255), F.lit(".0.0."), F.col("c_custkey").bitwiseAND(255))
+    out = words.union(firsts).union(c.select(F.lit("address"), ip)).union(c.select(F.lit("description"), "c_name")).union(r.where("r_regionkey < 2").select(F.lit("rare"), "r_name"))
+    return out.distinct()
+
+
+@query("a30_invert", f"WITH {SYMBOLS_SQL} SELECT type, count(*) AS names, min(name) AS first FROM symbols GROUP BY type")
+def a30_invert(spark, d):
+    return I.invert(symbols(spark, d)).select("type", F.size("names").cast("long").alias("names"), F.col("names")[0].alias("first"))
+
+
+@query("a30_remove_small_types", f"WITH {SYMBOLS_SQL} SELECT type, name FROM symbols WHERE type IN (SELECT type FROM sizes WHERE n >= 4)")
+def a30_small(spark, d):
+    return I.remove_small_types(symbols(spark, d)).select("type", "name")
+
+
+@query("a30_special_types", f"WITH {SYMBOLS_SQL} SELECT DISTINCT CASE type WHEN 'address' THEN '_address' WHEN 'description' THEN '_description' ELSE type END AS type, name FROM symbols")
+def a30_special(spark, d):
+    return I.special_types(symbols(spark, d)).select("type", "name")
+
+
+@query("j17_type_overlaps", f"WITH {SYMBOLS_SQL} SELECT * FROM o")
+def j17(spark, d):
+    return I.type_overlaps(symbols(spark, d))
+
+
+@query("j17_type_subsets", f"WITH {SYMBOLS_SQL} SELECT a AS type, arg_min(b, (-nb, b)) AS root FROM o WHERE common = na AND (na < nb OR b < a) GROUP BY a")
+def j17_subsets(spark, d):
+    return I.type_subsets(symbols(spark, d))
+
+
+@query("a30_type_aliases", f"WITH {SYMBOLS_SQL} SELECT a AS type, b AS alias FROM o WHERE (length(a) < length(b) OR (length(a) = length(b) AND a < b)) AND (contains(b, a) OR EXISTS (SELECT 1 FROM (SELECT unnest(range(1, 40)) AS i) WHERE i + 4 <= length(a) AND contains(b, substr(a, i, 5))))")
+def a30_aliases(spark, d):
+    return I.type_aliases(symbols(spark, d))
+
+
+@query("a30_merge_aliases")
+def a30_merge(spark, d):
+    s = symbols(spark, d)
+    return I.merge_aliases(s, I.type_aliases(s))
+
+
+def documents(spark, d):
+    """One JSON document a nation: customers with segment, address and description, and segments (few names, often repeated: a type)."""
+    c = B.table(spark, d, "customer").withColumn("body", F.named_struct(F.lit("acl"), F.col("c_mktsegment"), F.lit("address"), F.concat(F.lit("10.0."), (F.col("c_custkey") % 256).cast("string"), F.lit(".1/24")), F.lit("description"), F.concat_ws(" ", F.lit("Link to"), "c_mktsegment")))
+    ifaces = c.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("c_name", "body"))).alias("interfaces"), F.map_from_entries(F.collect_set(F.struct("c_mktsegment", F.named_struct(F.lit("action"), F.lit("permit"))))).alias("acls"))
+    return ifaces.select(F.col("c_nationkey").cast("string").alias("doc"), F.to_json(F.struct("interfaces", "acls")).alias("json"))
+
+
+@query("s02_flatten_json", "SELECT c_nationkey::VARCHAR AS doc, count(DISTINCT c_mktsegment) * 2 + count(*) * 4 + 2 AS keys FROM customer GROUP BY 1")
+def s02(spark, d):
+    return I.flatten_json(documents(spark, d)).groupBy("doc").agg(F.count("*").alias("keys"))
+
+
+@query("g16_symbols", "SELECT 'interfaces' AS type, count(DISTINCT c_name) AS names, count(*) AS n FROM customer UNION ALL SELECT 'acl', count(DISTINCT c_mktsegment), count(*) FROM customer UNION ALL SELECT 'address', count(DISTINCT c_custkey % 256), count(*) FROM customer UNION ALL SELECT 'description', count(DISTINCT c_mktsegment), count(*) FROM customer UNION ALL SELECT 'action', 1, count(DISTINCT (c_nationkey, c_mktsegment)) FROM customer")
+def g16(spark, d):
+    return I.extract_symbols(I.flatten_json(documents(spark, d))).groupBy("type").agg(F.count_distinct("name").alias("names"), F.count("*").alias("n"))
+
+
+@query("g17_relationships", "SELECT 'acl' AS src_type, c_mktsegment AS src_name, 'interfaces' AS dst_type, c_name AS dst_name, 1 AS docs FROM customer UNION ALL SELECT 'address', '10.0.' || (c_custkey % 256) || '.1/24', 'interfaces', c_name, 1 FROM customer UNION ALL SELECT 'description', 'Link to ' || c_mktsegment, 'interfaces', c_name, 1 FROM customer")
+def g17(spark, d):
+    return I.relationships(I.extract_symbols(I.flatten_json(documents(spark, d))))
+
+
+@query("g18_relationship_graph", "SELECT DISTINCT c_mktsegment AS src, 'acl' AS src_type, c_name AS dst, 'interfaces' AS dst_type FROM customer UNION SELECT '10.0.' || (c_custkey % 256) || '.0/24', 'subnet', c_name, 'interfaces' FROM customer UNION SELECT unnest(['link', lower(c_mktsegment)]), 'keyword', c_name, 'interfaces' FROM customer")
+def g18(spark, d):
+    related = I.relationships(I.special_types(I.extract_symbols(I.flatten_json(documents(spark, d)))))
+    return I.relationship_graph(related)
+
+
+@query("g19_shared_keywords", "WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part UNION SELECT DISTINCT lower(c_mktsegment) FROM customer UNION SELECT DISTINCT event_type FROM events) SELECT x.w AS a, y.w AS b FROM w x JOIN w y ON x.w < y.w WHERE EXISTS (SELECT 1 FROM (SELECT unnest(range(1, 30)) AS i) WHERE i + 2 <= length(x.w) AND contains(y.w, substr(x.w, i, 3)))")
+def g19(spark, d):
+    w = B.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).union(B.table(spark, d, "customer").select(F.lower("c_mktsegment"))).union(B.table(spark, d, "events").select("event_type"))
+    return I.shared_keywords(w).select("a", "b")
+
+
+@query("f21_syntax_template")
+def f21(spark, d):
+    kinds = [(r["signature"], r["kind"]) for r in I.keykinds(keys(spark, d)).select("signature", "kind").collect()]
+    import json
+
+    return spark.createDataFrame([(json.dumps(I.syntax_template(kinds), sort_keys=True),)], "template string")
