@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from netquarry.llm.runtime import map_arrow, text_rows
 from netquarry.llm.words import chunks
 
-#: Bounds of the sample: labelled rows, and bytes of a text among them (longer ones are not learnt from).
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 12_000
-EPOCHS, BATCH, RATE, SEED = 10, 24, 0.01, 7
+#: Bounds of the sample: labelled rows of each class, and bytes of a text among them (longer ones are not learnt from).
+SAMPLE_ROWS, SAMPLE_BYTES = {0: 1500, 1: 4500}, 12_000
+EPOCHS, BATCH, RATE, SEED = 8, 24, 0.01, 7
 EMBEDDED, FILTERS, WIDTH, STRIDE = 4, 16, 6, 2
 #: In filter positions: a chunk, and the step from chunk to chunk.
 CHUNK, STEP = 160, 128
 THRESHOLD = 0.7
+#: Weight of the good class against the other: wrongly rejecting a document counts more.
+GOOD_WEIGHT = 2.0
 
 
 def _pieces(n: int) -> np.ndarray:
@@ -104,7 +106,7 @@ def train(examples: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = S
     net.w["shift"][0] = np.log(share / (1 - share))
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
     v = {k: np.zeros_like(x) for k, x in net.w.items()}
-    weight = {1: 0.5 / share, 0: 0.5 / (1 - share)}
+    weight = {1: GOOD_WEIGHT / (1 + GOOD_WEIGHT) / share, 0: 1 / (1 + GOOD_WEIGHT) / (1 - share)}
     texts = [np.frombuffer(t, np.uint8) for t, _ in examples]
     t = 0
     for _ in range(epochs):
@@ -129,16 +131,17 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[bytes, int]]:
-    """At most rows labelled texts of each class, chosen by a hash of doc_id; the bound is what reaches the driver."""
+def sample(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None) -> list[tuple[bytes, int]]:
+    """At most so many labelled texts of each class (SAMPLE_ROWS), chosen by a hash of doc_id; the bound is what reaches the driver."""
+    rows = rows or SAMPLE_ROWS
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("label_id").isNotNull())
     known = known.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
     chosen = None
     for y in (0, 1):
-        top = known.where(F.col("lo") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(rows // 2)
+        top = known.where(F.col("lo") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(rows[y])
         chosen = top if chosen is None else chosen.unionByName(top)
     fits = text_rows(docs).where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
-    # The chosen ids are at most `rows`, so that side is broadcast by a fixed bound.
+    # The chosen ids are as few as the bounds say, so that side is broadcast by a fixed bound.
     found = fits.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lo").alias("y"))
     found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     return [(r["text"].encode(), r["y"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
