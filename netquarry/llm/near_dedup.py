@@ -181,6 +181,6 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but the first document of each near-duplicate class; columns unchanged."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"))
-    identified = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id"))
+    identified = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return identified.unionByName(docs.where("doc_id is null"))
