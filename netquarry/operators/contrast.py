@@ -189,3 +189,20 @@ def one_hot(pairs: DataFrame, row: str, feature: str, features: list[str]) -> Da
 def top_keywords(keywords: DataFrame, n: int = 14) -> DataFrame:
     """The n most frequent words; ties by word."""
     return keywords.groupBy("word").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "word").limit(n)
+
+
+def sweep(frame: DataFrame, columns: list[str], depth: int, **limits) -> DataFrame:
+    """grouped_by, rule, grp and scores: contrast sets with each column as the group in turn, over the other columns."""
+    out = None
+    for group in columns:
+        features = [c for c in columns if c != group]
+        counts = item_counts(frame, features, group)
+        learned = learn(counts, features, depth)
+        scored = score(learned, not_rules(learned, counts), **limits).withColumn("grouped_by", F.lit(group)).withColumn("grp", F.col("grp").cast("string"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def anomalies(scored: DataFrame, precision: float) -> DataFrame:
+    """Rules that nearly always hold, but not always."""
+    return scored.where((F.col("precision") >= precision) & (F.col("precision") < 1))

@@ -132,3 +132,9 @@ def parse_matrix(text: DataFrame) -> DataFrame:
 def unordered_pairs(pairs: DataFrame) -> DataFrame:
     """(a, b) without (b, a)."""
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def snapshot_of(keys: DataFrame) -> DataFrame:
+    """Snapshot (device, stanza, element, attr, val) of documents stanza / element / attr, from their key table; unreadable documents have no rows."""
+    at = lambda i: F.get("parent", F.lit(i))
+    return keys.where((F.size("parent") == 2) & F.col("container").isNull()).select(F.col("doc").alias("device"), at(0).alias("stanza"), at(1).alias("element"), F.col("key").alias("attr"), F.col("leaf").alias("val"))

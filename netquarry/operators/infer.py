@@ -203,6 +203,12 @@ def shared_keywords(words: DataFrame, least: int = 3) -> DataFrame:
     return met.withColumn("shared", longest_shared(F.col("a"), F.col("b")))
 
 
+def shared_remainders(pairs: DataFrame) -> DataFrame:
+    """word, shared, rest: what is left of each word of a pair around the letters it shares."""
+    of = lambda c: pairs.select(F.col(c).alias("word"), "shared", F.filter(F.array(F.substr(F.col(c), F.lit(1), F.instr(F.col(c), F.col("shared")) - 1), F.substr(F.col(c), F.instr(F.col(c), F.col("shared")) + F.length("shared"))), lambda x: x != "").alias("rest"))
+    return of("a").unionByName(of("b")).distinct()
+
+
 def syntax_template(kinds: list[tuple[str, str]]) -> dict:
     """Nested template of (signature, kind) rows, names as NAME; the rows are as few as the grammar's levels."""
     out: dict = {}

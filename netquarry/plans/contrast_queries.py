@@ -172,3 +172,22 @@ def a17(spark, d):
 def k09(spark, d):
     learned = C.learn(counts(spark, d), FEATURES, 2)
     return _text(learned.where((F.col("grp") == "O") & ~F.exists("rule", lambda x: F.startswith(x, F.lit("status=>")))))
+
+
+SWEEP = ["kind", "flag", "status"]
+
+
+def _sweep_sql() -> str:
+    parts = []
+    for g in SWEEP:
+        for f in (x for x in SWEEP if x != g):
+            parts.append(f"SELECT '{g}' AS grouped_by, '{f}=>' || {f} AS rule, {g} AS grp, count(*) AS a FROM frame GROUP BY {f}, {g}")
+    return f"""WITH {B.FRAME_SQL}, l AS ({" UNION ALL ".join(parts)}),
+t AS (SELECT *, sum(a) OVER (PARTITION BY grouped_by, rule) AS r FROM l)
+SELECT grouped_by, rule, grp, a AS frequency, round(a / r, 9) AS precision FROM t WHERE abs(a - (r - a)) > 2 AND a > 10 AND a / r >= 0.3"""
+
+
+@query("p02_sweep", _sweep_sql())
+def p02(spark, d):
+    s = C.sweep(B.frame(spark, d), SWEEP, 1, min_support=0, min_count=10, min_difference=2, min_lift=0, min_confidence=0)
+    return _text(C.anomalies(s, 0.3)).select("grouped_by", "rule", "grp", "frequency", F.round("precision", 9).alias("precision"))

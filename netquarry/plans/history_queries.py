@@ -139,3 +139,19 @@ def s21(spark, d):
 def k17(spark, d):
     line = B.table(spark, d, "lineitem")
     return H.unordered_pairs(line.select(F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b")).union(line.select("l_linestatus", "l_returnflag")))
+
+
+def state_documents(state):
+    """A JSON document for each device: stanza / element / attr."""
+    element = state.groupBy("device", "stanza", "element").agg(F.map_from_entries(F.collect_list(F.struct("attr", "val"))).alias("attrs"))
+    stanza = element.groupBy("device", "stanza").agg(F.map_from_entries(F.collect_list(F.struct("element", "attrs"))).alias("elements"))
+    whole = stanza.groupBy("device").agg(F.map_from_entries(F.collect_list(F.struct("stanza", "elements"))).alias("stanzas"))
+    return whole.select(F.col("device").cast("string").alias("doc"), F.to_json("stanzas").alias("json"))
+
+
+@query("k13_diff_documents", f"{DIFF_SQL} SELECT device::VARCHAR AS device, stanza, element, change, attr, old, new FROM diffs")
+def k13(spark, d):
+    from netquarry.operators.infer import flatten_json
+
+    before, after = (H.snapshot_of(flatten_json(state_documents(s))) for s in B.snapshots(spark, d))
+    return H.snapshot_diff(before, after)

@@ -146,3 +146,37 @@ def f21(spark, d):
     import json
 
     return spark.createDataFrame([(json.dumps(I.syntax_template(kinds), sort_keys=True),)], "template string")
+
+
+@query("k12_shared_remainders")
+def k12(spark, d):
+    w = B.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).union(B.table(spark, d, "events").select("event_type"))
+    return I.shared_remainders(I.shared_keywords(w, 2))
+
+
+def braced_keys(spark, d):
+    """Braced configurations as JSON: nations with an interface a segment and a unit a customer."""
+    c = B.table(spark, d, "customer")
+    address = F.struct(F.struct(F.concat(F.lit("10."), F.expr("c_custkey div 256"), F.lit("."), F.col("c_custkey") % 256, F.lit(".9/24")).alias("address")).alias("inet"))
+    unit = F.struct(address.alias("family"), F.col("c_nationkey").cast("string").alias("vlan-id"), F.concat(F.lit("to|"), "c_mktsegment").alias("description"))
+    ifaces = c.groupBy("c_nationkey", "c_mktsegment").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string"), unit))).alias("unit"))
+    docs = ifaces.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", F.struct("unit")))).alias("interfaces"))
+    return I.flatten_json(docs.select(F.col("c_nationkey").cast("string").alias("doc"), F.to_json(F.struct("interfaces")).alias("json")))
+
+
+BRACED_SQL = """u AS (SELECT c_nationkey AS n, c_custkey AS c, c_nationkey || '_' || c_mktsegment AS iface, 'unit_' || c_nationkey || '_' || c_mktsegment || '_' || c_custkey AS unit FROM customer)
+SELECT iface AS src, unit AS dst FROM u UNION SELECT unit, '10.' || (c // 256) || '.' || (c % 256) || '.0/24' FROM u UNION SELECT unit, 'vlan_' || n FROM u"""
+
+
+@query("g03_braced_graph", f"WITH {BRACED_SQL}")
+def g03(spark, d):
+    from netquarry.operators.braced import braced_graph
+
+    return braced_graph(braced_keys(spark, d)).select("src", "dst")
+
+
+@query("k02_braced_keywords", "SELECT DISTINCT c_nationkey::VARCHAR AS device, 'interface' AS kind, 'vlan_' || c_custkey AS owner, lower(c_mktsegment) AS word FROM customer")
+def k02(spark, d):
+    from netquarry.operators.braced import braced_keywords
+
+    return braced_keywords(braced_keys(spark, d))

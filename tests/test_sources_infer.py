@@ -154,3 +154,27 @@ def test_logs(spark):
     t = texts(spark, cosine_8_x="start\nprecision 0.5\nrecall: 0.25\n", short="x")
     got = {r["similarity"]: r for r in V.scrape_logs(t).collect()}
     assert (got["cosine"]["precision"], got["cosine"]["recall"]) == (0.5, 0.25) and got["short"]["recall"] is None
+
+
+FULL = """interfaces { ge-0/0/0 { description "student lab"; unit 0 { description "to|core"; apply-groups EDGE; vlan-id 7;
+  family inet { address 10.0.0.9/24; } family inet6 { address 2001:DB8::1/64; } } } }
+groups { EDGE { interfaces { all { unit any { family inet { filter { input A; input-list [ B C ]; } } } } } } }
+firewall { family inet { filter A { term deny-telnet { then discard; } } } }"""
+
+
+def test_braced_graph_and_keywords(spark):
+    from netquarry.operators.braced import braced_graph, braced_keywords
+
+    docs = V.convert(texts(spark, d=FULL), V.parse_braced_normal)
+    keys = I.flatten_json(docs.selectExpr("file as doc", "json"))
+    got = {(r["src"], r["dst"]) for r in braced_graph(keys).collect()}
+    unit = "unit_d_ge-0/0/0_0"
+    assert got == {("d_ge-0/0/0", unit), (unit, "10.0.0.0/24"), (unit, "2001:db8::1/64"), (unit, "vlan_7"), (unit, "group_EDGE"), ("group_EDGE", "acl_A"), ("group_EDGE", "acl_B"), ("group_EDGE", "acl_C")}
+    words = {(r["kind"], r["owner"], r["word"]) for r in braced_keywords(keys).collect()}
+    assert words == {("interface", "ge-0/0/0", "student"), ("interface", "ge-0/0/0", "lab"), ("interface", "vlan_0", "core"), ("acl", "A", "deny"), ("acl", "A", "telnet")}
+
+
+def test_keywords_of_configurations(spark, tmp_path):
+    doc = {"name": "d", "interfaces": configs.by_name(configs.interface("e0", description="Bldg uplink")), "acls": configs.by_name(configs.acl("mgmt-in", remarks=["allow ems hosts"])), "vlans": {"7": {"num": 7, "name": "red_team"}}}
+    got = {(r["kind"], r["owner"], r["word"]) for r in S.extract_keywords(S.read_configs(spark, configs.write(tmp_path, doc))).collect()}
+    assert got == {("interface", "e0", "building"), ("interface", "e0", "uplink"), ("interface", "Vlan7", "red"), ("interface", "Vlan7", "team"), ("acl", "mgmt-in", "management"), ("acl", "mgmt-in", "allow"), ("acl", "mgmt-in", "ems"), ("acl", "mgmt-in", "hosts")}
