@@ -95,12 +95,15 @@ def j17_subsets(spark, d):
     return I.type_subsets(symbols(spark, d))
 
 
-@query("a30_type_aliases", f"WITH {SYMBOLS_SQL} SELECT a AS type, b AS alias FROM o WHERE (length(a) < length(b) OR (length(a) = length(b) AND a < b)) AND (contains(b, a) OR EXISTS (SELECT 1 FROM (SELECT unnest(range(1, 40)) AS i) WHERE i + 4 <= length(a) AND contains(b, substr(a, i, 5))))")
+ALIASES_SQL = "SELECT a AS type, b AS alias FROM o WHERE (length(a) < length(b) OR (length(a) = length(b) AND a < b)) AND (contains(b, a) OR EXISTS (SELECT 1 FROM (SELECT unnest(range(1, 40)) AS i) WHERE i + 4 <= length(a) AND contains(b, substr(a, i, 5))))"
+
+
+@query("a30_type_aliases", f"WITH {SYMBOLS_SQL} {ALIASES_SQL}")
 def a30_aliases(spark, d):
     return I.type_aliases(symbols(spark, d))
 
 
-@query("a30_merge_aliases")
+@query("a30_merge_aliases", f"WITH {SYMBOLS_SQL}, al AS ({ALIASES_SQL}), ch AS (SELECT alias, arg_min(type, (length(type), type)) AS kept FROM al GROUP BY alias) SELECT DISTINCT coalesce(kept, type) AS type, name FROM symbols LEFT JOIN ch ON alias = type")
 def a30_merge(spark, d):
     s = symbols(spark, d)
     return I.merge_aliases(s, I.type_aliases(s))
