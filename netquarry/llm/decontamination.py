@@ -9,6 +9,11 @@ searches by cosine among the windows of the benchmark items, and checks what it
 the longest common subsequence of words of the item and the surroundings; a subsequence of LCS_ALONE of the item is a
 leak, and one of LCS_PARAPHRASE is if the item's answer (its last sentence) is there too.
 
+A passage that leaks often makes its own words frequent, and its weights 0. So every item is also searched without
+weights: a leak has LCS_PARAPHRASE of the item's words, so it has some of the rarest ones of any larger part of them,
+however frequent those are. Wherever RARE_HITS of them stand together the subsequence is computed; there an answer
+counts by all its words, too.
+
 Edge cases: null or empty texts have no passages; null or empty items are ignored; without items nothing is
 contaminated; repeated rows and items give repeated findings; null doc_ids stay; extra columns pass or are ignored;
 empty tables give empty results. The benchmark goes to all tasks in blocks of at most ITEMS_AT_ONCE items.
@@ -16,6 +21,7 @@ empty tables give empty results. The benchmark goes to all tasks in blocks of at
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -33,6 +39,10 @@ FREQUENT = 0.003
 COSINE, SHARED_TERMS = 0.4, 3
 LCS_ALONE, LCS_PARAPHRASE, ANSWER = 0.7, 0.5, 0.6
 ITEMS_AT_ONCE = 20_000
+#: Items whose words are looked up together: a chunk has at most so many finds a word.
+LOOKED_UP_AT_ONCE = 64
+#: Of the item's rarest words so many must stand together; any number finds all leaks.
+RARE_HITS = 3
 #: Text handled at once: some dozen arrays of RANK numbers a word are alive.
 CHUNK_BYTES = 1 << 18
 _GROUP, SALT = 256, 16
@@ -153,8 +163,8 @@ def _summed(batches):
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["terms", "payload"])
 
 
-def latent_space(docs: DataFrame) -> np.ndarray:
-    """Term vectors: left singular vectors of the sketch, a unit vector a term times its inverse document frequency. The last row is 0."""
+def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Term vectors (left singular vectors of the sketch, a unit vector a term times its inverse document frequency; the last row is 0), block frequencies."""
     parts = map_arrow(text_rows(docs).select("text"), _partial_products, "terms int, payload binary")
     # Summed in two steps, so that no task reads what every task wrote about its terms.
     salted = parts.withColumn("salt", F.spark_partition_id() % SALT).repartition("terms", "salt").select("terms", "payload")
@@ -176,13 +186,13 @@ def latent_space(docs: DataFrame) -> np.ndarray:
     # Terms that no document has get a direction of their own, so that an item's new words still count.
     fresh = np.random.default_rng(TERMS).standard_normal(basis.shape)
     unit = np.where(size > 1e-9, basis / np.maximum(size, 1e-9), fresh / np.linalg.norm(fresh, axis=1, keepdims=True))
-    return np.vstack([unit * idf[:, None], np.zeros((1, RANK))]).astype(np.float32)
+    return np.vstack([unit * idf[:, None], np.zeros((1, RANK))]).astype(np.float32), frequency
 
 
 class Benchmark:
     """Items with their windows in the latent space."""
 
-    def __init__(self, items: list[tuple[int, str]], space: np.ndarray):
+    def __init__(self, items: list[tuple[int, str]], space: np.ndarray, frequency: np.ndarray):
         self.ids = [i for i, _ in items]
         column = pa.array([t for _, t in items], pa.large_string())
         self.words: list[np.ndarray] = []
@@ -191,10 +201,13 @@ class Benchmark:
             self.words += [hashes[at[i] : at[i + 1]] for i in range(len(at) - 1)]
         answers = pa.array([_answer(t) for _, t in items], pa.large_string())
         self.answers: list[frozenset] = []
+        self.whole_answers: list[frozenset] = []
         is_rare = np.abs(space[:TERMS]).sum(axis=1) > 0
         for _, _, raw, offsets in chunks(answers):
             hashes, at, _, _ = word_hashes(raw, offsets)
-            self.answers += [frozenset(h for h in hashes[at[i] : at[i + 1]].tolist() if is_rare[h & (TERMS - 1)]) for i in range(len(at) - 1)]
+            whole = [frozenset(hashes[at[i] : at[i + 1]].tolist()) for i in range(len(at) - 1)]
+            self.whole_answers += whole
+            self.answers += [frozenset(h for h in w if is_rare[h & (TERMS - 1)]) for w in whole]
         rows, owner = [], []
         self.has_term = np.zeros((len(items), TERMS), bool)
         for k, w in enumerate(self.words):
@@ -207,6 +220,7 @@ class Benchmark:
         self.least_shared = np.clip(self.has_term.sum(axis=1), 1, SHARED_TERMS)
         self.vectors, self.owner = _unit(np.array(rows, np.float32).reshape(-1, RANK)), np.array(owner, np.int64)
         self.masks: dict[int, dict[int, int]] = {}
+        self.by_words = [WordIndex(self, range(len(items))[a : a + LOOKED_UP_AT_ONCE], frequency) for a in range(0, len(items), LOOKED_UP_AT_ONCE)]
 
     def mask(self, k: int) -> dict[int, int]:
         if k not in self.masks:
@@ -217,6 +231,50 @@ class Benchmark:
         return self.masks[k]
 
 
+class WordIndex:
+    """Rarest words of some items: a leak has at least hits of them, since it lacks at most 1 - LCS_PARAPHRASE of the item."""
+
+    def __init__(self, bench: Benchmark, items: range, frequency: np.ndarray):
+        pairs = []
+        self.hits, self.reach = np.zeros(len(bench.ids), np.int64), np.zeros(len(bench.ids), np.int64)
+        for k in items:
+            w = bench.words[k]
+            need = math.ceil(LCS_PARAPHRASE * len(w))
+            self.hits[k], self.reach[k] = min(RARE_HITS, need), 2 * len(w) + 2 * BLOCK
+            order = np.argsort(frequency[(w & np.uint64(TERMS - 1)).astype(np.int64)], kind="stable")
+            pairs += [(h, k) for h in set(w[order[: len(w) - need + self.hits[k]]].tolist())]
+        pairs.sort()
+        self.vocabulary, first = np.unique(np.array([h for h, _ in pairs], np.uint64), return_index=True)
+        # Most words of a text are none of these; their first bits tell.
+        self.shift = np.uint64(46)
+        self.perhaps = np.zeros(1 << 18, bool)
+        self.perhaps[self.vocabulary >> self.shift] = True
+        self.first, self.items = np.append(first, len(pairs)), np.array([k for _, k in pairs], np.int64)
+
+    def places(self, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, items and places of words that have hits of the item's rarest words, themselves included, within its reach."""
+        place = np.flatnonzero(self.perhaps[p.hashes >> self.shift])
+        words = p.hashes[place]
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        same = self.vocabulary[at] == words
+        place, at = place[same], at[same]
+        sizes = self.first[at + 1] - self.first[at]
+        offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        item, place = self.items[np.repeat(self.first[at], sizes) + offset], np.repeat(place, sizes)
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order]
+        row = np.searchsorted(p.at, place, side="right") - 1
+        last = np.arange(len(item)) + self.hits[item] - 1
+        end = np.minimum(last, len(item) - 1)
+        near = (last < len(item)) & (item[end] == item) & (row[end] == row) & (place[end] - place < self.reach[item])
+        # Of a run of near words, each may stand at the centre: the last ones are near to those before.
+        marks = np.zeros(len(item) + 1, np.int64)
+        np.add.at(marks, np.flatnonzero(near), 1)
+        np.add.at(marks, end[near] + 1, -1)
+        chosen = np.cumsum(marks[:-1]) > 0
+        return row[chosen], item[chosen], place[chosen]
+
+
 def _answer(text: str) -> str:
     parts = [x for x in re.split(r"[.?!\n]+", text) if x.strip()]
     return parts[-1] if parts else ""
@@ -265,6 +323,17 @@ def find_leaks(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray, bench: B
                 share = common_subsequence(bench.mask(k), n, around) / n
                 if share >= LCS_ALONE or share >= LCS_PARAPHRASE and _answered(bench.answers[k], around):
                     found[r][k] = max(share, found[r].get(k, 0.0))
+    for index in bench.by_words:
+        for r, k, s in zip(*(x.tolist() for x in index.places(p)), strict=True):
+            if k not in found[r]:
+                n, mask = len(bench.words[k]), bench.mask(k)
+                around = p.hashes[max(int(p.at[r]), s - n) : min(int(p.at[r + 1]), s + 2 * BLOCK + n)].tolist()
+                # No subsequence is longer than the item's words that are there in any order.
+                if sum([mask[w].bit_count() for w in mask.keys() & around]) < LCS_PARAPHRASE * n:
+                    continue
+                share = common_subsequence(mask, n, around) / n
+                if share >= LCS_ALONE or share >= LCS_PARAPHRASE and (_answered(bench.answers[k], around) or _answered(bench.whole_answers[k], around)):
+                    found[r][k] = share
     return found
 
 
@@ -272,11 +341,11 @@ def _answered(answer: frozenset, around: list[int]) -> bool:
     return bool(answer) and len(answer.intersection(around)) >= ANSWER * len(answer)
 
 
-def _leaks_of(space: np.ndarray, items: list[tuple[int, str]], at: int):
+def _leaks_of(space: np.ndarray, frequency: np.ndarray, items: list[tuple[int, str]], at: int):
     """Adds leaked_items (sorted ids) to every row; the text is column number at."""
 
     def run(batches):
-        bench = Benchmark(items, space)
+        bench = Benchmark(items, space, frequency)
         for batch in batches:
             for a, b, raw, offsets in chunks(batch.column(at), CHUNK_BYTES):
                 leaks = [sorted(bench.ids[k] for k in x) for x in find_leaks(raw, offsets, space, bench)]
@@ -288,11 +357,11 @@ def _leaks_of(space: np.ndarray, items: list[tuple[int, str]], at: int):
 def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs and one more column, _leaked_items."""
     items = sorted((int(r[0]), r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").collect() if r[1].split())
-    space = latent_space(docs)
+    space, frequency = latent_space(docs)
     at = docs.columns.index("text")
     columns = docs.columns
     for a in range(0, max(1, len(items)), ITEMS_AT_ONCE):
-        now = map_arrow(docs, _leaks_of(space, items[a : a + ITEMS_AT_ONCE], at), StructType([*docs.schema.fields, StructField("_leaked_items", ArrayType(LongType()))]))
+        now = map_arrow(docs, _leaks_of(space, frequency, items[a : a + ITEMS_AT_ONCE], at), StructType([*docs.schema.fields, StructField("_leaked_items", ArrayType(LongType()))]))
         docs = now if not a else now.select(*columns, F.array_union("_found", "_leaked_items").alias("_leaked_items"))
         if a + ITEMS_AT_ONCE < len(items):
             docs = docs.withColumnRenamed("_leaked_items", "_found")

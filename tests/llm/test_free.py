@@ -354,3 +354,29 @@ def test_decontamination_edges(spark):
     dropped = decontamination.drop_contaminated(docs, bench)
     assert dropped.columns == docs.columns
     assert {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in dropped.collect()} == {9, 10, 11}
+
+
+@pytest.mark.parametrize("unlike", [False, True])
+def test_decontamination_of_an_item_in_a_third_of_the_rows(spark, unlike):
+    """Whole and edited leaks of one item in every third row, as copies of one document or each in a document of its own."""
+    rng = random.Random(9)
+    docs = [tuple(r) for r in documents(spark, "/root/testdata/sf0.001").orderBy("doc_id").select("doc_id", "text").collect()]
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    before = {r["doc_id"]: r["item_ids"] for r in decontamination.contaminated_documents(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    for item in bench.orderBy("item_id").limit(3).collect():
+        rows, leaks = list(docs), set()
+        for i in range(len(docs) // 2):
+            w = [f"other{i}x{k}" if i % 2 and k % 6 == 5 else x for k, x in enumerate(item["text"].split())]
+            around = [(rng.choice(docs)[1] or "").split()[:20] if unlike else ["one", "text", "before"] for _ in range(2)]
+            rows.append((500_000 + i, " ".join([*around[0], *w, *around[1]])))
+            leaks.add(500_000 + i)
+        got = {r["doc_id"]: r["item_ids"] for r in decontamination.contaminated_documents(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+        assert all(str(item["item_id"]) in got[d].split(",") for d in leaks)
+        assert all(set(x.split(",")) <= {*got[d].split(","), ""} for d, x in before.items())
+
+
+def test_decontamination_of_three_tiny_documents(spark):
+    item = "which river flows through the old town of the seven bridges and the mill. the green river"
+    bench = spark.createDataFrame([(1, item), (2, "a wholly different question about copper wire prices. nine coins")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"note {i} {item} end {i}") for i in range(3)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in decontamination.contaminated_documents(docs, bench).collect()) == [(i, True, 1, "1") for i in range(3)]
