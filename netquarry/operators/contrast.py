@@ -146,24 +146,31 @@ def condense_violations(violated: DataFrame, rules: DataFrame) -> DataFrame:
     return with_rules.groupBy("row_id").applyInPandas(cover, "row_id long, centers array<long>")
 
 
-def spanning_rules(rows: DataFrame, least_gain: float = 0.0005, max_rules: int = 1000) -> list[int]:
+def spanning_rules(rows: DataFrame, least_gain: float = 0.0005, drop_picked: bool = False) -> list[int]:
     """Greedy cover: rules (rule_id, row_id) picked by the weight of their rows, which halves each time a row is covered.
 
-    Stops when a pick gains less than a share of the weight left, or repeats. Row weights stay distributed; a round brings
-    one row to the driver. Equal gains go to the smallest rule_id.
+    Stops when a pick gains less than a share of the weight left, or repeats. With drop_picked, as in the reference, a
+    picked rule is no longer a candidate, so a repeat means that no rule is left; and the pick that gains too little is
+    still kept. Row weights stay distributed; a round brings one row to the driver. Equal gains go to the smallest rule_id.
     """
     weights = checkpointed(rows.select("row_id").distinct().withColumn("weight", F.lit(1.0)))
     picked: list[int] = []
-    for _ in range(max_rules):
+    while True:
         total = weights.agg(F.sum("weight")).first()[0]
         if not total:
             break
-        gains = rows.join(weights, "row_id").groupBy("rule_id").agg(F.sum("weight").alias("gain"))
+        candidates = rows.where(~F.col("rule_id").isin(picked)) if drop_picked and picked else rows
+        gains = candidates.join(weights, "row_id").groupBy("rule_id").agg(F.sum("weight").alias("gain"))
         best = gains.agg(F.max(F.struct("gain", (-F.col("rule_id")).alias("rule"))).alias("b")).select("b.*").first()
         rule = -best["rule"] if best["gain"] is not None else None
-        if rule is None or rule in picked or picked and best["gain"] / 2 < least_gain * total:
+        if rule is None or rule in picked:
+            break
+        small = best["gain"] / 2 < least_gain * total
+        if small and picked and not drop_picked:
             break
         picked.append(rule)
+        if small and drop_picked:
+            break
         covered = rows.where(F.col("rule_id") == rule).select("row_id").distinct().withColumn("hit", F.lit(0.5))
         weights = checkpointed(weights.join(covered, "row_id", "left").select("row_id", (F.col("weight") * F.coalesce("hit", F.lit(1.0))).alias("weight")))
     return picked

@@ -144,7 +144,7 @@ def g13(spark, d):
     rules = fixed_rules(f)
     from netquarry.operators.graph import checkpointed
 
-    picked = C.spanning_rules(checkpointed(C.rule_rows(rules, C.long_items(f, ROW_FEATURES))), max_rules=10)
+    picked = C.spanning_rules(checkpointed(C.rule_rows(rules, C.long_items(f, ROW_FEATURES))), drop_picked=True)
     return spark.createDataFrame([(k, r) for k, r in enumerate(picked)], "place int, rule_id long")
 
 

@@ -3,6 +3,7 @@ import random
 
 from netquarry.operators import contrast as C
 from netquarry.operators import history as H
+from netquarry.plans import contrast_queries
 
 
 def frame(spark, seed=1, n=200):
@@ -62,6 +63,47 @@ def test_spanning_rules(spark):
     assert C.spanning_rules(rows) == want
 
 
+def brute_spanning(sets):
+    """The reference's greedy cover: a picked rule is out, its rows' weights halve; ends with a gain under 0.05 % or no rule left."""
+    weights, left, picked = dict.fromkeys({i for v in sets.values() for i in v}, 1.0), dict(sets), []
+    while left:
+        total = sum(weights.values())
+        gain, rule = max((sum(weights[i] for i in v), -k) for k, v in left.items())
+        picked.append(-rule)
+        for i in left.pop(-rule):
+            weights[i] /= 2
+        if gain / 2 < 0.0005 * total:
+            break
+    return picked
+
+
+def test_spanning_rules_without_a_cap(spark):
+    ends = [0, 40, *range(52, 160, 9)]
+    disjoint = {k + 1: range(a, b) for k, (a, b) in enumerate(itertools.pairwise(ends))}
+    small = {1: range(3000), 2: range(3000, 3002), 3: range(3002, 3003), 4: range(3003, 3004)}
+    for sets, n in ((disjoint, 13), ({1: range(10), 2: range(5, 15), 3: range(12, 14), 4: range(0, 3)}, 4), (small, 3)):
+        rows = spark.createDataFrame([(k, i) for k, v in sets.items() for i in v], "rule_id long, row_id long")
+        got = C.spanning_rules(rows, drop_picked=True)
+        assert got == brute_spanning(sets)
+        assert len(got) == n
+
+
+def test_spanning_query_picks_from_all_rules(spark):
+    sf = "/root/testdata/sf0.001"
+    nation, segment = {}, {}
+    for r in spark.read.parquet(f"{sf}/customer.parquet").collect():
+        nation[r["c_custkey"]], segment[r["c_custkey"]] = r["c_nationkey"], r["c_mktsegment"]
+    by = {}
+    orders = [r for r in spark.read.parquet(f"{sf}/orders.parquet").collect() if r["o_custkey"] in nation]
+    for r in orders:
+        by.setdefault((segment[r["o_custkey"]], r["o_orderpriority"][0]), []).append(r)
+    rules = sorted(k for k, v in by.items() if any(nation[r["o_custkey"]] == 3 for r in v))
+    assert len(rules) > 10
+    sets = {n: [r["o_orderkey"] for r in by[k]] for n, k in enumerate(rules, 1)}
+    got = [r["rule_id"] for r in contrast_queries.g13(spark, sf).orderBy("place").collect()]
+    assert got == brute_spanning(sets)
+
+
 def test_prune_and_one_hot(spark):
     df = spark.createDataFrame([(1, 1, 0, 1), (2, 0, 0, 1)], "k long, a int, b int, c int")
     assert C.prune_columns(df, ["a", "b", "c"]).columns == ["k", "a"]
