@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.operators.graph import checkpointed
+from netquarry.session import stored
 
 MOST_VALUES, BINS = 15, 3
 
@@ -153,7 +153,7 @@ def spanning_rules(rows: DataFrame, least_gain: float = 0.0005, drop_picked: boo
     picked rule is no longer a candidate, so a repeat means that no rule is left; and the pick that gains too little is
     still kept. Row weights stay distributed; a round brings one row to the driver. Equal gains go to the smallest rule_id.
     """
-    weights = checkpointed(rows.select("row_id").distinct().withColumn("weight", F.lit(1.0)))
+    weights = stored(rows.select("row_id").distinct().withColumn("weight", F.lit(1.0)))
     picked: list[int] = []
     while True:
         total = weights.agg(F.sum("weight")).first()[0]
@@ -172,7 +172,7 @@ def spanning_rules(rows: DataFrame, least_gain: float = 0.0005, drop_picked: boo
         if small and drop_picked:
             break
         covered = rows.where(F.col("rule_id") == rule).select("row_id").distinct().withColumn("hit", F.lit(0.5))
-        weights = checkpointed(weights.join(covered, "row_id", "left").select("row_id", (F.col("weight") * F.coalesce("hit", F.lit(1.0))).alias("weight")))
+        weights = stored(weights.join(covered, "row_id", "left").select("row_id", (F.col("weight") * F.coalesce("hit", F.lit(1.0))).alias("weight")))
     return picked
 
 

@@ -6,27 +6,12 @@ view (id, type, nbr, nbr_type). Ties are always ordered by id.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import ip as ipf
 from netquarry.functions.text import group_name, keywords
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A written table in the shared checkpoint folder: cuts the lineage of a loop."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="netquarry-checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from netquarry.session import stored
 
 
 def _edges(df: DataFrame, src: Column, src_type: str, dst: Column, dst_type: str, etype: Column | None = None) -> DataFrame:
@@ -106,14 +91,14 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 def prune_degree_one(edges: DataFrame, kind: str | None = None, max_rounds: int = 1000) -> DataFrame:
     """Edges left when nodes of degree 0 or 1 (of one type only, if given) are removed again and again: the 2-core."""
-    now = checkpointed(edges)
+    now = stored(edges)
     for _ in range(max_rounds):
         ends = now.select(F.col("src").alias("id"), F.col("src_type").alias("type")).unionAll(now.select("dst", "dst_type"))
         low = ends.groupBy("id", "type").agg(F.count("*").alias("degree")).where("degree < 2")
-        low = checkpointed((low if kind is None else low.where(F.col("type") == kind)).select("id"))
+        low = stored((low if kind is None else low.where(F.col("type") == kind)).select("id"))
         if low.isEmpty():
             return now
-        now = checkpointed(now.join(low.withColumnRenamed("id", "src"), "src", "left_anti").join(low.withColumnRenamed("id", "dst"), "dst", "left_anti").select(*edges.columns))
+        now = stored(now.join(low.withColumnRenamed("id", "src"), "src", "left_anti").join(low.withColumnRenamed("id", "dst"), "dst", "left_anti").select(*edges.columns))
     raise RuntimeError("pruning did not settle")
 
 
@@ -194,7 +179,7 @@ def coalesce_type(edges: DataFrame, kind: str) -> DataFrame:
 def coalesce_vertices(edges: DataFrame, kinds: tuple[str, ...] = ("vlan", "keyword", "interface", "subnet", "acl")) -> DataFrame:
     """All types in turn, each on the graph that the one before it left."""
     for kind in kinds:
-        edges = checkpointed(coalesce_type(edges, kind))
+        edges = stored(coalesce_type(edges, kind))
     return edges
 
 
@@ -262,7 +247,7 @@ def aggregate_prefixes(networks: DataFrame, max_rounds: int = 33) -> DataFrame:
 
     Containment is found by an equi-join with the at most 33 supernets of each block.
     """
-    now = checkpointed(networks.select("lo", "length").distinct())
+    now = stored(networks.select("lo", "length").distinct())
     for _ in range(max_rounds):
         lengths = now.select(F.col("length").alias("wide")).distinct()
         offered = now.join(F.broadcast(lengths), F.col("wide") < F.col("length")).withColumn("net", ipf.network(F.col("lo"), F.col("wide")))
@@ -270,7 +255,7 @@ def aggregate_prefixes(networks: DataFrame, max_rounds: int = 33) -> DataFrame:
         kept = now.join(inside, ["lo", "length"], "left_anti")
         parent = kept.withColumn("up", ipf.network(F.col("lo"), F.col("length") - 1))
         merged = parent.groupBy("up", "length").agg(F.count("*").alias("halves"), F.min("lo").alias("first"))
-        following = checkpointed(merged.select(F.when(F.col("halves") == 2, F.col("up")).otherwise(F.col("first")).alias("lo"), F.when(F.col("halves") == 2, F.col("length") - 1).otherwise(F.col("length")).alias("length")))
+        following = stored(merged.select(F.when(F.col("halves") == 2, F.col("up")).otherwise(F.col("first")).alias("lo"), F.when(F.col("halves") == 2, F.col("length") - 1).otherwise(F.col("length")).alias("length")))
         same = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "length").cast("decimal(20,0)"))).first() == following.agg(F.count("*"), F.sum(F.xxhash64("lo", "length").cast("decimal(20,0)"))).first()
         now = following
         if same:
@@ -287,6 +272,6 @@ def random_walk_vectors(adj: DataFrame, length: int = 8, walks: int = 4, size: i
     walk = degree.select("id").withColumn("w", F.explode(F.sequence(F.lit(1), F.lit(walks)))).select(F.col("id").alias("at"), F.array("id").alias("path"), "w", F.col("id").alias("start"))
     for step in range(length):
         chosen = walk.join(degree, walk["at"] == degree["id"]).withColumn("k", F.pmod(F.xxhash64("start", "w", F.lit(step), F.lit(seed)), F.col("degree"))).select("at", "path", "w", "start", "k")
-        walk = checkpointed(chosen.join(ranked, (chosen["at"] == ranked["id"]) & (chosen["k"] == ranked["k"])).select(F.col("nbr").alias("at"), F.concat("path", F.array("nbr")).alias("path"), "w", "start"))
+        walk = stored(chosen.join(ranked, (chosen["at"] == ranked["id"]) & (chosen["k"] == ranked["k"])).select(F.col("nbr").alias("at"), F.concat("path", F.array("nbr")).alias("path"), "w", "start"))
     model = Word2Vec(vectorSize=size, minCount=0, seed=seed, inputCol="path", outputCol="v", numPartitions=1, maxIter=1).fit(walk.select("path"))
     return model.getVectors().select(F.col("word").alias("id"), "vector")

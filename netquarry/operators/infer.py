@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from netquarry.functions import ip as ipf
 from netquarry.functions.text import keywords, longest_shared
-from netquarry.operators.graph import checkpointed
+from netquarry.session import stored
 
 KEYS = "doc string, parent array<string>, key string, container string, leaf string"
 #: Types kept however few names they have, and types of free text.
@@ -90,7 +90,7 @@ def extract_symbols(keys: DataFrame, max_depth: int = 12) -> DataFrame:
     level = keys.where(F.size("parent") == 0).select("doc", "parent", F.lit("").alias("signature"), F.lit("root").alias("last"), "key", "container", "leaf")
     found = None
     for _ in range(max_depth):
-        level = checkpointed(level)
+        level = stored(level)
         if level.isEmpty():
             break
         instances = level.groupBy("signature").agg(F.count_distinct(F.struct("doc", "parent")).alias("instances"))
@@ -173,7 +173,7 @@ def special_types(symbols: DataFrame) -> DataFrame:
 def relationships(symbols: DataFrame) -> DataFrame:
     """src_type, src_name, dst_type, dst_name, docs: each symbol with the nearest symbol that encloses it."""
     inner = symbols.select("doc", "path", "type", "name").distinct().withColumn("id", F.monotonically_increasing_id())
-    inner = checkpointed(inner)
+    inner = stored(inner)
     ancestors = inner.where(F.size("path") > 1).select("id", "doc", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))).alias("path"))
     outer = inner.select("doc", "path", F.col("type").alias("dst_type"), F.col("name").alias("dst_name"))
     met = ancestors.join(outer, ["doc", "path"]).groupBy("id").agg(F.max(F.struct(F.size("path").alias("n"), "dst_type", "dst_name")).alias("x"))

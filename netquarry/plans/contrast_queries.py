@@ -142,9 +142,9 @@ def g15_condense(spark, d):
 def g13(spark, d):
     f = rule_frame(spark, d)
     rules = fixed_rules(f)
-    from netquarry.operators.graph import checkpointed
+    from netquarry.session import stored
 
-    picked = C.spanning_rules(checkpointed(C.rule_rows(rules, C.long_items(f, ROW_FEATURES))), drop_picked=True)
+    picked = C.spanning_rules(stored(C.rule_rows(rules, C.long_items(f, ROW_FEATURES))), drop_picked=True)
     return spark.createDataFrame([(k, r) for k, r in enumerate(picked)], "place int, rule_id long")
 
 
