@@ -1,94 +1,115 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are windows of two blocks of eight words, a block apart. Their terms are words hashed to TERMS columns. One pass
-over all documents sums, for each term, its document frequency (in blocks) and its row of A'S, where A is the passage-term
-matrix and S a sparse random sign matrix with RANK columns (each passage, by a hash of its words, has NONZERO entries of
-1 or -1). The driver weights those TERMS x RANK numbers by inverse document frequency (terms in too many blocks get weight
-0) and their singular vectors are the latent space. A second pass projects every passage,
-searches by cosine among the windows of the benchmark items, and checks what it finds: enough shared rare terms, then
-the longest common subsequence of words of the item and the surroundings; a subsequence of LCS_ALONE of the item is a
-leak, and one of LCS_PARAPHRASE is if the item's answer (its last sentence) is there too.
-
-A passage that leaks often makes its own words frequent, and its weights 0. So every item is also searched without
-weights: a leak has LCS_PARAPHRASE of the item's words, so it has some of the rarest ones of any larger part of them,
-however frequent those are. Wherever RARE_HITS of them stand together the subsequence is computed; there an answer
-counts by all its words, too.
+Passages are windows of two blocks of four to sixteen words, a block apart, of the documents and of the benchmark items;
+blocks begin where the text itself says so, hence a copied passage has the windows of its source. Their
+terms are words hashed to TERMS columns. The term-passage matrix A is weighted by inverse document frequency, which is
+never zero. Its singular value decomposition is randomised and distributed: a first pass sums document frequencies and
+the sketch Y = A S (S: sparse random signs, WIDTH columns, NONZERO entries a passage, drawn by a hash of its words); the
+driver orthonormalises Y to Q; a second pass sums the Gram matrix of B = Q'A; its leading RANK eigenvectors rotate Q into
+the singular vectors. A third pass folds every passage into the latent space (U scaled by the inverse singular values)
+and searches by cosine among the windows of the items. Whatever it finds is checked by the longest common subsequence
+of words of the item and the surroundings: one of LCS_ALONE of the item is a leak, and one of LCS_PARAPHRASE is if the
+item's answer (its last sentence) is there too. Frequencies scale terms smoothly, so an item is found as well if it leaks
+into a third of all rows or into one.
 
 Edge cases: null or empty texts have no passages; null or empty items are ignored; without items nothing is
 contaminated; repeated rows and items give repeated findings; null doc_ids stay; extra columns pass or are ignored;
-empty tables give empty results. The benchmark goes to all tasks in blocks of at most ITEMS_AT_ONCE items.
+empty tables give empty results. The benchmark is handled in blocks of about ITEMS_AT_ONCE items: the driver and the
+tasks hold one block at a time, and each block is one more pass over the documents.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from netquarry.llm.runtime import map_arrow, text_rows
+from netquarry.llm.runtime import map_arrow, stored, text_rows
 from netquarry.llm.words import chunks, mix64, word_hashes
 
-TERMS, RANK, BLOCK, NONZERO = 1 << 14, 64, 8, 2
-#: A term in a larger share of the blocks says nothing about a passage.
-FREQUENT = 0.003
-COSINE, SHARED_TERMS = 0.4, 3
-LCS_ALONE, LCS_PARAPHRASE, ANSWER = 0.7, 0.5, 0.6
+TERMS, RANK, OVERSAMPLED, NONZERO = 1 << 15, 192, 16, 2
+NEAR, LONGEST = 3, 16
+WIDTH = RANK + OVERSAMPLED
+#: Added (in squares) to the singular values before they are inverted, as a share of the largest: directions that hardly
+#: any passage has, as in a corpus of few passages, are not blown up.
+RIDGE = 0.3
+COSINE = 0.4
+LCS_ALONE, LCS_PARAPHRASE, ANSWER = 0.6, 0.5, 0.6
 ITEMS_AT_ONCE = 20_000
-#: Items whose words are looked up together: a chunk has at most so many finds a word.
-LOOKED_UP_AT_ONCE = 64
-#: Of the item's rarest words so many must stand together; any number finds all leaks.
-RARE_HITS = 3
-#: Text handled at once: some dozen arrays of RANK numbers a word are alive.
+#: Text handled at once by a task.
 CHUNK_BYTES = 1 << 18
+#: Words of surroundings whose subsequences are computed together.
+PLACES_AT_ONCE = 1 << 20
 _GROUP, SALT = 256, 16
 
 
 class Passages:
-    """Blocks and windows of the rows of a chunk."""
+    """Blocks and windows of the rows of a chunk.
+
+    A block begins at a word whose hash is the least of NEAR words on either side, and at most LONGEST words after the one
+    before it: equal passages have equal blocks wherever they stand. A window is a block and the next of its row.
+    """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         self.hashes, self.at, _, _ = word_hashes(raw, offsets)
-        self.terms = (self.hashes & np.uint64(TERMS - 1)).astype(np.uint16)
-        words = np.diff(self.at)
-        self.row_blocks = -(-words // BLOCK)
-        self.block_at = np.concatenate([[0], np.cumsum(self.row_blocks)])
-        blocks = int(self.block_at[-1])
-        self.block_row = np.repeat(np.arange(len(words)), self.row_blocks)
-        self.block_start = self.at[:-1][self.block_row] + (np.arange(blocks) - self.block_at[:-1][self.block_row]) * BLOCK
-        # A window is a block and the next of its row; the last block of a row with several is no window of its own.
-        follows = np.zeros(blocks, bool)
+        self.terms = (self.hashes & np.uint64(TERMS - 1)).astype(np.int64)
+        self.block_start = _block_starts(self.hashes, self.at)
+        self.block_row = np.searchsorted(self.at, self.block_start, side="right") - 1
+        blocks = len(self.block_start)
+        self.block_end = np.append(self.block_start[1:], len(self.hashes))
+        follows, goes_on = np.zeros(blocks, bool), np.zeros(blocks, bool)
         follows[:-1] = self.block_row[1:] == self.block_row[:-1]
-        self.follows = follows
-        single = self.row_blocks[self.block_row] == 1
-        self.window = np.flatnonzero(follows | single)
+        goes_on[1:] = follows[:-1]
+        # The last block of a row with several is no window of its own.
+        self.window = np.flatnonzero(follows | ~goes_on)
         self.pair = follows[self.window]
+        self.start = self.block_start[self.window]
+        self.end = self.block_end[self.window + self.pair]
 
     def block_sums(self, table: np.ndarray) -> np.ndarray:
-        """Sums of table's rows over the terms of each block; table has one more row, of zeros."""
-        places = self.block_start[:, None] + np.arange(BLOCK)
-        ends = self.at[1:][self.block_row]
-        terms = np.where(places < ends[:, None], self.terms[np.minimum(places, len(self.terms) - 1)], TERMS)
-        out = table[terms[:, 0]]
-        for k in range(1, BLOCK):
-            out += table[terms[:, k]]
+        """Sums of table's rows over the terms of each block."""
+        out = table[self.terms[self.block_start]]
+        some = np.arange(len(out))
+        for k in range(1, LONGEST):
+            some = some[self.block_start[some] + k < self.block_end[some]]
+            out[some] += table[self.terms[self.block_start[some] + k]]
         return out
 
-    def windows(self, sums: np.ndarray) -> np.ndarray:
+    def windows(self, table: np.ndarray) -> np.ndarray:
+        """Sums of table's rows over the terms of each window."""
+        sums = self.block_sums(table)
         out = sums[self.window]
         out[self.pair] += sums[self.window[self.pair] + 1]
         return out
 
 
+def _block_starts(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """First words of the blocks."""
+    n = len(hashes)
+    least = np.ones(n, bool)
+    for k in range(1, min(NEAR, n - 1) + 1):
+        least[k:] &= hashes[k:] < hashes[:-k]
+        least[:-k] &= hashes[:-k] <= hashes[k:]
+    firsts = at[:-1][at[:-1] < at[1:]]
+    least[firsts] = True
+    starts = np.flatnonzero(least)
+    gaps = np.diff(np.append(starts, n))
+    parts = -(-gaps // LONGEST)
+    if (parts == 1).all():
+        return starts
+    inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(starts, parts) + inside * LONGEST
+
+
 def _firsts(p: Passages) -> np.ndarray:
     """Terms, once for each block that has them."""
-    block = np.repeat(np.arange(len(p.block_start)), np.diff(np.append(p.block_start, len(p.terms))))
+    block = np.repeat(np.arange(len(p.block_start)), p.block_end - p.block_start)
     first = np.ones(len(p.terms), bool)
-    for k in range(1, BLOCK):
+    for k in range(1, min(LONGEST, len(p.terms))):
         first[k:] &= ~((p.terms[k:] == p.terms[:-k]) & (block[k:] == block[:-k]))
     return p.terms[first]
 
@@ -99,41 +120,50 @@ def _signs(p: Passages) -> tuple[np.ndarray, np.ndarray]:
     keys = sums[p.window]
     keys[p.pair] += sums[p.window[p.pair] + 1] * np.uint64(3)
     draws = np.stack([mix64(keys + np.uint64(k + 1)) for k in range(NONZERO)])
-    return ((draws >> np.uint64(8)) % np.uint64(RANK)).astype(np.int64), np.where(draws & np.uint64(1), 1, -1)
-
-
-def _partial_products(batches):
-    """Of one task: rows of A'S and block frequencies, by groups of terms."""
-    product, frequency, blocks = np.zeros(TERMS * RANK, np.float32), np.zeros(TERMS, np.int64), 0
+    return ((draws >> np.uint64(8)) % np.uint64(WIDTH)).astype(np.int64), np.where(draws & np.uint64(1), 1, -1)
+
+
+def _add_sketch(p: Passages, product: np.ndarray) -> None:
+    """Adds the chunk's passages, times the sketching matrix, to product (flat, TERMS x WIDTH)."""
+    columns, signs = _signs(p)
+    sizes = p.block_end - p.block_start
+    of_word = np.repeat(np.arange(len(sizes)), sizes)
+    terms = p.terms * WIDTH
+    at, add = [], []
+    for column, sign in zip(columns, signs, strict=True):
+        for windows, chosen in ((p.window, slice(None)), (p.window[p.pair] + 1, p.pair)):
+            c, g = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int8)
+            c[windows], g[windows] = column[chosen], sign[chosen]
+            there = g[of_word] != 0
+            at.append((terms + c[of_word])[there])
+            add.append(g[of_word][there])
+    at, add = np.concatenate(at), np.concatenate(add).astype(np.float32)
+    order = np.argsort(at, kind="stable")
+    places, first = np.unique(at[order], return_index=True)
+    product[places] += np.add.reduceat(add[order], first)
+
+
+def _partial_sketch(batches):
+    """Of one task: rows of Y and block frequencies, by groups of terms."""
+    product, frequency, blocks = np.zeros(TERMS * WIDTH, np.float32), np.zeros(TERMS, np.int64), 0
     for batch in batches:
         for _, _, raw, offsets in chunks(batch.column(0)):
             p = Passages(raw, offsets)
-            if not len(p.terms):
-                continue
-            blocks += len(p.block_start)
-            frequency += np.bincount(_firsts(p), minlength=TERMS)
-            columns, signs = _signs(p)
-            sizes = np.diff(np.append(p.block_start, len(p.terms)))
-            of_word = np.repeat(np.arange(len(sizes)), sizes)
-            terms = p.terms.astype(np.int64) * RANK
-            at, add = [], []
-            for column, sign in zip(columns, signs, strict=True):
-                for windows, first in ((p.window, 0), (p.window[p.pair] + 1, 1)):
-                    c, g = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int8)
-                    c[windows], g[windows] = (column, sign) if not first else (column[p.pair], sign[p.pair])
-                    at.append(terms + c[of_word])
-                    add.append(g[of_word])
-            product += np.bincount(np.concatenate(at), np.concatenate(add), minlength=TERMS * RANK).astype(np.float32)
-    product = product.reshape(TERMS, RANK)
-    groups, payloads = [], []
+            if len(p.terms):
+                blocks += len(p.block_start)
+                frequency += np.bincount(_firsts(p), minlength=TERMS)
+                _add_sketch(p, product)
+    product = product.reshape(TERMS, WIDTH)
+    rows = []
     for g in range(0, TERMS, _GROUP):
         there = np.flatnonzero(frequency[g : g + _GROUP])
         if len(there):
-            groups.append(g // _GROUP)
-            payloads.append(_pack(there, frequency[g + there], product[g + there]))
-    groups.append(-1)
-    payloads.append(np.int64(blocks).tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(payloads, pa.binary())], ["terms", "payload"])
+            rows.append((g // _GROUP, _pack(there, frequency[g + there], product[g + there])))
+    yield _payloads([*rows, (-1, np.int64(blocks).tobytes())])
+
+
+def _payloads(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["terms", "payload"])
 
 
 def _pack(there: np.ndarray, frequency: np.ndarray, product: np.ndarray) -> bytes:
@@ -141,8 +171,8 @@ def _pack(there: np.ndarray, frequency: np.ndarray, product: np.ndarray) -> byte
 
 
 def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(payload) // (2 + 8 + 4 * RANK)
-    return np.frombuffer(payload, "<u2", n), np.frombuffer(payload, "<i8", n, 2 * n), np.frombuffer(payload, "<f4", n * RANK, 10 * n).reshape(n, RANK)
+    n = len(payload) // (2 + 8 + 4 * WIDTH)
+    return np.frombuffer(payload, "<u2", n), np.frombuffer(payload, "<i8", n, 2 * n), np.frombuffer(payload, "<f4", n * WIDTH, 10 * n).reshape(n, WIDTH)
 
 
 def _summed(batches):
@@ -154,125 +184,142 @@ def _summed(batches):
             if group < 0:
                 blocks += int(np.frombuffer(payload, np.int64)[0])
                 continue
-            f, z = sums.setdefault(group, (np.zeros(_GROUP, np.int64), np.zeros((_GROUP, RANK))))
+            f, z = sums.setdefault(group, (np.zeros(_GROUP, np.int64), np.zeros((_GROUP, WIDTH))))
             there, frequency, product = _unpack(payload)
             f[there] += frequency
             z[there] += product
-    rows = [(g, _pack(np.arange(_GROUP), f, z)) for g, (f, z) in sums.items()]
-    rows += [(-1, np.int64(blocks).tobytes())] if blocks else []
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["terms", "payload"])
+    rows = []
+    for g, (f, z) in sums.items():
+        there = np.flatnonzero(f)
+        rows.append((g, _pack(there, f[there], z[there])))
+    yield _payloads(rows + ([(-1, np.int64(blocks).tobytes())] if blocks else []))
+
+
+def _partial_gram(basis: np.ndarray):
+    """Of one task: the Gram matrix of Q'A."""
+
+    def run(batches):
+        gram = np.zeros((WIDTH, WIDTH))
+        for batch in batches:
+            for _, _, raw, offsets in chunks(batch.column(0), CHUNK_BYTES):
+                p = Passages(raw, offsets)
+                if len(p.terms):
+                    b = p.windows(basis)
+                    gram += b.T @ b
+        yield _payloads([(0, gram.tobytes())])
+
+    return run
+
 
+def _summed_grams(batches):
+    gram, some = np.zeros((WIDTH, WIDTH)), False
+    for batch in batches:
+        for payload in batch.column(1).to_pylist():
+            gram += np.frombuffer(payload).reshape(WIDTH, WIDTH)
+            some = True
+    yield _payloads([(0, gram.tobytes())] if some else [])
 
-def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Term vectors (left singular vectors of the sketch, a unit vector a term times its inverse document frequency; the last row is 0), block frequencies."""
-    parts = map_arrow(text_rows(docs).select("text"), _partial_products, "terms int, payload binary")
-    # Summed in two steps, so that no task reads what every task wrote about its terms.
+
+def _added(parts: DataFrame, by_key) -> list[tuple[int, bytes]]:
+    """Sums of the tasks' payloads in two steps, so that no task reads what every task wrote."""
     salted = parts.withColumn("salt", F.spark_partition_id() % SALT).repartition("terms", "salt").select("terms", "payload")
-    partial = map_arrow(salted, _summed, "terms int, payload binary")
-    # TERMS rows of RANK numbers reach the driver, whatever the size of the corpus.
-    found = map_arrow(partial.repartition("terms"), _summed, "terms int, payload binary").collect()
-    frequency, product, blocks = np.zeros(TERMS, np.int64), np.zeros((TERMS, RANK)), 0
-    for group, payload in ((r["terms"], bytes(r["payload"])) for r in found):
+    partial = map_arrow(salted, by_key, "terms int, payload binary")
+    # One row a group of terms reaches the driver, whatever the size of the corpus.
+    return [(r["terms"], bytes(r["payload"])) for r in map_arrow(partial.repartition("terms"), by_key, "terms int, payload binary").collect()]
+
+
+def _weights(frequency: np.ndarray, blocks: int) -> np.ndarray:
+    """Smoothed inverse document frequency, damped: above zero for the most frequent terms."""
+    return np.sqrt(np.log1p(blocks / np.maximum(frequency, 1)))
+
+
+def _orthonormal(sketch: np.ndarray) -> np.ndarray:
+    q, r = np.linalg.qr(sketch)
+    size = np.abs(np.diag(r))
+    return q * (size > 1e-9 * max(size.max(), 1e-30))
+
+
+def _with_zeros(table: np.ndarray) -> np.ndarray:
+    return np.vstack([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
+
+
+def _singular(basis: np.ndarray, gram: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """Left singular vectors and values of A from Q and the Gram matrix of Q'A, largest first, without the null ones."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    values, vectors = values[::-1][:rank], vectors[:, ::-1][:, :rank]
+    real = values > 1e-7 * max(values[0], 1e-30)
+    return basis @ vectors[:, real], np.sqrt(values[real])
+
+
+def latent_space(texts: DataFrame) -> np.ndarray:
+    """What folds a passage in: a row a term (its weight times its left singular vector, scaled by the inverse singular values), and a last row of zeros."""
+    found = _added(map_arrow(texts, _partial_sketch, "terms int, payload binary"), _summed)
+    frequency, sketch, blocks = np.zeros(TERMS, np.int64), np.zeros((TERMS, WIDTH)), 0
+    for group, payload in found:
         if group < 0:
             blocks += int(np.frombuffer(payload, np.int64)[0])
         else:
             there, f, z = _unpack(payload)
             frequency[group * _GROUP + there] = f
-            product[group * _GROUP + there] = z
-    idf = np.log((blocks + 1) / (frequency + 1))
-    idf[frequency > max(FREQUENT * blocks, 2)] = 0
-    basis, _, _ = np.linalg.svd(product * idf[:, None], full_matrices=False)
-    size = np.linalg.norm(basis, axis=1, keepdims=True)
-    # Terms that no document has get a direction of their own, so that an item's new words still count.
-    fresh = np.random.default_rng(TERMS).standard_normal(basis.shape)
-    unit = np.where(size > 1e-9, basis / np.maximum(size, 1e-9), fresh / np.linalg.norm(fresh, axis=1, keepdims=True))
-    return np.vstack([unit * idf[:, None], np.zeros((1, RANK))]).astype(np.float32), frequency
+            sketch[group * _GROUP + there] = z
+    idf = _weights(frequency, blocks)[:, None]
+    basis = _orthonormal(sketch * idf)
+    grams = _added(map_arrow(texts, _partial_gram(_with_zeros(basis * idf)), "terms int, payload binary"), _summed_grams)
+    gram = sum((np.frombuffer(p).reshape(WIDTH, WIDTH) for _, p in grams), np.zeros((WIDTH, WIDTH)))
+    vectors, values = _singular(basis, gram)
+    return folded(vectors, values, idf)
+
+
+def folded(vectors: np.ndarray, values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Rows that fold terms into the latent space."""
+    return _with_zeros(vectors / np.sqrt(values**2 + (RIDGE * values.max(initial=1e-30)) ** 2) * weights)
 
 
 class Benchmark:
-    """Items with their windows in the latent space."""
+    """A block of items with their windows in the latent space."""
 
-    def __init__(self, items: list[tuple[int, str]], space: np.ndarray, frequency: np.ndarray):
+    def __init__(self, items: list[tuple[int, str]], space: np.ndarray):
         self.ids = [i for i, _ in items]
-        column = pa.array([t for _, t in items], pa.large_string())
-        self.words: list[np.ndarray] = []
-        for _, _, raw, offsets in chunks(column):
-            hashes, at, _, _ = word_hashes(raw, offsets)
-            self.words += [hashes[at[i] : at[i + 1]] for i in range(len(at) - 1)]
-        answers = pa.array([_answer(t) for _, t in items], pa.large_string())
-        self.answers: list[frozenset] = []
-        self.whole_answers: list[frozenset] = []
-        is_rare = np.abs(space[:TERMS]).sum(axis=1) > 0
-        for _, _, raw, offsets in chunks(answers):
-            hashes, at, _, _ = word_hashes(raw, offsets)
-            whole = [frozenset(hashes[at[i] : at[i + 1]].tolist()) for i in range(len(at) - 1)]
-            self.whole_answers += whole
-            self.answers += [frozenset(h for h in w if is_rare[h & (TERMS - 1)]) for w in whole]
-        rows, owner = [], []
-        self.has_term = np.zeros((len(items), TERMS), bool)
-        for k, w in enumerate(self.words):
-            terms = (w & np.uint64(TERMS - 1)).astype(np.int64)
-            self.has_term[k, terms[is_rare[terms]]] = True
-            last = max(0, len(w) - 2 * BLOCK)
-            for a in sorted({*range(0, last + 1, BLOCK), last}):
-                rows.append(space[terms[a : a + 2 * BLOCK]].sum(axis=0))
-                owner.append(k)
-        self.least_shared = np.clip(self.has_term.sum(axis=1), 1, SHARED_TERMS)
-        self.vectors, self.owner = _unit(np.array(rows, np.float32).reshape(-1, RANK)), np.array(owner, np.int64)
-        self.masks: dict[int, dict[int, int]] = {}
-        self.by_words = [WordIndex(self, range(len(items))[a : a + LOOKED_UP_AT_ONCE], frequency) for a in range(0, len(items), LOOKED_UP_AT_ONCE)]
-
-    def mask(self, k: int) -> dict[int, int]:
-        if k not in self.masks:
-            m: dict[int, int] = {}
-            for i, w in enumerate(self.words[k].tolist()):
-                m[w] = m.get(w, 0) | 1 << i
-            self.masks[k] = m
-        return self.masks[k]
-
-
-class WordIndex:
-    """Rarest words of some items: a leak has at least hits of them, since it lacks at most 1 - LCS_PARAPHRASE of the item."""
-
-    def __init__(self, bench: Benchmark, items: range, frequency: np.ndarray):
-        pairs = []
-        self.hits, self.reach = np.zeros(len(bench.ids), np.int64), np.zeros(len(bench.ids), np.int64)
-        for k in items:
-            w = bench.words[k]
-            need = math.ceil(LCS_PARAPHRASE * len(w))
-            self.hits[k], self.reach[k] = min(RARE_HITS, need), 2 * len(w) + 2 * BLOCK
-            order = np.argsort(frequency[(w & np.uint64(TERMS - 1)).astype(np.int64)], kind="stable")
-            pairs += [(h, k) for h in set(w[order[: len(w) - need + self.hits[k]]].tolist())]
-        pairs.sort()
-        self.vocabulary, first = np.unique(np.array([h for h, _ in pairs], np.uint64), return_index=True)
-        # Most words of a text are none of these; their first bits tell.
+        self.words = _words_of([t for _, t in items])
+        self.answers = [frozenset(w.tolist()) for w in _words_of([_answer(t) for _, t in items])]
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        vectors, owner = [], []
+        for a, _, raw, offsets in chunks(pa.array([t for _, t in items], pa.large_string())):
+            p = Passages(raw, offsets)
+            vectors.append(p.windows(space))
+            owner.append(p.block_row[p.window] + a)
+        self.vectors, self.owner = _unit(np.concatenate(vectors)) if vectors else np.zeros((0, space.shape[1])), np.concatenate([np.zeros(0, np.int64), *owner])
+        self.vocabulary = np.unique(np.concatenate([np.zeros(1, np.uint64), *self.words]))
         self.shift = np.uint64(46)
         self.perhaps = np.zeros(1 << 18, bool)
         self.perhaps[self.vocabulary >> self.shift] = True
-        self.first, self.items = np.append(first, len(pairs)), np.array([k for _, k in pairs], np.int64)
-
-    def places(self, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, items and places of words that have hits of the item's rarest words, themselves included, within its reach."""
-        place = np.flatnonzero(self.perhaps[p.hashes >> self.shift])
-        words = p.hashes[place]
-        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        same = self.vocabulary[at] == words
-        place, at = place[same], at[same]
-        sizes = self.first[at + 1] - self.first[at]
-        offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        item, place = self.items[np.repeat(self.first[at], sizes) + offset], np.repeat(place, sizes)
-        order = np.argsort(item, kind="stable")
-        item, place = item[order], place[order]
-        row = np.searchsorted(p.at, place, side="right") - 1
-        last = np.arange(len(item)) + self.hits[item] - 1
-        end = np.minimum(last, len(item) - 1)
-        near = (last < len(item)) & (item[end] == item) & (row[end] == row) & (place[end] - place < self.reach[item])
-        # Of a run of near words, each may stand at the centre: the last ones are near to those before.
-        marks = np.zeros(len(item) + 1, np.int64)
-        np.add.at(marks, np.flatnonzero(near), 1)
-        np.add.at(marks, end[near] + 1, -1)
-        chosen = np.cumsum(marks[:-1]) > 0
-        return row[chosen], item[chosen], place[chosen]
+        self.limbs = -(-self.length // 64)
+        self.known = [self._places(w) for w in self.words]
+
+    def _places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An item's distinct words by number, and the places of each as bits of 64-bit limbs."""
+        numbers, inverse = np.unique(np.searchsorted(self.vocabulary, words), return_inverse=True)
+        bits = np.zeros((len(numbers), -(-len(words) // 64)), np.uint64)
+        place = np.arange(len(words))
+        np.bitwise_or.at(bits, (inverse, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+        return numbers, bits
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The words' numbers in the vocabulary; its length for words that are not there."""
+        out = np.full(len(hashes), len(self.vocabulary), np.int64)
+        place = np.flatnonzero(self.perhaps[hashes >> self.shift])
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes[place]), len(self.vocabulary) - 1)
+        same = self.vocabulary[at] == hashes[place]
+        out[place[same]] = at[same]
+        return out
+
+
+def _words_of(texts: list[str]) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for _, _, raw, offsets in chunks(pa.array(texts, pa.large_string())):
+        hashes, at, _, _ = word_hashes(raw, offsets)
+        out += [hashes[at[i] : at[i + 1]] for i in range(len(at) - 1)]
+    return out
 
 
 def _answer(text: str) -> str:
@@ -281,19 +328,83 @@ def _answer(text: str) -> str:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
-
-def common_subsequence(mask: dict[int, int], n: int, words: list[int]) -> int:
-    """Length of the longest common subsequence with n words whose positions are in mask, by bit-parallel rows."""
-    full = (1 << n) - 1
-    row = full
-    for w in words:
-        m = mask.get(w)
-        if m:
-            u = row & m
-            row = (row + u | row - u) & full
-    return n - row.bit_count()
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def common_subsequences(masks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of many pairs at once, by bit-parallel rows.
+
+    masks (pairs, places, limbs): for each word of the one text, its places in the other, as bits; lengths: words of the other.
+    """
+    pairs, places, limbs = masks.shape
+    row = np.full((limbs, pairs), ~np.uint64(0))
+    bits = np.moveaxis(masks, 0, -1)
+    for k in range(places):
+        carry = np.zeros(pairs, np.uint64)
+        for j in range(limbs):
+            m = bits[k, j]
+            u = row[j] & m
+            total = row[j] + u
+            if limbs > 1:
+                over = total < u
+                total += carry
+                carry = (over | (total < carry)).astype(np.uint64)
+            row[j] = total | (row[j] & ~m)
+    out = np.zeros(pairs, np.int64)
+    for j in range(limbs):
+        inside = np.clip(lengths - 64 * j, 0, 64)
+        keep = np.where(inside >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(inside, 63).astype(np.uint64)) - np.uint64(1))
+        out += np.bitwise_count(~row[j] & keep).astype(np.int64)
+    return out
+
+
+def _subsequences(numbers: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, bench: Benchmark) -> np.ndarray:
+    """For each pair, the longest common subsequence of its item and the words from begin to end (sorted by item)."""
+    widest, limbs = int((end - begin).max()), int(bench.limbs[item].max())
+    masks = np.zeros((len(item), widest, limbs), np.uint64)
+    places = begin[:, None] + np.arange(widest)
+    there = np.where(places < end[:, None], numbers[np.minimum(places, len(numbers) - 1)], len(bench.vocabulary))
+    edges = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
+    table = np.zeros((len(bench.vocabulary) + 1, limbs), np.uint64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        words, bits = bench.known[item[a]]
+        table[words, : bits.shape[1]] = bits
+        masks[a:b] = table[there[a:b]]
+        table[words] = 0
+    return common_subsequences(masks, bench.length[item])
+
+
+def _enough_words(numbers: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, bench: Benchmark) -> np.ndarray:
+    """Which pairs can have a subsequence that long: none is longer than the places from begin to end whose word the item has."""
+    order = np.argsort(item, kind="stable")
+    edges = np.flatnonzero(np.diff(item[order], prepend=-1, append=-1))
+    table, out = np.zeros(len(bench.vocabulary) + 1, bool), np.zeros(len(item), bool)
+    before = np.zeros(len(numbers) + 1, np.int32)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        some = order[a:b]
+        k = int(item[some[0]])
+        words = bench.known[k][0]
+        table[words] = True
+        # A few pairs do not need the whole chunk.
+        lo, hi = int(begin[some].min()), int(end[some].max())
+        np.cumsum(table[numbers[lo:hi]], out=before[1 : hi - lo + 1])
+        table[words] = False
+        out[some] = before[end[some] - lo] - before[begin[some] - lo] >= LCS_PARAPHRASE * bench.length[k]
+    return out
+
+
+def candidates(p: Passages, space: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and items whose cosine reaches the threshold, each pair once."""
+    passages = _unit(p.windows(space))
+    found = [np.zeros(0, np.int64)]
+    at_once = max(1, (1 << 22) // len(bench.vectors))
+    for a in range(0, len(passages), at_once):
+        flat = np.flatnonzero(passages[a : a + at_once] @ bench.vectors.T >= COSINE)
+        # Windows and the owners of the vectors ascend, so equal pairs are neighbours.
+        pairs = (flat // len(bench.vectors) + a) * len(bench.ids) + bench.owner[flat % len(bench.vectors)]
+        found.append(pairs[np.diff(pairs, prepend=-1) > 0])
+    pairs = np.concatenate(found)
+    return pairs // len(bench.ids), pairs % len(bench.ids)
 
 
 def find_leaks(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray, bench: Benchmark) -> list[dict[int, float]]:
@@ -302,38 +413,26 @@ def find_leaks(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray, bench: B
     p = Passages(raw, offsets)
     if not len(p.terms) or not len(bench.vectors):
         return found
-    passages = _unit(p.windows(p.block_sums(space)))
-    seen: set[tuple[int, int]] = set()
-    at_once = max(1, (1 << 22) // len(bench.vectors))
-    for a in range(0, len(passages), at_once):
-        cosines = passages[a : a + at_once] @ bench.vectors.T
-        flat = np.flatnonzero(cosines.ravel() >= COSINE)
-        w, q = flat // len(bench.vectors) + a, bench.owner[flat % len(bench.vectors)]
-        start = p.block_start[p.window[w]]
-        row = p.block_row[p.window[w]]
-        places = start[:, None] + np.arange(2 * BLOCK)[None, :]
-        inside = places < p.at[1:][row][:, None]
-        shared = (bench.has_term[q[:, None], p.terms[np.minimum(places, len(p.terms) - 1)]] & inside).sum(axis=1)
-        enough = shared >= bench.least_shared[q]
-        for r, k, s in zip(row[enough].tolist(), q[enough].tolist(), start[enough].tolist(), strict=True):
-            if (s, k) not in seen:
-                seen.add((s, k))
-                n = len(bench.words[k])
-                around = p.hashes[max(int(p.at[r]), s - n) : min(int(p.at[r + 1]), s + 2 * BLOCK + n)].tolist()
-                share = common_subsequence(bench.mask(k), n, around) / n
-                if share >= LCS_ALONE or share >= LCS_PARAPHRASE and _answered(bench.answers[k], around):
-                    found[r][k] = max(share, found[r].get(k, 0.0))
-    for index in bench.by_words:
-        for r, k, s in zip(*(x.tolist() for x in index.places(p)), strict=True):
-            if k not in found[r]:
-                n, mask = len(bench.words[k]), bench.mask(k)
-                around = p.hashes[max(int(p.at[r]), s - n) : min(int(p.at[r + 1]), s + 2 * BLOCK + n)].tolist()
-                # No subsequence is longer than the item's words that are there in any order.
-                if sum([mask[w].bit_count() for w in mask.keys() & around]) < LCS_PARAPHRASE * n:
-                    continue
-                share = common_subsequence(mask, n, around) / n
-                if share >= LCS_ALONE or share >= LCS_PARAPHRASE and (_answered(bench.answers[k], around) or _answered(bench.whole_answers[k], around)):
-                    found[r][k] = share
+    window, item = candidates(p, space, bench)
+    row, n = p.block_row[p.window[window]], bench.length[item]
+    begin = np.maximum(p.at[row], p.start[window] - n)
+    end = np.minimum(p.at[row + 1], p.end[window] + n)
+    numbers = bench.numbers(p.hashes)
+    worth = _enough_words(numbers, begin, end, item, bench)
+    row, item, n, begin, end = row[worth], item[worth], n[worth], begin[worth], end[worth]
+    # Pairs of like sizes together, and within that by item.
+    order = np.lexsort((item, bench.limbs[item], end - begin >> 5))
+    sizes = np.cumsum((end - begin)[order] * bench.limbs[item[order]])
+    cuts = np.flatnonzero(np.diff(sizes // PLACES_AT_ONCE, prepend=-1, append=-1)) if len(order) else np.zeros(0, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        some = order[a:b]
+        some = some[np.argsort(item[some], kind="stable")]
+        share = _subsequences(numbers, begin[some], end[some], item[some], bench) / n[some]
+        for x in np.flatnonzero(share >= LCS_PARAPHRASE).tolist():
+            i = some[x]
+            r, k = int(row[i]), int(item[i])
+            if share[x] >= LCS_ALONE or _answered(bench.answers[k], p.hashes[begin[i] : end[i]].tolist()):
+                found[r][k] = max(float(share[x]), found[r].get(k, 0.0))
     return found
 
 
@@ -341,11 +440,11 @@ def _answered(answer: frozenset, around: list[int]) -> bool:
     return bool(answer) and len(answer.intersection(around)) >= ANSWER * len(answer)
 
 
-def _leaks_of(space: np.ndarray, frequency: np.ndarray, items: list[tuple[int, str]], at: int):
+def _leaks_of(space: np.ndarray, items: list[tuple[int, str]], at: int):
     """Adds leaked_items (sorted ids) to every row; the text is column number at."""
 
     def run(batches):
-        bench = Benchmark(items, space, frequency)
+        bench = Benchmark(items, space)
         for batch in batches:
             for a, b, raw, offsets in chunks(batch.column(at), CHUNK_BYTES):
                 leaks = [sorted(bench.ids[k] for k in x) for x in find_leaks(raw, offsets, space, bench)]
@@ -354,18 +453,40 @@ def _leaks_of(space: np.ndarray, frequency: np.ndarray, items: list[tuple[int, s
     return run
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _searched(docs: DataFrame, space: np.ndarray, items: list[tuple[int, str]]) -> DataFrame:
+    return map_arrow(docs, _leaks_of(space, items, docs.columns.index("text")), StructType([*docs.schema.fields, StructField("_leaked_items", ArrayType(LongType()))]))
+
+
+def _text_key(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit("leaks"), text)
+
+
+def with_leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """docs and one more column, _leaked_items."""
-    items = sorted((int(r[0]), r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").collect() if r[1].split())
-    space, frequency = latent_space(docs)
-    at = docs.columns.index("text")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = items.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    space = latent_space(text_rows(docs).select("text").unionByName(items.select("text")))
+    blocks = max(1, -(-items.count() // items_at_once))
+    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+
+    def block(k: int) -> list[tuple[int, str]]:
+        return sorted((r["item_id"], r["text"]) for r in numbered.where(F.col("block") == k).collect())
+
+    if blocks == 1:
+        return _searched(docs, space, block(0))
+    # Findings of a block are few (one row a leaking text); they wait in tables, so that one block is in memory at a time.
+    distinct = stored(text_rows(docs).select("text").where("text is not null").distinct(), "texts")
+    findings = None
+    for k in range(blocks):
+        h1, h2 = _text_key(F.col("text"))
+        now = _searched(distinct, space, block(k)).where(F.size("_leaked_items") > 0).select(h1.alias("_h1"), h2.alias("_h2"), F.explode("_leaked_items").alias("_item"))
+        now = stored(now, "findings")
+        findings = now if findings is None else findings.unionByName(now)
+    found = stored(findings.groupBy("_h1", "_h2").agg(F.array_sort(F.collect_list("_item")).alias("_leaked_items")), "findings")
     columns = docs.columns
-    for a in range(0, max(1, len(items)), ITEMS_AT_ONCE):
-        now = map_arrow(docs, _leaks_of(space, frequency, items[a : a + ITEMS_AT_ONCE], at), StructType([*docs.schema.fields, StructField("_leaked_items", ArrayType(LongType()))]))
-        docs = now if not a else now.select(*columns, F.array_union("_found", "_leaked_items").alias("_leaked_items"))
-        if a + ITEMS_AT_ONCE < len(items):
-            docs = docs.withColumnRenamed("_leaked_items", "_found")
-    return docs
+    h1, h2 = _text_key(F.col("_doc.text").cast("string"))
+    keyed = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_doc")).withColumns({"_h1": h1, "_h2": h2}).join(found, ["_h1", "_h2"], "left")
+    return keyed.select(*[F.col(f"_doc.{c}").alias(c) for c in columns], F.coalesce("_leaked_items", F.array().cast("array<bigint>")).alias("_leaked_items"))
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,49 +1,17 @@
-"""Session helpers shared by the training-data operators."""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PACKAGE_ROOT = Path(__file__).resolve().parents[2]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="netquarry-checkpoints-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from netquarry.session import settled, shared_dir, ship, stored
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package where neither PYTHONPATH nor the working folder has it."""
-    roots = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if os.path.realpath(PACKAGE_ROOT) in [*roots, os.path.realpath(os.getcwd())] or "site-packages" in str(PACKAGE_ROOT):
-        return
-    if getattr(spark.sparkContext, "_netquarry_shipped", False):
-        return
-    target = Path(tempfile.mkdtemp(prefix="netquarry-ship-")) / "netquarry.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in (PACKAGE_ROOT / "netquarry").rglob("*.py"):
-            z.write(f, f.relative_to(PACKAGE_ROOT))
-    spark.sparkContext.addPyFile(str(target))
-    spark.sparkContext._netquarry_shipped = True
+#: Bytes that Python workers get at once; one text may be longer.
+BYTES_AT_ONCE = 8 << 20
+#: Keys with more than one in so many of a table's rows (and at least HOT_ROWS) are hot: there are fewer than HOT_KEYS of them.
+HOT_KEYS, HOT_ROWS = 100_000, 1_000
 
 
 def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
@@ -51,23 +19,32 @@ def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in columns], F.col("text").cast("string").alias("text"))
 
 
-#: Rows that Python workers get at once: texts of some thousand bytes make batches of a few MB on both sides.
-ROWS_AT_ONCE = 1024
-
-
 def map_arrow(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with small batches; a lower limit that the session has already is kept."""
+    """mapInArrow with batches of bounded bytes. Spark reads the bound from the session when a plan is made; it is only ever lowered."""
     spark = df.sparkSession
-    ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > ROWS_AT_ONCE:
-        spark.conf.set(key, str(ROWS_AT_ONCE))
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or int(now) > BYTES_AT_ONCE:
+        spark.conf.set(key, str(BYTES_AT_ONCE))
     return df.mapInArrow(fn, schema)
 
 
+def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to keyed: a stored table of one row a key, with the number of rows of the key in weight.
+
+    Hot keys are few by their definition, so their side is broadcast and their rows stay where they are; all other rows meet
+    by a shuffle. No task gets a hot key's rows together.
+    """
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(keyed.where(F.col(weight) > bound))
+    cold = rows.join(F.broadcast(keyed.where(F.col(weight) > bound).select(*keys)), keys, "left_anti").join(keyed.where(F.col(weight) <= bound), keys, how)
+    return cold.unionByName(rows.join(hot, keys).select(*cold.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["map_arrow", "shared_dir", "ship_package", "stored", "table", "text_rows"]
+__all__ = ["join_keyed", "map_arrow", "settled", "shared_dir", "stored", "table", "text_rows"]

@@ -6,6 +6,7 @@ Texts are handled whole, some megabytes of them at a time; memory follows the lo
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +14,12 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_POWERS: list[np.ndarray] = []
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_GOLDEN = 0x9E3779B97F4A7C15
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Words of up to so many bytes are hashed together, eight bytes a step; longer ones one by one.
+_SHORT = 64
 
 CHUNK_BYTES = 1 << 20
 
@@ -33,17 +33,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        _POWERS[:] = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS.append(np.cumprod(p, dtype=np.uint64))
-    return _POWERS[0], _POWERS[1]
-
-
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows in them) for runs of rows of about limit bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -65,11 +54,12 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         at = end
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash of every word, offsets of the rows in the words, and the words' byte bounds."""
-    rows = len(offsets) - 1
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _seeded(seed: int) -> np.uint64:
+    return mix64(np.array([(seed + 1) * _GOLDEN % 2**64], np.uint64))[0]
+
+
+def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte bounds of every word, and offsets of the rows in the words."""
     inside = ~_SPACE[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -79,20 +69,44 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
     last[:-1] &= ~inside[1:]
     last[edges[1:] - 1] = inside[edges[1:] - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _powers(len(raw) + 1)
-    prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[raw] * power[: len(raw)], out=prefix[1:])
-    hashes = mix64((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets), starts, ends
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of every word, offsets of the rows in the words, and the words' byte bounds.
+
+    The state starts from length and seed, takes eight bytes a step and is mixed after each, so equal sums of bytes or
+    periodic words do not meet; seeds give independent hashes.
+    """
+    rows = len(offsets) - 1
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts, ends, at = word_bounds(raw, offsets)
+    text = np.zeros(len(raw) + 8, np.uint8)
+    text[: len(raw)] = _LOWER[raw] if lower else raw
+    eights = np.ndarray(len(raw) + 1, "<u8", text.data, strides=(1,))
+    length, key = ends - starts, _seeded(seed)
+    state = mix64(key + length.astype(np.uint64) * np.uint64(_GOLDEN))
+    some = np.flatnonzero(length <= _SHORT)
+    for k in range(0, _SHORT, 8):
+        some = some[length[some] > k] if k else some
+        if not len(some):
+            break
+        lane = eights[starts[some] + k] & _KEEP[np.minimum(length[some] - k, 8)]
+        state[some] = mix64((state[some] ^ lane) * np.uint64(_GOLDEN) + key)
+    for i in np.flatnonzero(length > _SHORT):
+        digest = hashlib.blake2b(text[starts[i] : ends[i]].tobytes(), digest_size=8, key=int(key).to_bytes(8, "little")).digest()
+        state[i] = int.from_bytes(digest, "little")
+    return state, at, starts, ends
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of width consecutive words."""
+    """Hash of each run of width consecutive words, mixed after every word."""
     n = len(words) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, dtype=np.uint64)
     for k in range(width):
-        out *= np.uint64(_BASE)
-        out += words[k : k + n]
+        out = (out ^ words[k : k + n]) * np.uint64(_GOLDEN)
+        out ^= out >> np.uint64(32)
     return mix64(out)
