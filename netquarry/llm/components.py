@@ -1,6 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every round is a written table; nothing is collected but one changed-rows count a round.
+Every round is a written table, and the one before it is removed; nothing is collected but one row of sums a round. Nodes
+with very many edges are joined apart (join_keyed), so that no task gets a hub's edges together.
 """
 
 from __future__ import annotations
@@ -8,15 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.runtime import stored
+from netquarry.llm.runtime import join_keyed, settled
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable."""
-    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "stars")
+    spark = edges.sparkSession
+    now = settled(spark, "stars", lambda: edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(max_rounds):
-        now = stored(_small_star(_large_star(now)), "stars")
+        now = settled(spark, "stars", lambda at=now: _small_star(settled(spark, "stars", lambda: _large_star(at))))
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if mark == before or not mark[0]:
             break
@@ -29,14 +31,16 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 50)
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hangs its larger neighbours under its smallest neighbour."""
+    spark = edges.sparkSession
     both = edges.select(F.col("u").alias("c"), F.col("v").alias("nbr")).unionByName(edges.select(F.col("v").alias("c"), F.col("u").alias("nbr")))
-    least = both.groupBy("c").agg(F.min("nbr").alias("least")).select("c", F.least("c", "least").alias("m"))
-    return both.where("nbr > c").join(least, "c").select(F.col("nbr").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = settled(spark, "least", lambda: both.groupBy("c").agg(F.min("nbr").alias("least"), F.count("*").alias("rows")).select("c", F.least("c", "least").alias("m"), "rows"))
+    return join_keyed(both.where("nbr > c"), least, ["c"], "rows").select(F.col("nbr").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node hangs itself and its smaller neighbours under the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    spark = edges.sparkSession
+    least = settled(spark, "least", lambda: edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")))
+    moved = join_keyed(edges, least, ["u"], "rows").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
     return moved.unionByName(own).where("u <> v").distinct()
