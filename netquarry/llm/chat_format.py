@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netquarry.llm.arrays import bound, running_sum
+
 OPEN, BODY, CLOSE = "[INST]", "[/INST]", "</s>"
 TRAINED = "assistant"
 
@@ -69,25 +71,22 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered"))).alias("source"))
     whole = grouped.select("conv_id", F.transform("source", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"), F.array_join(F.transform("source", lambda t: t["rendered"]), "").alias("formatted"))
     parsed = whole.withColumn("turns", parse(F.col("formatted")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def step(acc: Column, segment: Column) -> Column:
-        turn = parse_turn(segment)
-        begin = acc["at"] + F.length(segment) - F.length(turn["raw"])
-        end = acc["at"] + F.length(segment)
-        spans = F.when(turn["role"] == TRAINED, F.concat(acc["spans"], F.array(F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"))))).otherwise(acc["spans"])
-        return F.struct((end + len(CLOSE)).cast("long").alias("at"), spans.alias("spans"))
-
     segments = F.split("formatted", CLOSE, -1)
-    spans = F.aggregate(F.slice(segments, 1, F.size(segments) - 1), start, step, lambda acc: acc["spans"])
+    sizes = F.transform(F.slice(segments, 1, F.size(segments) - 1), lambda x: (F.length(x) + len(CLOSE)).cast("long"))
+    # Where a turn's segment ends, its closing string included, is a prefix sum.
+    ends = F.transform(running_sum(sizes), lambda x: x - len(CLOSE))
+    placed = F.zip_with("turns", ends, lambda t, end: F.when(t["role"] == TRAINED, F.struct((end - F.length(t["raw"])).cast("long").alias("start"), end.alias("end"))))
+    spans = F.filter(placed, lambda x: x.isNotNull())
     same = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))) == F.col("source")
     return parsed.select("conv_id", "formatted", "turns", spans.alias("loss_spans"), F.coalesce(same, F.lit(False)).alias("round_trip"))
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """The digest columns, all taken from what the parser read back."""
+    """The digest columns, all read back from the formatted text: turns by the parser, the loss by its spans."""
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == TRAINED), lambda t: t["text"]), "")
+    # What the loss mask covers is cut from the formatted text by its spans, one character an element.
+    masked = bound(F.split("formatted", ""), lambda chars: F.transform("loss_spans", lambda x: F.array_join(F.slice(chars, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")), "")))
+    loss = F.array_join(F.transform(masked, unescape), "")
     return formatted.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -1,9 +1,9 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Bytes are embedded, read by learned filters, and the filters' outputs are max-pooled over overlapping chunks that cover
-the whole document. A document's features are, for each filter, the mean and the largest of its chunk maxima; a logistic
+Bytes are embedded, read by learned filters (every byte by some position of them: the text is padded to the stride), and
+the filters' outputs are max-pooled over overlapping chunks that cover the whole document. A document's features are, for each filter, the mean and the largest of its chunk maxima; a logistic
 layer makes one probability of them. Trained by back-propagation (Adam) on the driver on a bounded sample of labelled
-rows; the weights are small and travel with the code.
+rows, whole texts of any length; the weights are small and travel with the code.
 
 Edge cases: null or empty texts are scored as a row of padding; labels that are null or contradict each other for a
 doc_id are not learnt from; without any usable label (or with one class only) the score is a constant; equal texts get
@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.llm.runtime import map_arrow, text_rows
 from netquarry.llm.words import chunks
 
-#: Bounds of the sample: labelled rows of each class, and bytes of a text among them (longer ones are not learnt from).
-SAMPLE_ROWS, SAMPLE_BYTES = {0: 1500, 1: 4500}, 12_000
+#: Bounds of the sample: labelled rows of each class that have a document, and bytes of all of them together.
+SAMPLE_ROWS, SAMPLE_BYTES = {0: 1500, 1: 4500}, 48_000_000
 EPOCHS, BATCH, RATE, SEED = 8, 24, 0.01, 7
 EMBEDDED, FILTERS, WIDTH, STRIDE = 4, 16, 6, 2
 #: In filter positions: a chunk, and the step from chunk to chunk.
@@ -48,10 +48,8 @@ class ByteNetwork:
         return cls({k: (rng.standard_normal(s) * scale[k]).astype(np.float32) for k, s in shape.items()})
 
     def responses(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Filter outputs at every STRIDE-th byte, and the patches they read."""
-        least = WIDTH + STRIDE
-        if len(raw) < least:
-            raw = np.concatenate([raw, np.zeros(least - len(raw), np.uint8)])
+        """Filter outputs at every STRIDE-th byte, and the bytes that they read."""
+        raw = padded(raw)
         n = (len(raw) - WIDTH) // STRIDE + 1
         at = np.arange(n)[:, None] * STRIDE + np.arange(WIDTH)[None, :]
         read = raw[at]
@@ -60,40 +58,71 @@ class ByteNetwork:
 
     def score(self, raw: np.ndarray) -> float:
         r, _ = self.responses(raw)
-        starts = _pieces(len(r))
-        tops = np.stack([r[a : a + CHUNK].max(axis=0) for a in starts]) if len(starts) <= 4 else _sliding(r, starts)
+        tops = _chunk_maxima(r, _pieces(len(r)))
         z = float(np.concatenate([tops.mean(axis=0), tops.max(axis=0)]).astype(np.float64) @ self.w["out"].astype(np.float64) + self.w["shift"][0])
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
-    def gradients(self, raw: np.ndarray, label: int) -> dict[str, np.ndarray]:
-        r, read = self.responses(raw)
-        starts = _pieces(len(r))
-        arg = np.stack([a + r[a : a + CHUNK].argmax(axis=0) for a in starts])
+    def gradients(self, texts: list[np.ndarray], labels: list[int], weights: list[float]) -> dict[str, np.ndarray]:
+        """Of the weighted sum of the texts' losses; the texts are read as one, chunk by chunk."""
+        texts = [padded(t) for t in texts]
+        sizes = np.array([(len(t) - WIDTH) // STRIDE + 1 for t in texts])
+        raw, byte_at, at = np.concatenate(texts), np.cumsum([0, *map(len, texts)])[:-1], np.cumsum([0, *sizes])
+        # A text's positions, then the bytes of each; chunks are rows of positions, cut at the text's end.
+        position = np.concatenate([b + np.arange(n) * STRIDE for b, n in zip(byte_at, sizes, strict=True)])
+        read = raw[position[:, None] + np.arange(WIDTH)]
+        r = np.maximum(self.w["embed"][read].reshape(len(position), -1) @ self.w["filter"] + self.w["bias"], 0)
+        starts = [_pieces(n) for n in sizes]
+        text = np.repeat(np.arange(len(texts)), [len(x) for x in starts])
+        start = np.concatenate([a + x for a, x in zip(at[:-1], starts, strict=True)])
+        arg = _chunk_places(r, start, at[text + 1])
         tops = np.take_along_axis(r, arg, axis=0)
-        best = tops.argmax(axis=0)
-        features = np.concatenate([tops.mean(axis=0), tops.max(axis=0)])
+        first = np.cumsum([0, *[len(x) for x in starts]])[:-1]
+        features = np.concatenate([np.add.reduceat(tops, first, axis=0) / np.diff([*first, len(tops)])[:, None], np.maximum.reduceat(tops, first, axis=0)], axis=1)
         p = 1 / (1 + np.exp(-np.clip(features @ self.w["out"] + self.w["shift"][0], -60, 60)))
-        d = np.float32(p - label)
-        per = np.repeat((d * self.w["out"][:FILTERS] / len(starts))[None, :], len(starts), axis=0)
-        per[best, np.arange(FILTERS)] += d * self.w["out"][FILTERS:]
-        per *= tops > 0
-        patches = self.w["embed"][read[arg]].reshape(*arg.shape, WIDTH * EMBEDDED)
-        back = per[:, :, None] * self.w["filter"].T[None, :, :]
-        embed = np.zeros_like(self.w["embed"])
-        np.add.at(embed, read[arg].reshape(-1), back.reshape(-1, EMBEDDED))
-        return {"embed": embed, "filter": np.einsum("cf,cfk->kf", per, patches), "bias": per.sum(axis=0), "out": d * features, "shift": np.array([d], np.float32)}
-
-
-def _sliding(r: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Chunk maxima from maxima of CHUNK - STEP rows: each position is read once."""
+        d = ((p - labels) * weights).astype(r.dtype)
+        per = (d / np.diff([*first, len(tops)]))[text][:, None] * self.w["out"][:FILTERS]
+        # The largest chunk of a text and filter: the first where several are.
+        is_top = tops == features[text, FILTERS:]
+        order = np.cumsum(is_top, axis=0)
+        is_top &= order - (order[first] - is_top[first])[text] == 1
+        per = (per + is_top * d[text][:, None] * self.w["out"][FILTERS:]) * (tops > 0)
+        chunk, filt = np.nonzero(per)
+        place, g = arg[chunk, filt], per[chunk, filt].astype(r.dtype)
+        patches = self.w["embed"][read[place]].reshape(len(place), -1)
+        by_filter = np.zeros((FILTERS, WIDTH * EMBEDDED), r.dtype)
+        np.add.at(by_filter, filt, patches * g[:, None])
+        back = (self.w["filter"].T[filt] * g[:, None]).reshape(-1, EMBEDDED)
+        bytes_read = read[place].reshape(-1)
+        embed = np.stack([np.bincount(bytes_read, back[:, k], minlength=256) for k in range(EMBEDDED)], axis=1).astype(r.dtype)
+        return {"embed": embed, "filter": by_filter.T, "bias": per.sum(axis=0), "out": d @ features, "shift": d.sum(keepdims=True)}
+
+
+def padded(raw: np.ndarray) -> np.ndarray:
+    """Zero bytes behind, so that the filters' positions reach the last byte."""
+    missing = max(WIDTH - len(raw), 0) or (WIDTH - len(raw)) % STRIDE
+    return np.concatenate([raw, np.zeros(missing, np.uint8)]) if missing else raw
+
+
+def _unit_blocks(r: np.ndarray) -> np.ndarray:
+    """r in blocks of CHUNK - STEP positions, zeros behind: chunks are whole blocks."""
     unit = CHUNK - STEP
-    blocks = -(-len(r) // unit)
-    if blocks * unit > len(r):
-        r = np.concatenate([r, np.zeros((blocks * unit - len(r), r.shape[1]), r.dtype)])
-    small = r.reshape(blocks, unit, -1).max(axis=1)
-    padded = np.concatenate([small, np.zeros((CHUNK // unit, small.shape[1]), small.dtype)])
-    first = starts // unit
-    return np.max([padded[first + k] for k in range(CHUNK // unit)], axis=0)
+    blocks = -(-len(r) // unit) + CHUNK // unit
+    out = np.zeros((blocks * unit, r.shape[1]), r.dtype)
+    out[: len(r)] = r
+    return out.reshape(blocks, unit, -1)
+
+
+def _chunk_maxima(r: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Maxima of the chunks, from maxima of blocks: each position is read once."""
+    small = _unit_blocks(r).max(axis=1)
+    first = starts // (CHUNK - STEP)
+    return np.max([small[first + k] for k in range(CHUNK // (CHUNK - STEP))], axis=0)
+
+
+def _chunk_places(r: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each chunk (start, before end) and filter, the place of the first largest response."""
+    places = np.minimum(start[:, None] + np.arange(CHUNK), (end - 1)[:, None])
+    return np.take_along_axis(places, r[places].argmax(axis=1), axis=1)
 
 
 def train(examples: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED) -> ByteNetwork | float:
@@ -113,10 +142,7 @@ def train(examples: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = S
         order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             part = order[a : a + BATCH]
-            total = {k: np.zeros_like(x) for k, x in net.w.items()}
-            for i in part:
-                for k, g in net.gradients(texts[i], int(labels[i])).items():
-                    total[k] += g * np.float32(weight[int(labels[i])])
+            total = net.gradients([texts[i] for i in part], [int(labels[i]) for i in part], [weight[int(labels[i])] for i in part])
             t += 1
             for k, g in total.items():
                 g = g / len(part)
@@ -132,18 +158,22 @@ def held_out(doc_id) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None) -> list[tuple[bytes, int]]:
-    """At most so many labelled texts of each class (SAMPLE_ROWS), chosen by a hash of doc_id; the bound is what reaches the driver."""
+    """Labelled texts: at most so many of each class (SAMPLE_ROWS) that have a document, in the order of a hash of doc_id, as long
+    as they have SAMPLE_BYTES bytes together. The bounds are what reaches the driver; a text's length decides nothing else."""
     rows = rows or SAMPLE_ROWS
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("label_id").isNotNull())
     known = known.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
+    there = known.join(docs.select(F.col("doc_id").cast("long").alias("label_id")), "label_id", "left_semi")
     chosen = None
     for y in (0, 1):
-        top = known.where(F.col("lo") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(rows[y])
+        top = there.where(F.col("lo") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(rows[y])
         chosen = top if chosen is None else chosen.unionByName(top)
-    fits = text_rows(docs).where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
     # The chosen ids are as few as the bounds say, so that side is broadcast by a fixed bound.
-    found = fits.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lo").alias("y"))
+    found = text_rows(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lo").alias("y"))
     found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    # A window over the bounded sample alone.
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    found = found.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES)
     return [(r["text"].encode(), r["y"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
 
 

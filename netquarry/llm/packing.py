@@ -6,9 +6,13 @@ are sequences of their own; the others are told apart by length only, so the sea
 subset-sum over the lengths left finds the fullest feasible filling of the slack; that filling is taken as often as
 the counts allow, and removed. Every taking uses up a length, so there are at most `capacity` kinds of bins.
 A piece then finds its bin by its rank among the pieces of its length: ranks are local counts of each partition plus
-offsets by (partition, length), so that a length that most rows share is never gathered in one task.
+offsets by (partition, length), so that a length that most rows share is never gathered in one task. There are as many
+offsets as partitions times lengths, so they are joined by a shuffle, never broadcast.
 
-Edge cases: null or empty text is the end id alone; ties and equal rows are interchangeable and all packed; an empty
+`pack` gives every piece its place and its token ids; `packed_sequences` makes the training sequences of them.
+
+Edge cases: null or empty text is the end id alone; a special string of the tokenizer's file that stands in a text is its
+special token, as the plain call of the tokenizer has it; ties and equal rows are interchangeable and all packed; an empty
 table gives no rows; null doc_ids stay; extra columns are ignored.
 """
 
@@ -27,10 +31,12 @@ from netquarry.llm.tokens import byte_bpe
 
 CAPACITY = 2048
 END_ID = 0
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
+_KEPT = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
+_PIECES = f"{_KEPT}, part int, rank long"
+_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
 
 
-def _tokenize(json_path: str, ranks_path: str, capacity: int, end_id: int):
+def _tokenize(json_path: str, ranks_path: str, capacity: int, end_id: int, with_ids: bool):
     """Pieces with their rank among the pieces of their length in this task."""
 
     def run(batches):
@@ -39,17 +45,17 @@ def _tokenize(json_path: str, ranks_path: str, capacity: int, end_id: int):
         encode = byte_bpe(json_path, ranks_path)
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64()]
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), part, seen[b - a]))
+                    out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b].view("<i4") if with_ids else None, part, seen[b - a]))
                     seen[b - a] += 1
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*_NAMES, "part", "rank"])
 
     return run
 
@@ -121,15 +127,14 @@ def _place(runs: dict[int, list[tuple[int, int, int, int]]], capacity: int):
                 bins, place = divmod(rank - first, per)
                 sequences.append(sequence + bins)
                 offsets.append(offset + place * length)
-            kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], [*kept, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in _NAMES], pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], [*_NAMES, "sequence_id", "offset"])
 
     return run
 
 
-def pack(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = stored(map_arrow(text_rows(docs), _tokenize(json_path, ranks_path, capacity, end_id), _PIECES), "pieces")
+def pack(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, ids (null unless with_ids), sequence_id, offset."""
+    pieces = stored(map_arrow(text_rows(docs), _tokenize(json_path, ranks_path, capacity, end_id, with_ids), _PIECES), "pieces")
     shares = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     shares = stored(shares, "shares")
     # At most `capacity` rows, one a length.
@@ -138,5 +143,11 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = CAPAC
     runs = _placements(fill_bins(histogram, capacity), full)
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = shares.select("part", "length", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    ranked = pieces.join(offsets, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("ahead")).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return map_arrow(ranked, _place(runs, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = pieces.join(offsets.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("ahead")).select(*_NAMES, "rank")
+    return map_arrow(ranked, _place(runs, capacity), f"{_KEPT}, sequence_id long, offset long")
+
+
+def packed_sequences(pieces: DataFrame) -> DataFrame:
+    """sequence_id, ids, doc_ids and lengths of the pieces of pack (with ids), one row a sequence of at most the capacity."""
+    placed = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids", "doc_id", "length"))).alias("p"))
+    return placed.select("sequence_id", F.flatten(F.col("p.ids")).alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.length").alias("lengths"))

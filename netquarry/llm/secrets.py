@@ -1,10 +1,12 @@
 """Secret scans in built-in functions only: three base patterns, and sliding-window Shannon entropy.
 
-Candidates are runs of 20 or more of [A-Za-z0-9+/_-] that hold a digit. Each belongs to a character class (hex digits
-only, or letters and digits mixed); a window of 20 characters slides over it, its counts kept incrementally (one
-character in, one out), and the candidate is a span of kind "entropy" if the window's entropy reaches the class's
-threshold anywhere, unless the allow-list suppresses it or it meets a base span. Entropies are sums of scaled integers,
-so the result does not depend on the order of additions.
+Candidates are runs of 20 or more of [A-Za-z0-9+/_-] that hold a letter and a digit. Each belongs to a character class
+(hex digits only; letters and digits; base64, with one of the four signs as well); a window of 20 characters slides over
+it, its counts kept incrementally (one character in, one out), and the candidate is a span of kind "entropy" if the
+window's entropy reaches the class's threshold anywhere, unless the allow-list suppresses it or it meets a base span.
+The allow-list tells whole candidates: UUIDs, ordered runs, marked examples, and paths or names whose parts between signs
+are all words or numbers. Entropies are sums of scaled integers, so the result does not depend on the order of additions.
+Offsets are prefix sums, so that texts full of matches take time in proportion (times a logarithm).
 
 Edge cases: null text is empty and has no spans; offsets are code points, end exclusive; equal rows give equal rows;
 extra columns are ignored.
@@ -17,16 +19,27 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netquarry.llm.arrays import bound, running, running_sum
+
 # Fixed patterns of the base kinds.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-#: Candidates that are no secrets: UUIDs, ordered runs, marked examples, paths and words with a number at the end.
-ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|0123456789|abcdefghij|example|placeholder|x{6,}|^[a-z]+[0-9]{0,4}$|^(?:[a-z]*[/_-])+[a-z]*[0-9]{0,4}$|^[0-9_/+-]+$"
+#: A word or a number between signs: camel case with humps of three letters, capitals or one letter, with up to four digits behind.
+_PART = r"(?:(?:(?:[A-Z]?[a-z]{2,}+)++|[A-Z]++|[a-z])?[0-9]{0,4}|[0-9]++)"
+#: Whole candidates that are no secrets.
+ALLOWED = "|".join(
+    [
+        r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+        r"^(?:0123456789|1234567890|(?i:abcdefghijklmnopqrstuvwxyz|abcdefghij|abcdef)|[/_+-])++[0-9]{0,3}$",
+        r"^(?i:example|placeholder|changeme|your|dummy)[/_+-]|(?i:example|placeholder)(?i:key)?$|^(.)\1{5,}",
+        rf"^{_PART}(?:[/_+-]++{_PART})*+$",
+    ]
+)
 WINDOW = 20
 #: Least entropy in bits a character, by class.
-HEX_BITS, MIXED_BITS = 2.9, 3.4
+HEX_BITS, MIXED_BITS, BASE64_BITS = 2.9, 3.4, 3.6
 KINDS = ("assign", "access", "hex", "entropy")
 _SCALE = 1 << 24
 _NLOGN = [round(n * math.log2(n) * _SCALE) if n else 0 for n in range(WINDOW + 1)]
@@ -36,15 +49,28 @@ _SPANS = "array<struct<start:int,end:int,what:string>>"
 def located(text: Column, pattern: str, group: int = 0) -> Column:
     """Matches as (start, end, what): the pieces between matches and the matches give all offsets. what is the group's text."""
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("what"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        found = F.array(F.struct(begin.alias("start"), end.alias("end"), x["what"].alias("what")))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNotNull(), F.concat(acc["spans"], found)).otherwise(acc["spans"]).alias("spans"))
+    def placed(p: Column) -> Column:
+        ends = running_sum(F.transform(p, lambda x: (F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("long")))
+        spans = F.zip_with(p, ends, lambda x, end: F.struct((end - F.length(x["hit"])).cast("int").alias("start"), end.cast("int").alias("end"), x["what"].alias("what")))
+        return F.filter(spans, lambda x: x["start"].isNotNull())
+
+    return F.when(text.rlike(pattern), bound(pieces, placed)).otherwise(F.array().cast(_SPANS))
+
+
+def _apart(candidates: Column, base: Column) -> Column:
+    """The candidates that meet no base span: in the order of starts, the furthest end before and the next start after tell."""
+    mark = lambda spans, own: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), x["what"].alias("what")))
+
+    def kept(every: Column) -> Column:
+        ends = running(F.transform(every, lambda x: F.when(x["own"], F.lit(-1)).otherwise(x["end"])), lambda a, b: F.greatest(a, b), F.lit(-1))
+        starts = F.reverse(running(F.reverse(F.transform(every, lambda x: F.when(x["own"], F.lit(2**31 - 1)).otherwise(x["start"]))), lambda a, b: F.least(a, b), F.lit(2**31 - 1)))
+        told = F.zip_with(every, F.arrays_zip(ends.alias("before"), starts.alias("after")), lambda x, y: F.when(x["own"] & (y["before"] <= x["start"]) & (y["after"] >= x["end"]), F.struct(x["start"], x["end"], x["what"])))
+        return F.filter(told, lambda x: x.isNotNull())
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPANS))
+    # Of equal starts the base span comes first, so that it is before.
+    both = bound(F.array_sort(F.concat(mark(base, False), mark(candidates, True))), kept)
+    return F.when((F.size(base) > 0) & (F.size(candidates) > 0), both).otherwise(candidates).cast(_SPANS)
 
 
 def _put(counts: Column, k: Column, by: int) -> Column:
@@ -78,8 +104,8 @@ def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
 
 def _suspicious(x: Column) -> Column:
     what = x["what"]
-    least = F.when(what.rlike("^[0-9a-fA-F]+$"), F.lit(round(HEX_BITS * WINDOW * _SCALE))).otherwise(F.lit(round(MIXED_BITS * WINDOW * _SCALE)))
-    return what.rlike("[0-9]") & what.rlike("[A-Za-z]") & ~what.rlike(ALLOWED) & (window_entropy(what) >= least)
+    bits = F.when(what.rlike("^[0-9a-fA-F]+$"), HEX_BITS).when(what.rlike("[+/_-]"), BASE64_BITS).otherwise(MIXED_BITS)
+    return what.rlike("[0-9]") & what.rlike("[A-Za-z]") & ~what.rlike(ALLOWED) & (window_entropy(what) >= F.round(bits * (WINDOW * _SCALE)).cast("long"))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -89,8 +115,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     t = F.col("text")
     found = rows.select("doc_id", F.filter(located(t, ASSIGN, 1), lambda x: F.length(x["what"]) >= 8).alias("assign"), located(t, ACCESS).alias("access"), located(t, HEX).alias("hex"), F.when(t.rlike(r"[0-9]"), located(t, CANDIDATE)).otherwise(F.array().cast(_SPANS)).alias("candidates"))
     based = found.withColumn("base", F.concat("assign", "access", "hex"))
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return based.select("doc_id", "assign", "access", "hex", F.filter(F.filter("candidates", apart), _suspicious).alias("entropy"))
+    return based.select("doc_id", "assign", "access", "hex", F.filter(_apart(F.col("candidates"), F.col("base")), _suspicious).alias("entropy"))
 
 
 def _ranked(kind: str) -> Column:

@@ -14,11 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from netquarry.llm.runtime import map_arrow, stored
 
 SHARDS = 8
-_PLACED = "doc_id long, size long, text_crc32 long, part int, place long, before long"
 
 
 def _running(batches):
@@ -28,22 +28,21 @@ def _running(batches):
         sizes = batch.column("size").to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes)
         place = rows + np.arange(len(sizes))
-        columns = [batch.column(c) for c in ("doc_id", "size", "text_crc32", "part")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(place, pa.int64()), pa.array(size + total - sizes, pa.int64())], ["doc_id", "size", "text_crc32", "part", "place", "before"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64()), pa.array(size + total - sizes, pa.int64())], [*batch.schema.names, "place", "before"])
         rows += len(sizes)
         size += int(total[-1]) if len(total) else 0
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, and docs' columns named in carry (such as text)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[F.col(c).alias(f"_{c}") for c in carry])
     # One pass sizes the rows, so that the ranges' bounds are sampled from small rows.
     sized = stored(sized, "sizes")
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = sized.repartitionByRange(ranges, "doc_id", "size", "text_crc32").sortWithinPartitions("doc_id", "size", "text_crc32").withColumn("part", F.spark_partition_id())
-    placed = stored(map_arrow(dealt, _running, _PLACED), "placed")
+    placed = stored(map_arrow(dealt, _running, StructType([*dealt.schema.fields, StructField("place", LongType()), StructField("before", LongType())])), "placed")
     totals = placed.groupBy("part").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
     # A row a range: its size is the number of shuffle partitions.
     bound = spark.createDataFrame(_offsets(totals), "part int, rows_before long, bytes_before long, all_bytes long")
@@ -51,7 +50,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     middle = (F.col("bytes_before") + F.col("before")) * 2 + F.col("size")
     cut = whole.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / (F.col("all_bytes") * 2))).cast("int")).withColumn("index", F.col("rows_before") + F.col("place"))
     first = cut.groupBy("shard").agg(F.min("index").alias("first"))
-    return cut.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("index") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return cut.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("index") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *[F.col(f"_{c}").alias(c) for c in carry])
 
 
 def _offsets(totals: DataFrame) -> list[tuple[int, int, int, int]]:

@@ -58,20 +58,22 @@ FROM whole
 """
 
 LINES_SQL = r"""
-WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-every AS (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) - 1 AS i FROM docs),
-spoken AS (SELECT doc_id, x, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM every WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, ('0x' || substr(md5(text), 1, 15))::BIGINT NULLS FIRST) AS r, doc_id, text, string_split(text, chr(10)) AS lines
+  FROM documents),
+every AS (SELECT r, unnest(lines) AS x, generate_subscripts(lines, 1) - 1 AS i FROM docs),
+spoken AS (SELECT r, x, i, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS k FROM every WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 windows AS (
-  SELECT doc_id, k, x AS a, lead(x, 1) OVER p AS b, lead(x, 2) OVER p AS c FROM spoken WINDOW p AS (PARTITION BY doc_id ORDER BY k)),
+  SELECT r, k, x AS a, lead(x, 1) OVER p AS b, lead(x, 2) OVER p AS c FROM spoken WINDOW p AS (PARTITION BY r ORDER BY k)),
 later AS (
-  SELECT doc_id, k FROM (
-    SELECT doc_id, k, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS n FROM windows WHERE c IS NOT NULL) WHERE n > 1),
-gone AS (SELECT DISTINCT s.doc_id, s.i FROM later l JOIN spoken s ON s.doc_id = l.doc_id AND s.k BETWEEN l.k AND l.k + 2),
-cut AS (SELECT doc_id, count(*) AS n, string_agg(i::VARCHAR, ',' ORDER BY i) AS removed FROM gone GROUP BY doc_id),
+  SELECT r, k FROM (
+    SELECT r, k, row_number() OVER (PARTITION BY a, b, c ORDER BY r, k) AS n FROM windows WHERE c IS NOT NULL) WHERE n > 1),
+gone AS (SELECT DISTINCT s.r, s.i FROM later l JOIN spoken s ON s.r = l.r AND s.k BETWEEN l.k AND l.k + 2),
+cut AS (SELECT r, count(*) AS n, string_agg(i::VARCHAR, ',' ORDER BY i) AS removed FROM gone GROUP BY r),
 rest AS (
-  SELECT e.doc_id, string_agg(x, chr(10) ORDER BY e.i) AS text FROM every e
-  LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i WHERE g.i IS NULL GROUP BY e.doc_id)
+  SELECT e.r, string_agg(x, chr(10) ORDER BY e.i) AS text FROM every e
+  LEFT JOIN gone g ON e.r = g.r AND e.i = g.i WHERE g.i IS NULL GROUP BY e.r)
 SELECT d.doc_id, coalesce(len(d.lines), 0) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed_lines,
   sha256(coalesce(rest.text, '')) AS text_sha256
-FROM docs d LEFT JOIN cut USING (doc_id) LEFT JOIN rest USING (doc_id)
+FROM docs d LEFT JOIN cut USING (r) LEFT JOIN rest USING (r)
 """

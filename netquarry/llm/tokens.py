@@ -3,37 +3,40 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from functools import lru_cache
 
 #: Texts of these characters only are split alike by both libraries; any other text goes to the slower one.
-_SIMPLE = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-›€]")
+_SIMPLE = "[^\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-›€]"
 
 
 @lru_cache(maxsize=1)
 def _full(json_path: str):
     from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(json_path)
-    full.encode_special_tokens = True
-    return full
+    return Tokenizer.from_file(json_path)
 
 
 @lru_cache(maxsize=1)
 def byte_bpe(json_path: str, ranks_path: str):
-    """encode(text) -> ids by tokenizers' file; its faster equal where the text is simple. Special tokens in texts are text.
+    """encode(text) -> ids by tokenizers' file without added special tokens; its faster equal where the text is simple.
 
-    The slower one is loaded by the first text that needs it.
+    The file's own special strings are its special tokens wherever they stand in a text, as the plain call has it. The
+    slower library is loaded by the first text that needs it.
     """
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(json_path, encoding="utf-8") as f:
+        special = [x["content"] for x in json.load(f).get("added_tokens", ())]
+    slow = re.compile("|".join([_SIMPLE, *map(re.escape, special)]))
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if _SIMPLE.search(text):
+        if slow.search(text):
             return _full(json_path).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 

@@ -176,7 +176,6 @@ def check_packing(docs, fill):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     want = collections.Counter()
     for r in docs.select("doc_id", "text").collect():
         ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]
@@ -203,9 +202,32 @@ def test_packing(spark, sf_dir):
     assert packing.pack(fixtures.empty(spark), JSON, RANKS).count() == 0
 
 
-def test_special_token_in_text_is_text():
+def test_special_strings_in_texts(spark):
+    """By the plain call of the tokenizer a special string is its token, in simple texts and others."""
     encode = tokens.byte_bpe(JSON, RANKS)
-    assert 50256 not in encode("a <|endoftext|> b") and 50256 not in encode("中 <|endoftext|> b")
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+    assert 50256 in encode("中 <|endoftext|> b")
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", 7, "r") for i, t in enumerate(["a <|endoftext|> b", "<|endoftext|>" * 3000, "中<|endoftext|>", None])], fixtures.DOC_SCHEMA)
+    check_packing(docs, lambda n: n + 2)
+
+
+def test_packed_sequences(spark):
+    docs = fixtures.awkward(spark)
+    pieces = packing.pack(docs, JSON, RANKS)
+    got = packing.packed_sequences(pieces).collect()
+    encode = tokens.byte_bpe(JSON, RANKS)
+    assert sum(len(r["ids"]) for r in got) == sum(len(encode(t or "")) + 1 for _, t in fixtures.AWKWARD)
+    assert all(len(r["ids"]) == sum(r["lengths"]) <= 2048 for r in got)
+    back = collections.defaultdict(dict)
+    for r in pieces.collect():
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        back[r["doc_id"]][r["piece"]] = r["ids"]
+    assert [x for k in sorted(back[7]) for x in back[7][k]] == [*encode(fixtures.LONG), 0]
+
+
+def test_shards_carry_texts(spark):
+    got = sharding.shard_by_bytes(fixtures.awkward(spark), carry=("text", "n")).collect()
+    assert sorted(map(key, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(key, fixtures.AWKWARD)) and {r["n"] for r in got} == {7}
 
 
 @settings(max_examples=200, deadline=None)
@@ -303,15 +325,54 @@ def test_classifier_without_labels(spark):
     assert classifier.sample(fixtures.awkward(spark), labels) == []
 
 
+def brute_score(net, raw):
+    """The forward pass, position by position and chunk by chunk."""
+    raw = list(raw) + [0] * max(0, classifier.WIDTH - len(raw))
+    while (len(raw) - classifier.WIDTH) % classifier.STRIDE:
+        raw.append(0)
+    r = []
+    for a in range(0, len(raw) - classifier.WIDTH + 1, classifier.STRIDE):
+        patch = np.concatenate([net.w["embed"][x] for x in raw[a : a + classifier.WIDTH]])
+        r.append(np.maximum(patch @ net.w["filter"] + net.w["bias"], 0))
+    tops, a = [], 0
+    while True:
+        tops.append(np.max(r[a : a + classifier.CHUNK], axis=0))
+        if a + classifier.CHUNK >= len(r):
+            break
+        a += classifier.STEP
+    z = np.concatenate([np.mean(tops, axis=0), np.max(tops, axis=0)]) @ net.w["out"] + net.w["shift"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_are_those_of_the_plain_network():
+    net, rng = classifier.ByteNetwork.fresh(), np.random.default_rng(3)
+    net.w["out"] *= 20
+    for n in (0, 1, 5, 6, 7, 8, 9, 11, 325, 326, 327, 501, 1999, 2000, 7001):
+        raw = rng.integers(0, 256, n).astype(np.uint8)
+        assert abs(net.score(raw) - brute_score(net, raw)) < 1e-5, n
+        if n:
+            scores = {round(net.score(np.append(raw[:-1], np.uint8(x))), 9) for x in range(0, 256, 5)}
+            assert len(scores) > 1 or n > 400
+
+
+def test_sample_reaches_its_bound(spark):
+    """Labels without a document take no room, and long texts are learnt from."""
+    docs = spark.createDataFrame([(i, "x" * (50_000 if i % 2 else 10)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 == 0 and 1 or 0, 0) for i in range(4000)], "doc_id long, quality int, toxic int")
+    got = classifier.sample(docs, labels, {0: 100, 1: 50})
+    assert [sum(y == k for _, y in got) for k in (0, 1)] == [100, 50] and any(len(t) == 50_000 for t, _ in got)
+
+
 def test_gradients_are_right():
     net = classifier.ByteNetwork.fresh()
     for k in net.w:
         net.w[k] = net.w[k].astype(np.float64)
     net.w["out"] *= 10
-    raw = np.random.default_rng(1).integers(32, 127, 900).astype(np.uint8)
-    loss = lambda: -np.log(net.score(raw))
-    g = net.gradients(raw, 1)
-    for k, at in (("shift", 0), ("out", 3), ("filter", (5, 2)), ("bias", 4), ("embed", (int(raw[10]), 1))):
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(32, 127, n).astype(np.uint8) for n in (900, 3, 401)]
+    loss = lambda: sum(w * -np.log(net.score(t) if y else 1 - net.score(t)) for t, y, w in zip(texts, (1, 0, 1), (1, 0.5, 2)))
+    g = net.gradients(texts, [1, 0, 1], [1, 0.5, 2])
+    for k, at in (("shift", 0), ("out", 3), ("out", 20), ("filter", (5, 2)), ("bias", 4), ("embed", (int(texts[0][10]), 1)), ("embed", (0, 2))):
         net.w[k][at] += 1e-5
         up = loss()
         net.w[k][at] -= 2e-5
@@ -323,18 +384,43 @@ def test_gradients_are_right():
 # decontamination
 
 
-def test_common_subsequence():
+def test_common_subsequences():
     rng = random.Random(2)
     for _ in range(200):
-        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(1, 20))] for _ in range(2))
+        a, b = ([rng.randint(0, 9) for _ in range(rng.randint(1, n))] for n in (rng.choice([20, 64, 65, 200]), 90))
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        mask = {}
-        for i, x in enumerate(a):
-            mask[x] = mask.get(x, 0) | 1 << i
-        assert decontamination.common_subsequence(mask, len(a), b) == table[-1][-1]
+        masks = np.zeros((1, len(b), -(-len(a) // 64)), np.uint64)
+        for j, y in enumerate(b):
+            for i, x in enumerate(a):
+                if x == y:
+                    masks[0, j, i // 64] |= np.uint64(1 << i % 64)
+        assert decontamination.common_subsequences(masks, np.array([len(a)]))[0] == table[-1][-1]
+
+
+def test_singular_vectors_are_those_of_the_matrix():
+    """The randomised decomposition against the plain one of the same weighted matrix."""
+    rng = np.random.default_rng(4)
+    topics = rng.random((12, 300)) ** 8
+    texts = [" ".join(f"w{k}" for k in rng.choice(300, 15, p=topics[i % 12] / topics[i % 12].sum())) for i in range(400)]
+    raw, offsets = next((x[2], x[3]) for x in decontamination.chunks(decontamination.pa.array(texts)))
+    p = decontamination.Passages(raw, offsets)
+    frequency = np.bincount(decontamination._firsts(p), minlength=decontamination.TERMS)
+    idf = decontamination._weights(frequency, len(p.block_start))[:, None]
+    product = np.zeros(decontamination.TERMS * decontamination.WIDTH, np.float32)
+    decontamination._add_sketch(p, product)
+    basis = decontamination._orthonormal(product.reshape(decontamination.TERMS, -1) * idf)
+    b = p.windows(decontamination._with_zeros(basis * idf)).astype(np.float64)
+    _, values = decontamination._singular(basis, b.T @ b)
+    terms = np.flatnonzero(frequency)
+    dense = np.zeros((len(terms) + 1, len(terms)), np.float32)
+    dense[np.arange(len(terms)), np.arange(len(terms))] = idf[terms, 0]
+    table = np.zeros((decontamination.TERMS + 1, len(terms)), np.float32)
+    table[terms] = dense[:-1]
+    exact = np.linalg.svd(p.windows(table).T, compute_uv=False)
+    assert np.all(np.abs(values[:12] - exact[:12]) <= 0.1 * exact[:12])
 
 
 def planted(spark, sf_dir, seed=4):
@@ -406,8 +492,56 @@ def test_decontamination_of_an_item_in_a_third_of_the_rows(spark, unlike):
         assert all(set(x.split(",")) <= {*got[d].split(","), ""} for d, x in before.items())
 
 
-def test_decontamination_of_three_tiny_documents(spark):
+@pytest.mark.parametrize("leaks,others", [(1, 0), (3, 0), (4, 3), (4, 50), (40, 400), (100, 5), (1000, 100)])
+def test_decontamination_of_few_documents(spark, leaks, others):
+    rng = random.Random(leaks + others)
     item = "which river flows through the old town of the seven bridges and the mill. the green river"
     bench = spark.createDataFrame([(1, item), (2, "a wholly different question about copper wire prices. nine coins")], "item_id long, text string")
-    docs = spark.createDataFrame([(i, f"note {i} {item} end {i}") for i in range(3)], "doc_id long, text string")
-    assert sorted(tuple(r) for r in decontamination.contaminated_documents(docs, bench).collect()) == [(i, True, 1, "1") for i in range(3)]
+    rows = [(i, f"note {i} {item} end {i}") for i in range(leaks)] + [(5000 + j, f"other text {j} " + " ".join(f"w{j}x{k}" for k in range(rng.randint(5, 60)))) for j in range(others)]
+    got = decontamination.contaminated_documents(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted(tuple(r) for r in got) == [(i, True, 1, "1") for i in range(leaks)] + [(5000 + j, False, 0, "") for j in range(others)]
+
+
+@pytest.mark.parametrize("copies", [1, 200, 10_000])
+def test_decontamination_of_an_item_that_leaks_often(spark, copies):
+    rng = random.Random(copies)
+    docs = [tuple(r) for r in documents(spark, "/root/testdata/sf0.01").orderBy("doc_id").select("doc_id", "text").collect()]
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id")
+    for item in bench.limit(5).collect()[:: 4 if copies > 1000 else 1]:
+        rows = [*docs, *[(500_000 + i, " ".join([*(rng.choice(docs)[1] or "").split()[:40], item["text"], *(rng.choice(docs)[1] or "").split()[:40]])) for i in range(copies)]]
+        got = {r["doc_id"]: r["item_ids"].split(",") for r in decontamination.contaminated_documents(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+        assert all(str(item["item_id"]) in got[500_000 + i] for i in range(copies))
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_decontamination_recall_on_paraphrases(spark, sf):
+    """Every n-th word replaced, from a phase of its own: at least 0.9 is found for each n; measured 0.99 and more."""
+    rng = random.Random(7)
+    docs = [tuple(r) for r in documents(spark, sf).orderBy("doc_id").select("doc_id", "text").collect()]
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [tuple(r) for r in bench.orderBy("item_id").collect()]
+    rows, want = list(docs), {}
+    for n in (3, 4, 5, 6):
+        for j in range(100):
+            item, text = rng.choice(items)
+            o = rng.randrange(n)
+            w = [f"new{n}x{j}x{k}" if k % n == o else x for k, x in enumerate(text.split())]
+            around = (rng.choice(docs)[1] or "").split(" ")
+            at = rng.randint(0, len(around))
+            want[900_000 + 1000 * n + j] = str(item)
+            rows.append((900_000 + 1000 * n + j, " ".join([*around[:at], *w, *around[at:]])))
+    got = {r["doc_id"]: r["item_ids"].split(",") for r in decontamination.contaminated_documents(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    for n in (3, 4, 5, 6):
+        found = sum(i in got[d] for d, i in want.items() if d // 1000 == 900 + n)
+        assert found >= 90, (n, found)
+
+
+def test_decontamination_in_blocks_of_items(spark):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    docs, _ = planted(spark, "/root/testdata/sf0.001")
+    docs = docs.unionByName(docs.limit(20)).unionByName(spark.createDataFrame([(None, None), (3, "")], "doc_id long, text string"))
+    whole = decontamination.with_leaks(docs, bench).collect()
+    parts = decontamination.with_leaks(docs, bench, items_at_once=7)
+    assert parts.columns == [*docs.columns, "_leaked_items"]
+    show = lambda rows: sorted(key((r["doc_id"], r["text"], ",".join(map(str, r["_leaked_items"])))) for r in rows)
+    assert show(whole) == show(parts.collect())

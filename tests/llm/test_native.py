@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import re
+import time
 
 from netquarry.llm import chat_format, line_dedup, quality_rules, secrets
 from pyspark.sql import functions as F
@@ -69,31 +70,49 @@ def test_chat_table(spark, sf_dir):
     check_chats(spark, rows)
 
 
-def brute_lines(rows):
-    """First of each window by (doc_id, position); doc_ids distinct."""
-    seen, gone = {}, collections.defaultdict(set)
-    for d, t in sorted(rows, key=lambda r: key((r[0],))):
-        lines = [(i, x) for i, x in enumerate((t or "").split("\n")) if WORD.search(x)] if t is not None else []
+def brute_line_rows(rows):
+    """The text that is left of each row: the first of each window stays, by (doc_id, hash of the text, row, position)."""
+    digest = lambda t: -1 if t is None else int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    seen, gone = set(), collections.defaultdict(set)
+    for r in sorted(range(len(rows)), key=lambda r: (*key((rows[r][0],)), digest(rows[r][1]), r)):
+        t = rows[r][1]
+        lines = [(i, x) for i, x in enumerate(t.split("\n")) if WORD.search(x)] if t is not None else []
         for k in range(len(lines) - 2):
             w = tuple(x for _, x in lines[k : k + 3])
             if w in seen:
-                gone[d] |= {i for i, _ in lines[k : k + 3]}
-            seen.setdefault(w, (d, k))
-    return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows}
+                gone[r] |= {i for i, _ in lines[k : k + 3]}
+            seen.add(w)
+    return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[r]) for r, (_, t) in enumerate(rows)]
+
+
+def brute_lines(rows):
+    return {d: t for (d, _), t in zip(rows, brute_line_rows(rows), strict=True)}
+
+
+def check_lines(docs):
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = [(d, t) for (d, _), t in zip(rows, brute_line_rows(rows), strict=True)]
+    got = line_dedup.dedup_lines(docs)
+    # Equal rows are interchangeable: the multiset of what is left must agree.
+    assert sorted(map(key, want)) == sorted(key((r["doc_id"], r["text"])) for r in got.select("doc_id", "text").collect())
+    return got
 
 
 def test_line_dedup(spark, sf_dir):
-    rows = [(i, t) for i, t in dict(fixtures.AWKWARD).items() if i is not None]
-    got = line_dedup.dedup_lines(fixtures.awkward(spark).where("doc_id is not null and doc_id <> 15"))
-    want = brute_lines([r for r in rows if r[0] != 15])
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
-    assert got.columns[:8] == fixtures.awkward(spark).columns
-    assert line_dedup.dedup_lines(fixtures.awkward(spark)).count() == len(fixtures.AWKWARD)
+    docs = fixtures.awkward(spark)
+    assert check_lines(docs).columns == [*docs.columns, *line_dedup.ADDED]
     assert line_dedup.dedup_lines(fixtures.empty(spark)).count() == 0
-    docs = documents(spark, sf_dir)
-    want = brute_lines([tuple(r) for r in docs.select("doc_id", "text").collect()])
-    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == want
-    assert sum(want[r["doc_id"]] != r["text"] for r in docs.collect()) > 0
+    got = check_lines(documents(spark, sf_dir))
+    assert got.where("_changed").count() > 0
+
+
+def test_line_dedup_of_repeated_rows(spark):
+    """Repeated rows, texts that share an id, null ids, and columns named like those of the result."""
+    texts = ["a\nb\nc\nd", "x\na\nb\nc\ny", "a\nb", None, "p\nq\nr\ns"]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[1]), (2, texts[2]), (2, texts[2]), (None, texts[4]), (None, texts[4]), (None, None), (3, texts[4])]
+    docs = spark.createDataFrame([(i, t, 1, 2, "n", True) for i, t in rows], "doc_id long, text string, n_lines long, removed_lines long, changed string, _changed boolean")
+    got = check_lines(docs)
+    assert got.columns == ["doc_id", "text", "n_lines", "removed_lines", "changed", *line_dedup.ADDED]
 
 
 def brute_metrics(text):
@@ -187,3 +206,32 @@ def test_window_entropy(spark):
     rows = ["a1" * 10, "abcdefghij0123456789", "q7" + "Zk3Pw9Lm2Xc8Vb5Nt1Rs6Hd4" * 9]
     got = spark.createDataFrame([(x,) for x in rows], "x string").select("x", secrets.window_entropy(F.col("x")).alias("e")).collect()
     assert [r["e"] for r in got] == [brute_entropy(r["x"]) for r in got]
+
+
+def test_secrets_in_a_text_full_of_matches(spark):
+    """Many matches of one text take time in proportion; so does holding candidates against base spans."""
+    text = "\n".join(f"token = abcdefgh{i} and q7Zk3Pw9Lm2Xc8Vb5Nt1Rs{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = secrets.secret_digests(secrets.scan_secrets(docs)).first()
+    assert time.time() - began < 60
+    assert tuple(got)[:6] == (1, *brute_secrets(text)) and got["n_assign"] == 20_000 and got["n_entropy"] == 20_000
+
+
+def test_secrets_spare_paths_and_names(spark):
+    clean = ["/2024/05/17/how-to-build-a-fast-index", "my_project_module_2_final_version_name", "org/docs/v2/getting-started-with-spark-sql", "src/main/java/GettingStartedWithQueries2", "0123456789abcdefghij0123456789", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    found = ["q7Zk3Pw9Lm2Xc8Vb5Nt1Rs6", "aB3/xY9+Qm2Lk7Pz0Wv4Tn8Rc1", "Zk3Pw9example7Lm2Xc8Vb5Nt1", "8f14e45fceea167a5a36dedd4bea2543"[:31]]
+    rows = [(i, f"see {x} here") for i, x in enumerate([*clean, *found])]
+    got = {r["doc_id"]: r["n_entropy"] for r in secrets.secret_digests(secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [got[i] for i in range(len(rows))] == [0] * len(clean) + [1] * len(found)
+
+
+def test_chat_of_many_turns(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} </s>" if i % 7 == 0 else f"turn {i}") for i in range(20_000)]
+    check_chats(spark, rows)
+    got = chat_format.format_chats(chats(spark, rows[:50])).first()
+    assert [got["formatted"][a:b] for a, b in got["loss_spans"]] == [chat_format_escaped(x) for _, _, r, x in rows[:50] if r == "assistant"]
+
+
+def chat_format_escaped(x):
+    return x.replace("&", "&amp;").replace("[", "&#91;").replace("<", "&lt;") if "</s>" in x else x
