@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netquarry.llm import classifier, decontamination, line_dedup, near_dedup, packing
 from netquarry.llm.queries import tokenizer_file
-from netquarry.llm.runtime import stored, table
+from netquarry.llm.runtime import settled, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go; a document left without a word by that goes too. n_chars follows the text."""
     cut = line_dedup.dedup_lines(docs)
-    left = cut.where(~F.col("changed") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    n_chars = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    left = cut.where(~F.col("_changed") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
@@ -34,7 +34,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences of 2048 tokens."""
+    """Pieces of the documents with their token ids, packed into sequences of 2048 tokens."""
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
@@ -53,5 +53,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(spark, name.replace(" ", "-"), lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
