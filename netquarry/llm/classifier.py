@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.llm.runtime import map_arrow, text_rows
+from netquarry.llm.runtime import map_arrow, one_blas_thread, text_rows
 from netquarry.llm.words import chunks
 
 #: Bounds of the sample: labelled rows of each class that have a document, and bytes of all of them together.
@@ -179,6 +179,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = Non
 
 def _scorer(net: ByteNetwork | float):
     def run(batches):
+        one_blas_thread()
         for batch in batches:
             for a, b, raw, offsets in chunks(batch.column(1)):
                 if isinstance(net, ByteNetwork):

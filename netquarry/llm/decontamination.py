@@ -7,7 +7,7 @@ never zero. Its singular value decomposition is randomised and distributed: a fi
 the sketch Y = A S (S: sparse random signs, WIDTH columns, NONZERO entries a passage, drawn by a hash of its words); the
 driver orthonormalises Y to Q; a second pass sums the Gram matrix of B = Q'A; its leading RANK eigenvectors rotate Q into
 the singular vectors. A third pass folds every passage into the latent space (U scaled by the inverse singular values)
-and searches by cosine among the windows of the items. Whatever it finds is checked by the longest common subsequence
+and searches by cosine among the windows of the items: those above COSINE, and always the nearest. What it finds is checked by the longest common subsequence
 of words of the item and the surroundings: one of LCS_ALONE of the item is a leak, and one of LCS_PARAPHRASE is if the
 item's answer (its last sentence) is there too. Frequencies scale terms smoothly, so an item is found as well if it leaks
 into a third of all rows or into one.
@@ -28,16 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from netquarry.llm.runtime import map_arrow, stored, text_rows
+from netquarry.llm.runtime import map_arrow, one_blas_thread, stored, text_rows
 from netquarry.llm.words import chunks, mix64, word_hashes
 
-TERMS, RANK, OVERSAMPLED, NONZERO = 1 << 15, 192, 16, 2
+TERMS, RANK, OVERSAMPLED, NONZERO = 1 << 15, 96, 16, 2
 NEAR, LONGEST = 3, 16
 WIDTH = RANK + OVERSAMPLED
 #: Added (in squares) to the singular values before they are inverted, as a share of the largest: directions that hardly
 #: any passage has, as in a corpus of few passages, are not blown up.
-RIDGE = 0.3
-COSINE = 0.4
+RIDGE = 0.2
+COSINE = 0.65
 LCS_ALONE, LCS_PARAPHRASE, ANSWER = 0.6, 0.5, 0.6
 ITEMS_AT_ONCE = 20_000
 #: Text handled at once by a task.
@@ -51,10 +51,11 @@ class Passages:
     """Blocks and windows of the rows of a chunk.
 
     A block begins at a word whose hash is the least of NEAR words on either side, and at most LONGEST words after the one
-    before it: equal passages have equal blocks wherever they stand. A window is a block and the next of its row.
+    before it: equal passages have equal blocks wherever they stand. A window is a block and the next of its row: one
+    after the other for the decomposition, every such pair for the search.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, every_pair: bool = False):
         self.hashes, self.at, _, _ = word_hashes(raw, offsets)
         self.terms = (self.hashes & np.uint64(TERMS - 1)).astype(np.int64)
         self.block_start = _block_starts(self.hashes, self.at)
@@ -64,8 +65,12 @@ class Passages:
         follows, goes_on = np.zeros(blocks, bool), np.zeros(blocks, bool)
         follows[:-1] = self.block_row[1:] == self.block_row[:-1]
         goes_on[1:] = follows[:-1]
-        # The last block of a row with several is no window of its own.
-        self.window = np.flatnonzero(follows | ~goes_on)
+        if every_pair:
+            # The last block of a row with several is no window of its own.
+            self.window = np.flatnonzero(follows | ~goes_on)
+        else:
+            place = np.arange(blocks) - np.maximum.accumulate(np.where(goes_on, 0, np.arange(blocks)))
+            self.window = np.flatnonzero(place % 2 == 0)
         self.pair = follows[self.window]
         self.start = self.block_start[self.window]
         self.end = self.block_end[self.window + self.pair]
@@ -129,18 +134,11 @@ def _add_sketch(p: Passages, product: np.ndarray) -> None:
     sizes = p.block_end - p.block_start
     of_word = np.repeat(np.arange(len(sizes)), sizes)
     terms = p.terms * WIDTH
-    at, add = [], []
     for column, sign in zip(columns, signs, strict=True):
         for windows, chosen in ((p.window, slice(None)), (p.window[p.pair] + 1, p.pair)):
-            c, g = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int8)
+            c, g = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.float32)
             c[windows], g[windows] = column[chosen], sign[chosen]
-            there = g[of_word] != 0
-            at.append((terms + c[of_word])[there])
-            add.append(g[of_word][there])
-    at, add = np.concatenate(at), np.concatenate(add).astype(np.float32)
-    order = np.argsort(at, kind="stable")
-    places, first = np.unique(at[order], return_index=True)
-    product[places] += np.add.reduceat(add[order], first)
+            np.add.at(product, terms + c[of_word], g[of_word])
 
 
 def _partial_sketch(batches):
@@ -199,6 +197,7 @@ def _partial_gram(basis: np.ndarray):
     """Of one task: the Gram matrix of Q'A."""
 
     def run(batches):
+        one_blas_thread()
         gram = np.zeros((WIDTH, WIDTH))
         for batch in batches:
             for _, _, raw, offsets in chunks(batch.column(0), CHUNK_BYTES):
@@ -285,7 +284,7 @@ class Benchmark:
         self.length = np.array([len(w) for w in self.words], np.int64)
         vectors, owner = [], []
         for a, _, raw, offsets in chunks(pa.array([t for _, t in items], pa.large_string())):
-            p = Passages(raw, offsets)
+            p = Passages(raw, offsets, every_pair=True)
             vectors.append(p.windows(space))
             owner.append(p.block_row[p.window] + a)
         self.vectors, self.owner = _unit(np.concatenate(vectors)) if vectors else np.zeros((0, space.shape[1])), np.concatenate([np.zeros(0, np.int64), *owner])
@@ -380,28 +379,39 @@ def _enough_words(numbers: np.ndarray, begin: np.ndarray, end: np.ndarray, item:
     edges = np.flatnonzero(np.diff(item[order], prepend=-1, append=-1))
     table, out = np.zeros(len(bench.vocabulary) + 1, bool), np.zeros(len(item), bool)
     before = np.zeros(len(numbers) + 1, np.int32)
+    widths = np.arange(int((end - begin).max(initial=0)), dtype=np.int32)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         some = order[a:b]
         k = int(item[some[0]])
         words = bench.known[k][0]
+        lo, hi, least = begin[some], end[some], LCS_PARAPHRASE * bench.length[k]
         table[words] = True
-        # A few pairs do not need the whole chunk.
-        lo, hi = int(begin[some].min()), int(end[some].max())
-        np.cumsum(table[numbers[lo:hi]], out=before[1 : hi - lo + 1])
+        width = int((hi - lo).max())
+        if len(some) * width * 2 < len(numbers):
+            places = lo[:, None] + widths[:width]
+            np.minimum(places, len(numbers) - 1, out=places)
+            # Beyond a pair's end there may be words of the next text: they only make the bound looser.
+            out[some] = np.count_nonzero(table[numbers[places]], axis=1) >= least
+        else:
+            np.cumsum(table[numbers], out=before[1:])
+            out[some] = before[hi] - before[lo] >= least
         table[words] = False
-        out[some] = before[end[some] - lo] - before[begin[some] - lo] >= LCS_PARAPHRASE * bench.length[k]
     return out
 
 
 def candidates(p: Passages, space: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and items whose cosine reaches the threshold, each pair once."""
+    """Windows and items whose cosine reaches the threshold, and each window's nearest item; each pair once."""
     passages = _unit(p.windows(space))
     found = [np.zeros(0, np.int64)]
-    at_once = max(1, (1 << 22) // len(bench.vectors))
+    size = len(bench.vectors)
+    at_once = max(1, (1 << 20) // size)
     for a in range(0, len(passages), at_once):
-        flat = np.flatnonzero(passages[a : a + at_once] @ bench.vectors.T >= COSINE)
+        cosines = passages[a : a + at_once] @ bench.vectors.T
+        # The nearest one counts as if it reached the threshold.
+        cosines[np.arange(len(cosines)), cosines.argmax(axis=1)] = 1
+        flat = np.flatnonzero(cosines >= COSINE)
         # Windows and the owners of the vectors ascend, so equal pairs are neighbours.
-        pairs = (flat // len(bench.vectors) + a) * len(bench.ids) + bench.owner[flat % len(bench.vectors)]
+        pairs = (flat // size + a) * len(bench.ids) + bench.owner[flat % size]
         found.append(pairs[np.diff(pairs, prepend=-1) > 0])
     pairs = np.concatenate(found)
     return pairs // len(bench.ids), pairs % len(bench.ids)
@@ -410,7 +420,7 @@ def candidates(p: Passages, space: np.ndarray, bench: Benchmark) -> tuple[np.nda
 def find_leaks(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray, bench: Benchmark) -> list[dict[int, float]]:
     """For each row, the items that it leaks and the share of the item in the longest common subsequence."""
     found: list[dict[int, float]] = [{} for _ in range(len(offsets) - 1)]
-    p = Passages(raw, offsets)
+    p = Passages(raw, offsets, every_pair=True)
     if not len(p.terms) or not len(bench.vectors):
         return found
     window, item = candidates(p, space, bench)
@@ -444,6 +454,7 @@ def _leaks_of(space: np.ndarray, items: list[tuple[int, str]], at: int):
     """Adds leaked_items (sorted ids) to every row; the text is column number at."""
 
     def run(batches):
+        one_blas_thread()
         bench = Benchmark(items, space)
         for batch in batches:
             for a, b, raw, offsets in chunks(batch.column(at), CHUNK_BYTES):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache
+from pathlib import Path
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +48,19 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str,
     return cold.unionByName(rows.join(hot, keys).select(*cold.columns))
 
 
+@lru_cache(maxsize=1)
+def one_blas_thread() -> None:
+    """In a Python worker: numpy's matrix products keep to the task's own core. Workers of one executor that each start a thread
+    a core wait for one another most of the time."""
+    for library in (Path(np.__file__).parents[1] / "numpy.libs").glob("*openblas*"):
+        loaded = ctypes.CDLL(str(library))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(loaded, name):
+                getattr(loaded, name)(1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["join_keyed", "map_arrow", "settled", "shared_dir", "stored", "table", "text_rows"]
+__all__ = ["join_keyed", "map_arrow", "one_blas_thread", "settled", "shared_dir", "stored", "table", "text_rows"]
