@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from netquarry.llm.runtime import map_arrow, one_blas_thread, stored, text_rows
 from netquarry.llm.words import chunks, mix64, word_hashes
 
-TERMS, RANK, OVERSAMPLED, NONZERO = 1 << 15, 96, 16, 2
+TERMS, RANK, OVERSAMPLED, NONZERO = 1 << 14, 96, 16, 2
 NEAR, LONGEST = 3, 16
 WIDTH = RANK + OVERSAMPLED
 #: Added (in squares) to the singular values before they are inverted, as a share of the largest: directions that hardly
@@ -377,25 +377,26 @@ def _enough_words(numbers: np.ndarray, begin: np.ndarray, end: np.ndarray, item:
     """Which pairs can have a subsequence that long: none is longer than the places from begin to end whose word the item has."""
     order = np.argsort(item, kind="stable")
     edges = np.flatnonzero(np.diff(item[order], prepend=-1, append=-1))
-    table, out = np.zeros(len(bench.vocabulary) + 1, bool), np.zeros(len(item), bool)
-    before = np.zeros(len(numbers) + 1, np.int32)
-    widths = np.arange(int((end - begin).max(initial=0)), dtype=np.int32)
+    table, out = np.zeros(len(bench.vocabulary) + 1, np.float32), np.zeros(len(item), bool)
+    before = np.zeros(len(numbers) + 1, np.float64)
+    widths = np.arange(int((end - begin).max(initial=0)))
+    ones = np.ones(len(widths), np.float32)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         some = order[a:b]
         k = int(item[some[0]])
         words = bench.known[k][0]
         lo, hi, least = begin[some], end[some], LCS_PARAPHRASE * bench.length[k]
-        table[words] = True
+        table[words] = 1
         width = int((hi - lo).max())
         if len(some) * width * 2 < len(numbers):
             places = lo[:, None] + widths[:width]
             np.minimum(places, len(numbers) - 1, out=places)
             # Beyond a pair's end there may be words of the next text: they only make the bound looser.
-            out[some] = np.count_nonzero(table[numbers[places]], axis=1) >= least
+            out[some] = table[numbers[places]] @ ones[:width] >= least
         else:
             np.cumsum(table[numbers], out=before[1:])
             out[some] = before[hi] - before[lo] >= least
-        table[words] = False
+        table[words] = 0
     return out
 
 
