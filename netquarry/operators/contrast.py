@@ -17,17 +17,22 @@ MOST_VALUES, BINS = 15, 3
 
 
 def discretize(frame: DataFrame, column: str, max_share: float = 1.0) -> DataFrame:
-    """The frame with a numeric column as text: "(lo, hi)" of three bins with equally many distinct values if there are many; the column goes if one value has more than max_share of the rows."""
+    """The frame with a numeric column as text: "(lo, hi)" of three bins with equally many distinct values if there are many; the column goes if it has a single value, or one that more than max_share of the rows have."""
     counts = frame.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.count("*").alias("values")).first()
-    if not total["all"] or total["top"] > max_share * total["all"]:
+    if not total["all"] or total["values"] < 2 or total["top"] > max_share * total["all"]:
         return frame.drop(column)
     if total["values"] <= MOST_VALUES:
         return frame.withColumn(column, F.col(column).cast("string"))
     # Cut points by rank among distinct values: three rows.
     sizes = [total["values"] // BINS + (k < total["values"] % BINS) for k in range(BINS)]
     cuts = [sum(sizes[:k]) for k in range(BINS + 1)]
-    ranked = counts.select(column, F.row_number().over(Window.orderBy(column)).alias("r"))
+    # Distinct values are sorted by ranges; a range's first rank is the sum of the ranges before it, one row a range.
+    dealt = counts.select(column).repartitionByRange(column).withColumn("range", F.spark_partition_id())
+    dealt = stored(dealt, "values")
+    sizes_of = dealt.groupBy("range").agg(F.count("*").alias("size"))
+    before = sizes_of.select("range", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = dealt.withColumn("own", F.row_number().over(Window.partitionBy("range").orderBy(column))).join(before, "range").select(column, (F.col("own") + F.col("before")).alias("r"))
     edges = ranked.groupBy(sum((F.when(F.col("r") > c, 1).otherwise(0) for c in cuts[1:-1]), F.lit(0)).alias("bin")).agg(F.min(column).alias("lo"), F.max(column).alias("hi")).collect()
     label = F.lit(None).cast("string")
     for e in edges:
@@ -55,13 +60,18 @@ def learn(counts: DataFrame, features: list[str], depth: int) -> DataFrame:
 
 
 def not_rules(learned: DataFrame, counts: DataFrame) -> DataFrame:
-    """rule, grp, c: rows of each group where every item of the rule is different, by inclusion and exclusion (rules of up to two items)."""
+    """rule, grp, c: rows of each group where every item of the rule is different, by inclusion and exclusion over all subsets of
+    the rule (rules of any length; a rule's subsets are rules that were learned with it)."""
     totals = counts.groupBy("grp").agg(F.sum("count").alias("total"))
-    every = learned.select("rule").distinct().crossJoin(F.broadcast(totals))
-    single = learned.where(F.size("rule") == 1).select(F.col("rule")[0].alias("item"), "grp", F.col("a").alias("s"))
-    items = every.select("rule", "grp", F.explode("rule").alias("item")).join(single, ["item", "grp"], "left").groupBy("rule", "grp").agg(F.coalesce(F.sum("s"), F.lit(0)).alias("singles"))
-    out = every.join(items, ["rule", "grp"]).join(learned, ["rule", "grp"], "left")
-    return out.select("rule", "grp", F.when(F.size("rule") == 1, F.col("total") - F.col("singles")).otherwise(F.col("total") - F.col("singles") + F.coalesce("a", F.lit(0))).alias("c"))
+    rules = learned.select("rule").distinct()
+    # The numbers 1 to 2^k - 1 are the subsets of k items: bit i tells whether item i is in.
+    has = lambda m: (lambda x, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1)
+    subsets = F.transform(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("rule")).cast("int") - 1), lambda m: F.struct(F.filter("rule", has(m)).alias("part"), F.when(F.bit_count(m) % 2 == 1, -1).otherwise(1).alias("sign")))
+    parts = rules.select("rule", F.explode(subsets).alias("s")).select("rule", "s.part", "s.sign")
+    met = parts.join(learned.select(F.col("rule").alias("part"), "grp", "a"), "part").groupBy("rule", "grp").agg(F.sum(F.col("a") * F.col("sign")).alias("met"))
+    # Groups are few: rules are crossed with the list of them.
+    every = rules.crossJoin(totals)
+    return every.join(met, ["rule", "grp"], "left").select("rule", "grp", (F.col("total") + F.coalesce("met", F.lit(0))).alias("c"))
 
 
 def score(learned: DataFrame, nots: DataFrame, min_support: float = 0.1, min_count: int = 10, min_difference: int = 2, min_lift: float = 2, min_confidence: float = 0.75) -> DataFrame:

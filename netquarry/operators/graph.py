@@ -109,6 +109,24 @@ def neighbors(adj: DataFrame, kind: str | None = None, nbr_kind: str | None = No
     return kept.groupBy("id").agg(F.count_distinct("nbr").alias("n"))
 
 
+#: Neighbours of a node whose pairs one task makes; those of a node with more are dealt over the pairs of so many blocks.
+PAIRED_AT_ONCE = 4_096
+
+
+def pairs_sharing(of: DataFrame) -> DataFrame:
+    """a, b (a < b), by: the pairs of ids that have a neighbour in common, once for each, of (id, nbr).
+
+    A neighbour's ids are cut into blocks by hash, and each pair of blocks is a group of its own, so that no task makes all
+    pairs of a hub; a neighbour with few ids is one block.
+    """
+    sizes = of.groupBy("nbr").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = of.join(sizes, "nbr").withColumn("blocks", F.ceil(F.col("n") / PAIRED_AT_ONCE).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = dealt.select("nbr", F.col("id").alias("a"), F.col("own").alias("i"), F.explode(others).alias("j"))
+    right = dealt.select("nbr", F.col("id").alias("b"), F.explode(others).alias("i"), F.col("own").alias("j"))
+    return left.join(right, ["nbr", "i", "j"]).where("a < b").select("a", "b", F.col("nbr").alias("by"))
+
+
 def common_neighbors(adj: DataFrame, kind: str, nbr_kind: str | None = None) -> DataFrame:
     """a, b (a < b, both of one type), common, da, db: neighbours in common and of each. Pairs without any do not appear.
 
@@ -116,8 +134,7 @@ def common_neighbors(adj: DataFrame, kind: str, nbr_kind: str | None = None) ->
     """
     kept = adj.where(F.col("type") == kind) if nbr_kind is None else adj.where((F.col("type") == kind) & (F.col("nbr_type") == nbr_kind))
     degree = kept.groupBy("id").agg(F.count("*").alias("degree"))
-    left, right = kept.select("nbr", F.col("id").alias("a")), kept.select("nbr", F.col("id").alias("b"))
-    pairs = left.join(right, "nbr").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    pairs = pairs_sharing(kept.select("id", "nbr")).groupBy("a", "b").agg(F.count("*").alias("common"))
     pairs = pairs.join(degree.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a")
     return pairs.join(degree.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b").select("a", "b", "common", "da", "db")
 
@@ -161,7 +178,7 @@ def precision_recall(removed: DataFrame, suggested: DataFrame) -> DataFrame:
 
 def remove_edges(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n edges by a seeded hash: a sample without replacement that is the same each time."""
-    return edges.orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst").limit(n)
+    return edges.orderBy(F.md5(F.concat_ws("|", "src", "dst", F.lit(str(seed)))), "src", "dst").limit(n)
 
 
 def coalesce_type(edges: DataFrame, kind: str) -> DataFrame:
@@ -193,11 +210,12 @@ def add_supernets(edges: DataFrame, length: int) -> DataFrame:
 
 def shared_subnet_without_vlan(adj: DataFrame, kind: str = "interface", shared: str = "subnet", lacking: str = "vlan") -> DataFrame:
     """Pairs of nodes that share a neighbour of one type, none of another, and of which one has a neighbour of that."""
-    left = adj.where((F.col("type") == kind) & (F.col("nbr_type") == shared)).select("nbr", F.col("id").alias("a"))
-    pairs = left.join(left.withColumnRenamed("a", "b"), "nbr").where("a < b").select("a", "b").distinct()
+    pairs = pairs_sharing(adj.where((F.col("type") == kind) & (F.col("nbr_type") == shared)).select("id", "nbr")).select("a", "b").distinct()
     other = adj.where((F.col("type") == kind) & (F.col("nbr_type") == lacking)).select("id", F.col("nbr").alias("v"))
     has = other.select("id").distinct()
-    same = other.withColumnRenamed("id", "a").join(other.withColumnRenamed("id", "b"), "v").where("a < b").select("a", "b").distinct()
+    # Whether a pair shares one is asked for the pairs at hand, not for all pairs of a hub.
+    of = lambda c: other.select(F.col("id").alias(c), "v")
+    same = pairs.join(of("a"), "a").join(of("b"), ["b", "v"], "left_semi").select("a", "b").distinct()
     some = pairs.join(has.withColumnRenamed("id", "a"), "a", "left_semi").unionByName(pairs.join(has.withColumnRenamed("id", "b"), "b", "left_semi")).distinct()
     return some.join(same, ["a", "b"], "left_anti")
 

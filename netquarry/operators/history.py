@@ -123,10 +123,10 @@ def lifetimes(found: DataFrame, periods: list) -> DataFrame:
     return per.select(presence_class([F.col(f"p{k}") for k in range(4)]).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
-def parse_matrix(text: DataFrame) -> DataFrame:
-    """row ("T1"...), col (from 0), value of a column "text" that holds a list of lists of numbers."""
-    rows = text.select(F.posexplode(F.from_json("text", "array<array<int>>")).alias("r", "xs"))
-    return rows.select(F.concat(F.lit("T"), F.col("r") + 1).alias("row"), F.posexplode("xs").alias("col", "value"))
+def parse_matrix(text: DataFrame, *keys: str) -> DataFrame:
+    """The keys of a matrix, row ("T1"...), col (from 0), value of a column "text" that holds a list of lists of numbers."""
+    rows = text.select(*keys, F.posexplode(F.from_json("text", "array<array<int>>")).alias("r", "xs"))
+    return rows.select(*keys, F.concat(F.lit("T"), F.col("r") + 1).alias("row"), F.posexplode("xs").alias("col", "value"))
 
 
 def unordered_pairs(pairs: DataFrame) -> DataFrame:

@@ -36,6 +36,21 @@ scored AS (SELECT rule, grp, a / (a + b + c + d) AS support, a * (a + b + c + d)
 passed AS (SELECT * FROM scored WHERE support > 0.001 AND lift > 0.9 AND confidence > 0.3)"""
 
 
+def _depth_sql(depth: int) -> str:
+    """learned and nots of rules of up to so many items, counted row by row."""
+    from itertools import combinations
+
+    learned, nots = [], []
+    for n in range(1, depth + 1):
+        for c in combinations(FEATURES, n):
+            rule = " || '|' || ".join(ITEMS[f] for f in c)
+            learned.append(f"SELECT {rule} AS rule, grp, sum(n)::BIGINT AS a FROM counted GROUP BY ALL")
+            apart = " AND ".join(f"{f} <> v{f}" for f in c)
+            values = ", ".join(f"{f} AS v{f}" for f in c)
+            nots.append(f"SELECT rule, grp, sum(CASE WHEN {apart} THEN n ELSE 0 END)::BIGINT AS c FROM (SELECT DISTINCT {rule} AS rule, {values} FROM counted) r, counted GROUP BY rule, grp")
+    return f"{FRAME_SQL}, counted AS (SELECT grp, {', '.join(FEATURES)}, count(*) AS n FROM binned GROUP BY ALL), learned AS ({' UNION ALL '.join(learned)}), nots AS ({' UNION ALL '.join(nots)})"
+
+
 def counts(spark, d):
     return C.item_counts(C.discretize(B.frame(spark, d), "p_size"), FEATURES, "grp")
 
@@ -66,6 +81,26 @@ def a11(spark, d):
     return _text(C.not_rules(C.learn(c, FEATURES, 2), c))
 
 
+@query("a11_not_rules_of_three_items", f"{_depth_sql(3)} SELECT rule, grp, c FROM nots")
+def a11_three(spark, d):
+    c = counts(spark, d)
+    return _text(C.not_rules(C.learn(c, FEATURES, 3), c))
+
+
+@query(
+    "a12_score_of_three_items",
+    f"""{_depth_sql(3)}, four AS (SELECT n.rule AS rule, n.grp AS grp, coalesce(l.a, 0) AS a, n.c AS c FROM nots n LEFT JOIN learned l ON n.rule = l.rule AND n.grp = l.grp),
+tabled AS (SELECT *, sum(a) OVER (PARTITION BY rule) - a AS b, sum(c) OVER (PARTITION BY rule) - c AS d FROM four)
+SELECT rule, grp, a::BIGINT AS frequency, round(a / (a + b), 9) AS precision, round(a / (a + c), 9) AS recall FROM tabled
+WHERE abs(a - b) > 2 AND a > 10 AND a / (a + b + c + d) > 0.001 AND a * (a + b + c + d) / ((a + b) * (a + c)) > 0.9 AND greatest(a / (a + b), a / (a + c)) > 0.3""",
+)
+def a12_three(spark, d):
+    c = counts(spark, d)
+    learned = C.learn(c, FEATURES, 3)
+    s = _text(C.score(learned, C.not_rules(learned, c), 0.001, 10, 2, 0.9, 0.3))
+    return s.select("rule", "grp", "frequency", *[F.round(x, 9).alias(x) for x in ("precision", "recall")])
+
+
 @query("a12_score", f"{SCORE_SQL} SELECT rule, grp, round(support, 9) AS support, round(lift, 9) AS lift, round(confidence, 9) AS confidence, round(precision, 9) AS precision, round(recall, 9) AS recall, frequency FROM passed")
 def a12(spark, d):
     s = _text(scored(spark, d))
@@ -88,7 +123,7 @@ def a32(spark, d):
 
 
 RULE_FRAME_SQL = """f AS (SELECT o_orderkey AS row_id, o_orderstatus AS grp, substr(o_orderpriority, 1, 1) AS priority, c_mktsegment AS segment, c_nationkey::VARCHAR AS nation FROM orders JOIN customer ON o_custkey = c_custkey),
-rules AS (SELECT row_number() OVER (ORDER BY segment, priority) AS rule_id, segment, priority, grp FROM (SELECT segment, priority, max(grp) AS grp FROM f WHERE nation = '3' GROUP BY ALL)),
+rules AS (SELECT row_number() OVER (ORDER BY segment, priority) AS rule_id, segment, priority, grp FROM (SELECT segment, priority, max(grp) AS grp FROM f GROUP BY ALL)),
 matched AS (SELECT rule_id, row_id, rules.grp AS grp, f.grp AS row_group FROM rules JOIN f USING (segment, priority))"""
 ROW_FEATURES = ["segment", "priority", "nation"]
 
@@ -101,7 +136,7 @@ def rule_frame(spark, d):
 def fixed_rules(frame):
     from pyspark.sql import Window
 
-    base = frame.where("nation = '3'").groupBy("segment", "priority").agg(F.max("grp").alias("grp"))
+    base = frame.groupBy("segment", "priority").agg(F.max("grp").alias("grp"))
     ids = F.row_number().over(Window.orderBy("segment", "priority")).cast("long")
     return base.select(ids.alias("rule_id"), F.array(C.item("segment"), C.item("priority")).alias("rule"), "grp")
 
@@ -131,14 +166,22 @@ def j16(spark, d):
     return broken.join(f, "row_id").select("row_id", "segment", "priority", "nation", "broken")
 
 
-@query("g15_condense_violations")
+@query("g15_condense_violations", f"WITH {RULE_FRAME_SQL} SELECT row_id, string_agg(rule_id::VARCHAR, ',' ORDER BY rule_id) AS centers FROM matched WHERE grp <> row_group GROUP BY row_id")
 def g15_condense(spark, d):
     f = rule_frame(spark, d)
     rules = fixed_rules(f)
-    return C.condense_violations(C.violations(rules, f, ROW_FEATURES, "grp"), rules)
-
-
-@query("g13_g14_spanning_rules")
+    found = C.condense_violations(C.violations(rules, f, ROW_FEATURES, "grp"), rules)
+    return found.select("row_id", F.array_join(F.col("centers").cast("array<string>"), ",").alias("centers"))
+
+
+# Every row has one segment and priority, so rules cover disjoint rows and are picked by size until one gains too little.
+@query(
+    "g13_g14_spanning_rules",
+    f"""WITH {RULE_FRAME_SQL}, m AS (SELECT rule_id, count(*) AS n FROM matched GROUP BY rule_id),
+o AS (SELECT rule_id, n, row_number() OVER w - 1 AS place, coalesce(sum(n) OVER (ORDER BY n DESC, rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m WINDOW w AS (ORDER BY n DESC, rule_id)),
+s AS (SELECT *, n / 2.0 < 0.0005 * ((SELECT sum(n) FROM m) - 0.5 * before) AS small FROM o)
+SELECT place::INT AS place, rule_id FROM s WHERE place <= coalesce((SELECT min(place) FROM s WHERE small), 1000000)""",
+)
 def g13(spark, d):
     f = rule_frame(spark, d)
     rules = fixed_rules(f)

@@ -119,9 +119,10 @@ def a31(spark, d):
     return G.precision_recall(labels.where("quality = 1"), labels.where("toxic = 1"))
 
 
-@query("g12_remove_edges")
+@query("g12_remove_edges", f"{SITE} SELECT src, src_type, dst, dst_type FROM site ORDER BY md5(src || '|' || dst || '|3'), src, dst LIMIT 200")
 def g12(spark, d):
-    return G.remove_edges(B.site_edges(spark, d), 200, seed=3)
+    """The sample is the operator: two hundred links go."""
+    return G.remove_edges(B.site_edges(spark, d), 200, seed=3).select("src", "src_type", "dst", "dst_type")
 
 
 @query("g10_node_vectors")
@@ -219,7 +220,7 @@ def o01(spark, d):
 
 
 def aggregate_sql() -> str:
-    steps = [f"WITH {B.INTERFACES_SQL}, l0 AS (SELECT DISTINCT ip >> 8 AS n FROM interfaces WHERE ip IS NOT NULL AND device % 3 > 0)"]
+    steps = [f"WITH {B.INTERFACES_SQL}, l0 AS (SELECT DISTINCT ip >> 8 AS n FROM interfaces WHERE ip IS NOT NULL)"]
     for k in range(1, 17):
         steps.append(f"l{k} AS (SELECT n // 2 AS n FROM l{k - 1} GROUP BY n // 2 HAVING count(*) = 2)")
     rest = " UNION ALL ".join(f"SELECT (n << {8 + k})::BIGINT AS lo, {24 - k} AS length FROM l{k} WHERE n // 2 NOT IN (SELECT n FROM l{k + 1})" for k in range(16))
@@ -230,7 +231,7 @@ def aggregate_sql() -> str:
 def o08(spark, d):
     from netquarry.functions import ip as ipf
 
-    i = B.interfaces(spark, d).where("ip is not null and device % 3 > 0")
+    i = B.interfaces(spark, d).where("ip is not null")
     return G.aggregate_prefixes(i.select(ipf.network(F.col("ip"), F.col("length")).alias("lo"), "length"))
 
 

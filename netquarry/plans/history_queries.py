@@ -126,13 +126,12 @@ def a27(spark, d):
     return H.lifetimes(found, [0, 1, 2, 3])
 
 
-@query("s21_parse_matrix", "SELECT 'T' || (c_custkey % 3 + 1) AS row, c_custkey // 3 % 4 AS col, sum(c_nationkey)::BIGINT AS value FROM customer WHERE c_custkey < 12 GROUP BY ALL")
+@query("s21_parse_matrix", "SELECT 'T' || (dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)) AS row, k AS col, CASE k WHEN 0 THEN c_custkey WHEN 1 THEN c_nationkey ELSE length(c_mktsegment) END::BIGINT AS value, c_nationkey::BIGINT AS matrix FROM customer, (SELECT unnest([0, 1, 2])::BIGINT AS k)")
 def s21(spark, d):
-    """The first customers' nations, written as text of a matrix and parsed back."""
-    c = B.table(spark, d, "customer").where("c_custkey < 12").select((F.col("c_custkey") % 3).alias("r"), F.expr("c_custkey div 3 % 4").alias("k"), "c_nationkey")
-    rows = c.groupBy("r").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c_nationkey"))), lambda x: x["c_nationkey"]).alias("xs"))
-    text = rows.groupBy().agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("r", "xs"))), lambda x: x["xs"])).alias("text"))
-    return H.parse_matrix(text).select("row", F.col("col").cast("long").alias("col"), F.col("value").cast("long").alias("value"))
+    """The customers of each nation, a row each, written as text of a matrix and parsed back."""
+    c = B.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("matrix"), "c_custkey", F.array(F.col("c_custkey").cast("int"), F.col("c_nationkey").cast("int"), F.length("c_mktsegment")).alias("xs"))
+    text = c.groupBy("matrix").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "xs"))), lambda x: x["xs"])).alias("text"))
+    return H.parse_matrix(text, "matrix").select("matrix", "row", F.col("col").cast("long").alias("col"), F.col("value").cast("long").alias("value"))
 
 
 @query("k17_unordered_pairs", "SELECT DISTINCT least(l_returnflag, l_linestatus) AS a, greatest(l_returnflag, l_linestatus) AS b FROM lineitem")

@@ -52,10 +52,10 @@ def a29(spark, d):
     return I.typescope(one)
 
 
-SYMBOLS_SQL = """symbols AS (SELECT DISTINCT 'part ' || lower(p_type) AS type, word AS name FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS word FROM part WHERE p_size < 3)
-  UNION SELECT 'partial ' || lower(p_type), split_part(p_name, ' ', 1) FROM part WHERE p_size < 2
+SYMBOLS_SQL = """symbols AS (SELECT DISTINCT 'part ' || lower(p_type) AS type, word AS name FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS word FROM part)
+  UNION SELECT 'partial ' || lower(p_type), split_part(p_name, ' ', 1) FROM part
   UNION SELECT 'address', ((c_custkey >> 8) & 255) || '.0.0.' || (c_custkey & 255) FROM customer
-  UNION SELECT 'description', c_name FROM customer UNION SELECT 'rare', r_name FROM region WHERE r_regionkey < 2),
+  UNION SELECT 'description', c_name FROM customer UNION SELECT 'region ' || lower(r_name), r_name FROM region),
 sizes AS (SELECT type, count(*) AS n FROM symbols GROUP BY type),
 met AS (SELECT x.type AS a, y.type AS b, count(*) AS common FROM symbols x JOIN symbols y ON x.name = y.name AND x.type <> y.type GROUP BY ALL),
 o AS (SELECT a, b, common, s.n AS na, t.n AS nb FROM met JOIN sizes s ON s.type = a JOIN sizes t ON t.type = b)"""
@@ -63,10 +63,10 @@ o AS (SELECT a, b, common, s.n AS na, t.n AS nb FROM met JOIN sizes s ON s.type
 
 def symbols(spark, d):
     p, c, r = B.table(spark, d, "part"), B.table(spark, d, "customer"), B.table(spark, d, "region")
-    words = p.where("p_size < 3").select(F.concat(F.lit("part "), F.lower("p_type")).alias("type"), F.explode(F.split("p_name", " ")).alias("name"))
-    firsts = p.where("p_size < 2").select(F.concat(F.lit("partial "), F.lower("p_type")), F.substring_index("p_name", " ", 1))
+    words = p.select(F.concat(F.lit("part "), F.lower("p_type")).alias("type"), F.explode(F.split("p_name", " ")).alias("name"))
+    firsts = p.select(F.concat(F.lit("partial "), F.lower("p_type")), F.substring_index("p_name", " ", 1))
     ip = F.concat(F.shiftright("c_custkey", 8).bitwiseAND(255), F.lit(".0.0."), F.col("c_custkey").bitwiseAND(255))
-    out = words.union(firsts).union(c.select(F.lit("address"), ip)).union(c.select(F.lit("description"), "c_name")).union(r.where("r_regionkey < 2").select(F.lit("rare"), "r_name"))
+    out = words.union(firsts).union(c.select(F.lit("address"), ip)).union(c.select(F.lit("description"), "c_name")).union(r.select(F.concat(F.lit("region "), F.lower("r_name")), "r_name"))
     return out.distinct()
 
 
