@@ -37,7 +37,7 @@ WIDTH = RANK + OVERSAMPLED
 #: Added (in squares) to the singular values before they are inverted, as a share of the largest: directions that hardly
 #: any passage has, as in a corpus of few passages, are not blown up.
 RIDGE = 0.2
-COSINE = 0.65
+COSINE = 0.7
 LCS_ALONE, LCS_PARAPHRASE, ANSWER = 0.6, 0.5, 0.6
 ITEMS_AT_ONCE = 20_000
 #: Text handled at once by a task.
@@ -77,11 +77,16 @@ class Passages:
 
     def block_sums(self, table: np.ndarray) -> np.ndarray:
         """Sums of table's rows over the terms of each block."""
-        out = table[self.terms[self.block_start]]
-        some = np.arange(len(out))
+        # Longest blocks first: those with another word are always the first ones.
+        sizes = self.block_end - self.block_start
+        order = np.argsort(-sizes, kind="stable")
+        starts, longer = self.block_start[order], np.cumsum(np.bincount(sizes, minlength=LONGEST + 1)[::-1])[::-1]
+        sums = table.take(self.terms[starts], axis=0)
         for k in range(1, LONGEST):
-            some = some[self.block_start[some] + k < self.block_end[some]]
-            out[some] += table[self.terms[self.block_start[some] + k]]
+            n = longer[k + 1]
+            sums[:n] += table.take(self.terms[starts[:n] + k], axis=0)
+        out = np.empty_like(sums)
+        out[order] = sums
         return out
 
     def windows(self, table: np.ndarray) -> np.ndarray:
