@@ -23,6 +23,8 @@ from netquarry.llm.words import chunks
 #: Bounds of the sample: labelled rows of each class that have a document, and bytes of all of them together.
 SAMPLE_ROWS, SAMPLE_BYTES = {0: 1500, 1: 4500}, 48_000_000
 EPOCHS, BATCH, RATE, SEED = 8, 24, 0.01, 7
+#: Bytes of a batch that are read together in training.
+BYTES_AT_ONCE = 1 << 16
 EMBEDDED, FILTERS, WIDTH, STRIDE = 4, 16, 6, 2
 #: In filter positions: a chunk, and the step from chunk to chunk.
 CHUNK, STEP = 160, 128
@@ -142,7 +144,12 @@ def train(examples: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = S
         order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             part = order[a : a + BATCH]
-            total = net.gradients([texts[i] for i in part], [int(labels[i]) for i in part], [weight[int(labels[i])] for i in part])
+            total = {k: np.zeros_like(x) for k, x in net.w.items()}
+            # Some bytes at a time, so that memory follows the longest text.
+            sizes = np.cumsum([len(texts[i]) for i in part])
+            for some in np.split(part, np.flatnonzero(np.diff(sizes // BYTES_AT_ONCE)) + 1):
+                for k, g in net.gradients([texts[i] for i in some], [int(labels[i]) for i in some], [weight[int(labels[i])] for i in some]).items():
+                    total[k] += g
             t += 1
             for k, g in total.items():
                 g = g / len(part)

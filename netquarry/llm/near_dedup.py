@@ -117,9 +117,9 @@ def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def _lists(listed: DataFrame, name: str, *more: Column) -> DataFrame:
+def _lists(listed: DataFrame, *more: Column) -> DataFrame:
     """One row a value that several nodes have, with their number in df."""
-    return stored(listed.groupBy("v").agg(F.count("*").alias("df"), *more).where("df > 1"), name)
+    return listed.groupBy("v").agg(F.count("*").alias("df"), *more).where("df > 1")
 
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = 75) -> DataFrame:
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75) -> D
 def _links(rows: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes that reach the similarity, enough of them to connect all that are connected."""
     postings = nodes.select("node", F.explode("sketch").alias("v"))
-    shared = join_keyed(postings, _lists(postings, "shared"), ["v"], "df")
+    shared = join_keyed(postings, stored(_lists(postings), "shared"), ["v"], "df")
     needed = F.least(F.lit(LEAST_SHARED), F.ceil(F.col("n") * (percent / 100)))
     counts = shared.groupBy("node").agg(F.count("*").alias("overlap"))
     suspects = stored(nodes.join(counts, "node").where(F.col("overlap") >= needed).select("node", "rep", "h1", "h2", "n", "sketch"), "suspects")
@@ -167,7 +167,7 @@ def _links(rows: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataF
     listed = suspects.select("node", "rep", F.explode("sketch").alias("v"))
     # The node of the smallest doc_id is the first of most of its lists, so that few nodes are.
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node"))
-    lists = stored(_lists(listed, "firsts", first.alias("first")).select("v", "df", F.col("first.node").alias("hub")), "lists")
+    lists = stored(_lists(listed, first.alias("first")).select("v", "df", F.col("first.node").alias("hub")), "lists")
     listed = listed.drop("rep")
     listed = stored(join_keyed(listed, lists, ["v"], "df"), "listed")
 

@@ -39,13 +39,24 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str,
     """rows joined (inner or left) to keyed: a stored table of one row a key, with the number of rows of the key in weight.
 
     Hot keys are few by their definition, so their side is broadcast and their rows stay where they are; all other rows meet
-    by a shuffle. No task gets a hot key's rows together.
+    by a shuffle. No task gets a hot key's rows together. Where no key is hot, it is one plain join.
     """
-    total = keyed.agg(F.sum(weight)).first()[0] or 0
-    bound = max(HOT_ROWS, total // HOT_KEYS)
-    hot = F.broadcast(keyed.where(F.col(weight) > bound))
-    cold = rows.join(F.broadcast(keyed.where(F.col(weight) > bound).select(*keys)), keys, "left_anti").join(keyed.where(F.col(weight) <= bound), keys, how)
-    return cold.unionByName(rows.join(hot, keys).select(*cold.columns))
+    total, most = keyed.agg(F.sum(weight), F.max(weight)).first()
+    hot = hot_above(total or 0)
+    if (most or 0) <= hot:
+        return rows.join(keyed, keys, how)
+    return join_parts(rows, keyed.where(F.col(weight) > hot), keyed.where(F.col(weight) <= hot), keys, how)
+
+
+def hot_above(total: int) -> int:
+    """Keys with more rows than this are hot."""
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
+def join_parts(rows: DataFrame, hot: DataFrame, cold: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined to hot by a broadcast (it has fewer than HOT_KEYS rows) and to cold by a shuffle."""
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys).select(*rest.columns))
 
 
 @lru_cache(maxsize=1)
@@ -63,4 +74,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["join_keyed", "map_arrow", "one_blas_thread", "settled", "shared_dir", "stored", "table", "text_rows"]
+__all__ = ["hot_above", "join_keyed", "join_parts", "map_arrow", "one_blas_thread", "settled", "shared_dir", "stored", "table", "text_rows"]
