@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.llm.components import connected_components
-from netquarry.llm.runtime import HOT_ROWS, join_keyed, map_arrow, settled, stored, text_rows
+from netquarry.llm.runtime import join_keyed, map_arrow, settled, stored, text_rows
 from netquarry.llm.words import chunks, shingle_hashes, word_hashes
 
 WIDTH = 5
@@ -39,8 +39,6 @@ COLD = 32
 #: A link leaves a quarter of the union's sketch unshared in expectation: a sketch with more than this many of its
 #: 32 values outside long lists shares one of those with every link (chance of a miss under 1e-6).
 COLD_ENOUGH = 22
-#: Tasks over which the pairs of a value are dealt that more than HOT_ROWS prefixes have.
-BLOCKS = 16
 #: Estimate below which a pair is not verified (11 or fewer of 32: a chance of 1.5e-6 at 0.75).
 LEAST_ESTIMATE = 0.35
 _ROW = ["doc_id", "t1", "t2"]
@@ -205,14 +203,11 @@ def _rare_prefix_pairs(spread: DataFrame, hot_count: DataFrame, full: DataFrame,
     sizes = prefix.groupBy("v", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("v").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components"), F.sum("c").alias("rows")).where("components > 1").select("v", "main", "rows")
     listed = join_keyed(prefix, stored(main, "main"), ["v"], "rows")
-    # The pairs of a value are dealt over BLOCKS tasks: the others once, those that they are held against to every task.
-    left = listed.where("component <> main").select("v", F.pmod(F.xxhash64("node"), F.lit(BLOCKS)).cast("int").alias("block"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("component").alias("ca"), "rows")
-    left = left.withColumn("block", F.when(F.col("rows") > HOT_ROWS, F.col("block")).otherwise(0)).drop("rows")
-    spread_over = F.explode(F.when(F.col("rows") > HOT_ROWS, F.sequence(F.lit(0), F.lit(BLOCKS - 1))).otherwise(F.array(F.lit(0))))
-    right = listed.select("v", spread_over.alias("block"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("component").alias("cb"), "main")
+    left = listed.where("component <> main").select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("component").alias("ca"))
+    right = listed.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("component").alias("cb"), "main")
     once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
     enough = (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    met = left.join(right, ["v", "block"]).where((F.col("ca") != F.col("cb")) & once & enough)
+    met = left.join(right, "v").where((F.col("ca") != F.col("cb")) & once & enough)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
