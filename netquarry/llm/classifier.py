@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.llm.runtime import map_arrow, one_blas_thread, text_rows
+from netquarry.llm.runtime import map_arrow, on_one_blas_thread, one_blas_thread, text_rows
 from netquarry.llm.words import chunks
 
 #: Bounds of the sample: labelled rows of each class that have a document, and bytes of all of them together.
@@ -127,6 +127,7 @@ def _chunk_places(r: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return np.take_along_axis(places, r[places].argmax(axis=1), axis=1)
 
 
+@on_one_blas_thread()
 def train(examples: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED) -> ByteNetwork | float:
     """The fitted network, or a constant where there is nothing to tell apart."""
     labels = np.array([y for _, y in examples])
@@ -181,7 +182,9 @@ def sample(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = Non
     # A window over the bounded sample alone.
     so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
     found = found.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES)
-    return [(r["text"].encode(), r["y"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
+    # Arrow columns take a fraction of the driver's memory that rows of strings take.
+    got = found.select("doc_id", F.col("text").cast("binary").alias("text"), "y").toArrow().sort_by("doc_id")
+    return list(zip(got.column("text").to_pylist(), got.column("y").to_pylist(), strict=True))
 
 
 def _scorer(net: ByteNetwork | float):

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from netquarry.llm.runtime import map_arrow, one_blas_thread, stored, text_rows
+from netquarry.llm.runtime import map_arrow, on_one_blas_thread, one_blas_thread, stored, text_rows
 from netquarry.llm.words import chunks, mix64, word_hashes
 
 TERMS, RANK, OVERSAMPLED, NONZERO = 1 << 14, 96, 16, 2
@@ -255,6 +255,7 @@ def _singular(basis: np.ndarray, gram: np.ndarray, rank: int = RANK) -> tuple[np
     return basis @ vectors[:, real], np.sqrt(values[real])
 
 
+@on_one_blas_thread()
 def latent_space(texts: DataFrame) -> np.ndarray:
     """What folds a passage in: a row a term (its weight times its left singular vector, scaled by the inverse singular values), and a last row of zeros."""
     found = _added(map_arrow(texts, _partial_sketch, "terms int, payload binary"), _summed)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
@@ -60,18 +62,36 @@ def join_parts(rows: DataFrame, hot: DataFrame, cold: DataFrame, keys: list[str]
 
 
 @lru_cache(maxsize=1)
+def _blas():
+    """What sets and gets the number of threads of numpy's OpenBLAS, where it is that."""
+    for library in (Path(np.__file__).parents[1] / "numpy.libs").glob("*openblas*"):
+        loaded = ctypes.CDLL(str(library))
+        for name in ("scipy_openblas_{}_num_threads64_", "openblas_{}_num_threads64_", "openblas_{}_num_threads"):
+            if hasattr(loaded, name.format("set")):
+                return getattr(loaded, name.format("set")), getattr(loaded, name.format("get"))
+    return (lambda n: None), (lambda: 1)
+
+
 def one_blas_thread() -> None:
     """In a Python worker: numpy's matrix products keep to the task's own core. Workers of one executor that each start a thread
     a core wait for one another most of the time."""
-    for library in (Path(np.__file__).parents[1] / "numpy.libs").glob("*openblas*"):
-        loaded = ctypes.CDLL(str(library))
-        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
-            if hasattr(loaded, name):
-                getattr(loaded, name)(1)
+    _blas()[0](1)
+
+
+@contextmanager
+def on_one_blas_thread() -> Iterator[None]:
+    """On the driver: small matrices need no more threads, each of which has buffers of its own."""
+    put, get = _blas()
+    before = get()
+    put(1)
+    try:
+        yield
+    finally:
+        put(before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["hot_above", "join_keyed", "join_parts", "map_arrow", "one_blas_thread", "settled", "shared_dir", "stored", "table", "text_rows"]
+__all__ = ["hot_above", "join_keyed", "join_parts", "map_arrow", "on_one_blas_thread", "one_blas_thread", "settled", "shared_dir", "stored", "table", "text_rows"]
