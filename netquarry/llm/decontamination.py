@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from netquarry.llm.runtime import map_arrow, on_one_blas_thread, one_blas_thread, stored, text_rows
 from netquarry.llm.words import chunks, mix64, word_hashes
 
-TERMS, RANK, OVERSAMPLED, NONZERO = 1 << 14, 96, 16, 2
+TERMS, RANK, OVERSAMPLED, NONZERO = 1 << 14, 96, 32, 2
 NEAR, LONGEST = 3, 16
 WIDTH = RANK + OVERSAMPLED
 #: Added (in squares) to the singular values before they are inverted, as a share of the largest: directions that hardly
