@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netquarry.llm import chat_format, classifier, decontamination, line_dedup, near_dedup, packing, quality_rules, secrets, sharding, token_counts
+from netquarry.llm import chat_format, classifier, decontamination, line_dedup, merkle, near_dedup, packing, prefix_trie, quality_rules, secrets, sharding, token_counts, token_files
 from netquarry.llm.runtime import table
 from netquarry.llm.sql import CHAT_SQL, LINES_SQL, RULES_SQL
 
@@ -65,6 +65,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_digest(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_digests(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_shards": op2_shards,
@@ -76,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_files": op12_token_files,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": CHAT_SQL, "op8_quality_rules": RULES_SQL, "op10_line_dedup": LINES_SQL}
