@@ -7,8 +7,8 @@ conversation that a range's end cuts, so no conversation is gathered. Equal (dep
 Every candidate group is verified turn by turn: what each member has at this depth (role, whole text, and the fingerprint
 before it) is compared with what its representative, the smallest conversation, has, as a minimum and a maximum that are
 combined before the shuffle; groups that are pure down to the root are prefixes that are equal in full. Where a group is mixed,
-members that differ from the representative get the number of their kind mixed into their scan from that turn on, and all is scanned
-and verified again until every group is pure: no collision is left, whatever the hashes.
+members that differ from the representative get the number of their kind, which one more polynomial carries on from that turn, and
+all is scanned and verified again until every group is pure: no collision is left, whatever the hashes.
 
 Sums over subtrees use pointer doubling: after k steps a node knows its ancestor 2^k levels up and the sum over descendants
 less than 2^k levels down; so a trie of depth D takes log2 D rounds, each one aggregate and one join.
@@ -66,15 +66,16 @@ def fingerprints(turns: DataFrame, order: list[str], salts: DataFrame | None = N
     """conv_id, depth, role, text, last, f (of the turns up to this one) and g (of those before it)."""
     hashes = {f"h{k}": F.pmod(F.xxhash64(F.lit(k), "role", "text"), F.lit(p - 1)) + 1 for k, p in enumerate(primes)}
     rows = turns.select("conv_id", *order, "role", "text").withColumns(hashes)
+    polynomials = [Polynomial(f"h{k}", BASES[k] % p, p) for k, p in enumerate(primes)]
     if salts is not None:
         keyed = salts.select(F.col("conv_id").alias("_conv"), *[F.col(c).alias(f"_{c}") for c in order], "salt")
         same = [F.equal_null(F.col(c), F.col(k)) for c, k in zip(["conv_id", *order], ["_conv", *[f"_{c}" for c in order]], strict=True)]
-        rows = rows.join(keyed, same, "left")
-        salted = {f"h{k}": F.when(F.col("salt").isNull(), F.col(f"h{k}")).otherwise(F.pmod(F.xxhash64(F.lit(k), F.col(f"h{k}"), "salt"), F.lit(p - 1)) + 1) for k, p in enumerate(primes)}
-        rows = rows.withColumns(salted).select("conv_id", *order, "role", "text", "h0", "h1")
-    polynomials = tuple(Polynomial(f"h{k}", BASES[k] % p, p) for k, p in enumerate(primes))
-    scanned, _ = numbered(rows, "conv_id", order, "prefixes", polynomials)
+        rows = rows.join(keyed, same, "left").select("conv_id", *order, "role", "text", "h0", "h1", F.coalesce("salt", F.lit(0)).alias("salt"))
+        polynomials.append(Polynomial("salt", BASES[0], PRIMES[1]))
+    scanned, _ = numbered(rows, "conv_id", order, "prefixes", tuple(polynomials))
     whole = {c: F.shiftleft(F.col(f"{c}0"), 31) + F.col(f"{c}1") for c in "fg"}
+    if salts is not None:
+        whole = {c: F.when(F.col(f"{c}2") == 0, v).otherwise(F.xxhash64(v, f"{c}2")) for c, v in whole.items()}
     return scanned.select("conv_id", (F.col("place") + 1).alias("depth"), *order, "role", "text", "last", *[v.alias(c) for c, v in whole.items()])
 
 
@@ -102,7 +103,7 @@ def _salts(scanned: DataFrame, mixed: DataFrame, order: list[str], before: DataF
     kinds = kinds.withColumn("number", F.row_number().over(Window.partitionBy("depth", "f").orderBy(F.col("first").asc_nulls_last(), "g", "role", "text")))
     new = members.join(kinds.where("number > 1"), kind).select("conv_id", *order, F.col("number").cast("long").alias("salt"))
     both = new if before is None else new.unionByName(before)
-    return both.groupBy("conv_id", *order).agg(F.xxhash64(F.sort_array(F.collect_list("salt"))).alias("salt"))
+    return both.groupBy("conv_id", *order).agg(F.pmod(F.xxhash64(F.sort_array(F.collect_list("salt"))), F.lit(PRIMES[1])).alias("salt"))
 
 
 def _chunks(batches):
