@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from netquarry.functions import ip as ipf
 from netquarry.functions.text import group_name, keywords
+from netquarry.operators.numbering import numbered_in
 from netquarry.session import stored
 
 
@@ -109,34 +110,84 @@ def neighbors(adj: DataFrame, kind: str | None = None, nbr_kind: str | None = No
     return kept.groupBy("id").agg(F.count_distinct("nbr").alias("n"))
 
 
-#: Neighbours of a node whose pairs one task makes; those of a node with more are dealt over the pairs of so many blocks.
+#: Nodes of a block whose pairs one task makes; those of a block with more are dealt over the pairs of so many parts.
 PAIRED_AT_ONCE = 4_096
+#: A block is so many 64-bit words of neighbours.
+WORDS = 4
 
 
-def pairs_sharing(of: DataFrame) -> DataFrame:
-    """a, b (a < b), by: the pairs of ids that have a neighbour in common, once for each, of (id, nbr).
+def neighbor_words(of: DataFrame) -> DataFrame:
+    """id, block, w0, w1, ...: the neighbours of each id, of (id, nbr), as bits.
 
-    A neighbour's ids are cut into blocks by hash, and each pair of blocks is a group of its own, so that no task makes all
-    pairs of a hub; a neighbour with few ids is one block.
+    Neighbours are numbered by how many ids they have, most first, so hubs share words: two nodes that have many of them in
+    common meet in a few rows, not once for each. A neighbour of one id only has no bit, nothing can be shared through it.
     """
     sizes = of.groupBy("nbr").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = of.join(sizes, "nbr").withColumn("blocks", F.ceil(F.col("n") / PAIRED_AT_ONCE).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = dealt.select("nbr", F.col("id").alias("a"), F.col("own").alias("i"), F.explode(others).alias("j"))
-    right = dealt.select("nbr", F.col("id").alias("b"), F.explode(others).alias("i"), F.col("own").alias("j"))
-    return left.join(right, ["nbr", "i", "j"]).where("a < b").select("a", "b", F.col("nbr").alias("by"))
+    # The number within a range of the order is the bit; ranges have blocks of their own.
+    ordered = sizes.repartitionByRange(F.desc("n"), "nbr").sortWithinPartitions(F.desc("n"), "nbr").withColumn("at", F.monotonically_increasing_id())
+    ordered = stored(ordered.select("nbr", F.floor(F.col("at") / (64 * WORDS)).alias("block"), (F.col("at") % (64 * WORDS)).cast("int").alias("bit")), "bits")
+    one = F.expr("shiftleft(1L, bit % 64)")
+    words = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == k, one).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    return of.distinct().join(ordered, "nbr").groupBy("id", "block").agg(*words)
+
+
+def _overlap(one: str, other: str) -> Column:
+    return sum((F.bit_count(F.col(f"{one}{k}").bitwiseAND(F.col(f"{other}{k}"))) for k in range(WORDS)), F.lit(0))
+
+
+def _words(words: DataFrame, node: str, letter: str, *more: Column) -> DataFrame:
+    return words.select("block", F.col("id").alias(node), *more, *[F.col(f"w{k}").alias(f"{letter}{k}") for k in range(WORDS)])
+
+
+def _meeting(words: DataFrame, *own: str) -> DataFrame:
+    """Rows of two nodes a < b that share a neighbour of a block, with the number of these as overlap; the columns in own of each are
+    a_<name> and b_<name>. The nodes of a block are cut into parts by hash, and each pair of parts is a group of its own."""
+    sizes = stored(words.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    dealt = words.join(sizes, "block").withColumn("parts", F.ceil(F.col("n") / PAIRED_AT_ONCE).cast("int")).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = _words(dealt, "a", "x", *[F.col(c).alias(f"a_{c}") for c in own], F.col("mine").alias("i"), others.alias("j"))
+    right = _words(dealt, "b", "y", *[F.col(c).alias(f"b_{c}") for c in own], F.col("mine").alias("j"), others.alias("i"))
+    return left.join(right, ["block", "i", "j"]).where("a < b").withColumn("overlap", _overlap("x", "y")).where("overlap > 0")
+
+
+def shared_counts(of: DataFrame) -> DataFrame:
+    """a, b (a < b), common: the pairs of ids that have neighbours in common, of (id, nbr), and how many."""
+    return _meeting(stored(neighbor_words(of), "words")).groupBy("a", "b").agg(F.sum("overlap").alias("common"))
 
 
 def common_neighbors(adj: DataFrame, kind: str, nbr_kind: str | None = None) -> DataFrame:
-    """a, b (a < b, both of one type), common, da, db: neighbours in common and of each. Pairs without any do not appear.
+    """a, b (a < b, both of one type), common, da, db: neighbours in common and of each. Pairs without any do not appear."""
+    kept = _of(adj, kind, nbr_kind)
+    return _with_degrees(shared_counts(kept), kept)
+
+
+def _of(adj: DataFrame, kind: str, nbr_kind: str | None) -> DataFrame:
+    kept = adj.where(F.col("type") == kind)
+    return (kept if nbr_kind is None else kept.where(F.col("nbr_type") == nbr_kind)).select("id", "nbr")
 
-    Pairs are counted as they are made, so that the join's output is summed in its own stage first.
+
+def _with_degrees(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    degree = of.groupBy("id").agg(F.count("*").alias("degree"))
+    for end in "ab":
+        pairs = pairs.join(degree.select(F.col("id").alias(end), F.col("degree").alias(f"d{end}")), end)
+    return pairs.select("a", "b", "common", "da", "db")
+
+
+def pairs_above(of: DataFrame, share: float) -> DataFrame:
+    """a, b (a < b): all pairs, and some more, that have at least this share of each one's neighbours in common.
+
+    A node's neighbours are ordered by how many nodes they have, fewest first. Two nodes of a pair meet within the part of
+    their lists that leaves fewer behind than they must share, so a hub, which comes last, brings nobody together but nodes with
+    nearly nothing else; and neither has so many more neighbours that the share is out of reach.
     """
-    kept = adj.where(F.col("type") == kind) if nbr_kind is None else adj.where((F.col("type") == kind) & (F.col("nbr_type") == nbr_kind))
-    degree = kept.groupBy("id").agg(F.count("*").alias("degree"))
-    pairs = pairs_sharing(kept.select("id", "nbr")).groupBy("a", "b").agg(F.count("*").alias("common"))
-    pairs = pairs.join(degree.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a")
-    return pairs.join(degree.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b").select("a", "b", "common", "da", "db")
+    sizes = of.groupBy("nbr").agg(F.count("*").alias("n"))
+    listed = of.join(sizes, "nbr").select("id", "nbr", F.struct("n", "nbr").alias("place"))
+    degree = of.groupBy("id").agg(F.count("*").alias("degree"))
+    slack = F.col("degree") - F.ceil(F.col("degree") * share - 1e-9)
+    front = numbered_in(listed, "id", "place").join(degree, "id").where(F.col("k") <= slack).select("id", "nbr")
+    words = neighbor_words(stored(front, "fronts")).join(degree, "id")
+    met = _meeting(stored(words, "words"), "degree")
+    return met.where(F.least("a_degree", "b_degree") >= F.greatest("a_degree", "b_degree") * share - 1e-9).select("a", "b").distinct()
 
 
 def similarity_proportions(adj: DataFrame, kind: str, nbr_kind: str | None = None) -> DataFrame:
@@ -145,9 +196,26 @@ def similarity_proportions(adj: DataFrame, kind: str, nbr_kind: str | None = Non
 
 
 def similar_nodes(adj: DataFrame, kind: str, weights: dict[str, float], threshold: float) -> DataFrame:
-    """Pairs whose weighted proportions both reach the threshold, and are not both exactly 1."""
-    parts = [similarity_proportions(adj, kind, k).select("a", "b", (F.col("pa") * w).alias("pa"), (F.col("pb") * w).alias("pb")) for k, w in weights.items()]
-    whole = union(*parts).groupBy("a", "b").agg(F.sum("pa").alias("pa"), F.sum("pb").alias("pb"))
+    """Pairs whose weighted proportions both reach the threshold, and are not both exactly 1.
+
+    Where the other types cannot make up for it, a pair must share some part of the neighbours of one type: only the pairs that can
+    are made (pairs_above) and counted, for each type.
+    """
+    needed = {k: (threshold - sum(weights.values()) + w) / w for k, w in weights.items() if w > 0}
+    main = max(needed, key=needed.get, default=None)
+    if main is None or needed[main] <= 0:
+        parts = [common_neighbors(adj, kind, k).withColumn("weight", F.lit(float(w))) for k, w in weights.items()]
+    else:
+        pairs = stored(pairs_above(_of(adj, kind, main), needed[main]), "pairs")
+        parts = []
+        for k, w in weights.items():
+            of = _of(adj, kind, k)
+            words = stored(neighbor_words(of), "words")
+            both = pairs.join(_words(words, "a", "x"), "a").join(_words(words, "b", "y"), ["b", "block"])
+            counted = both.groupBy("a", "b").agg(F.sum(_overlap("x", "y")).alias("common")).where("common > 0")
+            parts.append(_with_degrees(counted, of).withColumn("weight", F.lit(float(w))))
+    share = lambda d: F.sum(F.col("common") / F.col(d) * F.col("weight"))
+    whole = union(*parts).groupBy("a", "b").agg(share("da").alias("pa"), share("db").alias("pb"))
     return whole.where((F.col("pa") >= threshold) & (F.col("pb") >= threshold) & ~((F.col("pa") == 1) & (F.col("pb") == 1)))
 
 
@@ -210,7 +278,7 @@ def add_supernets(edges: DataFrame, length: int) -> DataFrame:
 
 def shared_subnet_without_vlan(adj: DataFrame, kind: str = "interface", shared: str = "subnet", lacking: str = "vlan") -> DataFrame:
     """Pairs of nodes that share a neighbour of one type, none of another, and of which one has a neighbour of that."""
-    pairs = pairs_sharing(adj.where((F.col("type") == kind) & (F.col("nbr_type") == shared)).select("id", "nbr")).select("a", "b").distinct()
+    pairs = shared_counts(_of(adj, kind, shared)).select("a", "b")
     other = adj.where((F.col("type") == kind) & (F.col("nbr_type") == lacking)).select("id", F.col("nbr").alias("v"))
     has = other.select("id").distinct()
     # Whether a pair shares one is asked for the pairs at hand, not for all pairs of a hub.
@@ -279,17 +347,3 @@ def aggregate_prefixes(networks: DataFrame, max_rounds: int = 33) -> DataFrame:
         if same:
             break
     return now
-
-
-def random_walk_vectors(adj: DataFrame, length: int = 8, walks: int = 4, size: int = 16, seed: int = 7) -> DataFrame:
-    """id, vector: word2vec over seeded random walks, each step a hash-chosen neighbour."""
-    from pyspark.ml.feature import Word2Vec
-
-    ranked = adj.select("id", "nbr").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("nbr")) - 1)
-    degree = ranked.groupBy("id").agg(F.count("*").alias("degree"))
-    walk = degree.select("id").withColumn("w", F.explode(F.sequence(F.lit(1), F.lit(walks)))).select(F.col("id").alias("at"), F.array("id").alias("path"), "w", F.col("id").alias("start"))
-    for step in range(length):
-        chosen = walk.join(degree, walk["at"] == degree["id"]).withColumn("k", F.pmod(F.xxhash64("start", "w", F.lit(step), F.lit(seed)), F.col("degree"))).select("at", "path", "w", "start", "k")
-        walk = stored(chosen.join(ranked, (chosen["at"] == ranked["id"]) & (chosen["k"] == ranked["k"])).select(F.col("nbr").alias("at"), F.concat("path", F.array("nbr")).alias("path"), "w", "start"))
-    model = Word2Vec(vectorSize=size, minCount=0, seed=seed, inputCol="path", outputCol="v", numPartitions=1, maxIter=1).fit(walk.select("path"))
-    return model.getVectors().select(F.col("word").alias("id"), "vector")

@@ -1,24 +1,64 @@
-"""Nearest neighbours of equal-length vectors by normalised Hamming distance."""
+"""Exact nearest neighbours of bit vectors by Hamming distance, through an index over pieces of the vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netquarry.session import stored
 
-def nearest_by_hamming(vectors: DataFrame, width: int, block: int = 256) -> DataFrame:
+#: Bits of a piece at most: a table of all masks of a piece has 2 to that many rows.
+PIECE_BITS = 16
+
+
+def _pieces(usable: list[int], bits: int) -> list[list[int]]:
+    """Positions dealt to pieces in turn, so that each piece gets of those that split the vectors evenly."""
+    m = max(1, -(-len(usable) // bits))
+    return [usable[k::m] for k in range(m)]
+
+
+def nearest_by_hamming(vectors: DataFrame, width: int) -> DataFrame:
     """id, nearest, distance: equal vectors are one (smallest id); ties go to the smallest id.
 
-    Bits are packed in 60-bit words, so that a pair costs a few xors. Each vector meets the others in blocks, and
-    only its best of a block leaves the stage.
+    Vectors are cut into m pieces. Of two vectors that differ in fewer than m * (s + 1) bits, some piece differs in at most
+    s; so each vector looks up its pieces with up to s bits flipped (equi-joins on piece and value), and its best is proven once it is
+    nearer than that. Vectors that have no proof yet go on with a larger s. Bits that are alike in all vectors are left out,
+    the others are dealt to pieces by how evenly they split the vectors. Distances are xors of 60-bit words, and only a
+    vector's best of a task leaves its stage.
     """
+    spark = vectors.sparkSession
     words = -(-width // 60)
     packed = [F.aggregate(F.slice("v", 60 * k + 1, 60), F.lit(0).cast("long"), lambda acc, x: acc * 2 + x.cast("long")).alias(f"w{k}") for k in range(words)]
-    unique = vectors.select("vec_id", *packed).groupBy(*[f"w{k}" for k in range(words)]).agg(F.min("vec_id").alias("id"))
-    blocks = unique.withColumn("block", F.floor(F.col("id") / block))
-    right = blocks.select(F.col("id").alias("other"), "block", *[F.col(f"w{k}").alias(f"x{k}") for k in range(words)])
-    asked = unique.join(F.broadcast(right.select("block").distinct()))
+    unique = stored(vectors.select("vec_id", "v", *packed).groupBy(*[f"w{k}" for k in range(words)]).agg(F.min("vec_id").alias("id"), F.first("v").alias("v")), "vectors")
+    sums = unique.agg(F.count("*").alias("n"), *[F.sum(F.get("v", F.lit(k)).cast("long")).alias(f"b{k}") for k in range(width)]).first()
+    n = sums["n"]
+    usable = sorted((k for k in range(width) if 0 < (sums[f"b{k}"] or 0) < n), key=lambda k: (abs(2 * sums[f"b{k}"] - n), k))
+    bits = min(PIECE_BITS, max(4, n.bit_length()))
+    pieces = _pieces(usable, bits)
+    value = lambda positions: sum((F.get("v", F.lit(p)).cast("long") * (1 << k) for k, p in enumerate(positions)), F.lit(0).cast("long"))
+    cut = F.array(*[F.struct(F.lit(j).alias("j"), value(positions).alias("at")) for j, positions in enumerate(pieces)])
+    index = stored(unique.select("id", *[f"w{k}" for k in range(words)], F.explode(cut).alias("x")).select("id", *[f"w{k}" for k in range(words)], "x.j", "x.at"), "pieces")
+    there = index.select(F.col("id").alias("other"), "j", "at", *[F.col(f"w{k}").alias(f"x{k}") for k in range(words)])
     distance = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"x{k}"))) for k in range(words)), F.lit(0))
-    met = asked.join(right, "block").where("id <> other").select("id", F.struct(distance.alias("d"), "other").alias("best"))
-    best = met.groupBy("id").agg(F.min("best").alias("best"))
-    return best.select("id", F.col("best.other").alias("nearest"), (F.col("best.d") / width).alias("distance"))
+    longest = max(map(len, pieces))
+    done, asking, best = [], index, None
+    for low in range(0, longest + 1, 2):
+        # Masks that flip low or low + 1 bits of a piece; there are 2 ^ PIECE_BITS at most.
+        masks = spark.range(1 << longest).where(F.bit_count("id").between(low, low + 1)).select(F.col("id").alias("mask"))
+        probes = asking.join(F.broadcast(masks)).withColumn("at", F.col("at").bitwiseXOR(F.col("mask")))
+        met = probes.join(there, ["j", "at"]).where("id <> other").groupBy("id").agg(F.min(F.struct(distance.alias("d"), "other")).alias("best"))
+        met = met if best is None else met.unionByName(best).groupBy("id").agg(F.min("best").alias("best"))
+        met = stored(met, "best")
+        proven = F.col("best.d") < len(pieces) * (low + 2)
+        last = low + 2 > longest
+        done.append(met if last else met.where(proven))
+        if last:
+            break
+        best = met.where(~proven)
+        asking = stored(asking.join(done[-1].select("id"), "id", "left_anti"), "asking")
+        if asking.isEmpty():
+            break
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.unionByName(more)
+    return whole.select("id", F.col("best.other").alias("nearest"), (F.col("best.d") / width).alias("distance"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netquarry.operators import graph as G
+from netquarry.operators import node2vec as N
 from netquarry.plans import bindings as B
 from netquarry.plans.registry import query
+from netquarry.session import stored
 
 SITE = f"WITH {B.SITE_SQL}"
 PARTS = f"WITH {B.PARTS_SQL}"
@@ -125,9 +127,30 @@ def g12(spark, d):
     return G.remove_edges(B.site_edges(spark, d), 200, seed=3).select("src", "src_type", "dst", "dst_type")
 
 
+WALKS = {"length": 8, "walks": 6, "size": 32, "window": 4, "p": 0.5, "q": 2.0, "epochs": 3}
+
+
 @query("g10_node_vectors")
+def g10_vectors(spark, d):
+    walks = {k: WALKS[k] for k in ("length", "walks", "p", "q")}
+    return N.node_vectors(N.random_walks(site(spark, d), **walks), WALKS["size"], WALKS["window"], WALKS["epochs"])
+
+
+@query("g10_similar_nodes_by_walks")
 def g10(spark, d):
-    return G.random_walk_vectors(site(spark, d))
+    """Interfaces with similar walks. Vectors are random by nature, so there is no SQL; tests hold the parts against brute force."""
+    return N.similar_nodes_by_walks(site(spark, d), "interface", 0.9, **WALKS)
+
+
+@query("g10_a31_suggested_links")
+def g10_links(spark, d):
+    """How many removed links the neighbours of nodes with similar walks suggest."""
+    edges = B.site_edges(spark, d)
+    gone = stored(G.remove_edges(edges, 200, seed=3).select("src", "dst"))
+    left = G.adjacency(edges.join(gone, ["src", "dst"], "left_anti"))
+    pairs = N.similar_nodes_by_walks(left, "interface", 0.9, **WALKS)
+    found = G.suggest_links(left, pairs).select(F.col("node").alias("src"), F.col("suggestion").alias("dst"))
+    return G.precision_recall(gone, found)
 
 
 COALESCE_SQL = """own AS (SELECT id, type, list_sort(list_distinct(list(nbr))) AS nbrs FROM adj WHERE type = 'interface' GROUP BY id, type)

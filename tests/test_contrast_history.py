@@ -30,14 +30,14 @@ def test_not_rules_equal_brute_force(spark):
 
 
 def test_pairs_of_a_hub(spark, monkeypatch):
-    """A neighbour of many nodes is dealt over pairs of blocks; every pair comes once for each neighbour."""
+    """Nodes of a block are dealt over pairs of parts; every pair comes once, with all neighbours in common."""
     monkeypatch.setattr(graph, "PAIRED_AT_ONCE", 7)
-    rows = [(f"n{i}", "hub") for i in range(60)] + [(f"n{i}", f"x{i % 9}") for i in range(60)] + [("alone", "y")]
-    got = collections.Counter(tuple(r) for r in graph.pairs_sharing(spark.createDataFrame(rows, "id string, nbr string")).collect())
+    rows = [(f"n{i}", "hub") for i in range(60)] + [(f"n{i}", f"x{i % 9}") for i in range(60)] + [("alone", "y")] + [(f"n{i}", f"y{k}") for i in range(0, 60, 7) for k in range(300)]
+    got = {(r["a"], r["b"]): r["common"] for r in graph.shared_counts(spark.createDataFrame(rows, "id string, nbr string")).collect()}
     by = collections.defaultdict(list)
     for i, n in rows:
         by[n].append(i)
-    assert got == collections.Counter((min(a, b), max(a, b), n) for n, v in by.items() for a, b in itertools.combinations(v, 2))
+    assert got == collections.Counter((min(a, b), max(a, b)) for v in by.values() for a, b in itertools.combinations(v, 2))
 
 
 def test_discretize(spark):

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from netquarry.operators import graph as G
 from netquarry.operators import paths as P
-from netquarry.operators.nearest import nearest_by_hamming
 from netquarry.sources import configs as S
 
 from . import configs
@@ -113,18 +112,3 @@ def test_aggregate_prefixes(spark):
     assert got == {(0, 23), (1024, 24)}
     one = spark.createDataFrame([(0, 32)], "lo long, length int")
     assert [tuple(r) for r in G.aggregate_prefixes(one).collect()] == [(0, 32)]
-
-
-def test_nearest(spark):
-    rng = random.Random(4)
-    rows = [(i, [rng.random() < 0.5 for _ in range(70)]) for i in range(40)]
-    got = {r["id"]: (r["nearest"], r["distance"]) for r in nearest_by_hamming(spark.createDataFrame(rows, "vec_id long, v array<boolean>"), 70, block=7).collect()}
-    for i, x in rows:
-        d, j = min((sum(p != q for p, q in zip(x, y, strict=True)), j) for j, y in rows if j != i)
-        assert got[i] == (j, d / 70)
-
-
-def test_walks_are_rows_only(spark):
-    v = G.random_walk_vectors(G.adjacency(toy(spark)), length=3, walks=2, size=4)
-    assert v.count() == len({x for e in TOY for x in e})
-    assert v.select(F.col("vector")).first()[0].size == 4
