@@ -8,24 +8,27 @@ and each pair taken is replaced everywhere. Rounds go on until no pair is freque
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
 #: A pair is replaced while it occurs at least so often in its shard; a rule costs three numbers.
 LEAST_COUNT = 16
 #: A round takes pairs down to this share of the most frequent one's count.
-ROUND_SHARE = 8
+ROUND_SHARE = 32
 _MAGIC = b"RPG1"
 _SHIFT = 32
 
 
 def compress(ids: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(terminals, rules, sequence): symbol k < len(terminals) is that id, each later symbol is the pair rules[k - len(terminals)]."""
-    terminals, symbols = np.unique(ids, return_inverse=True)
-    symbols = symbols.astype(np.int64).reshape(-1)
+    terminals = np.flatnonzero(np.bincount(ids)) if len(ids) else np.zeros(0, np.int64)
+    number = np.zeros(int(terminals[-1]) + 1 if len(terminals) else 0, np.int64)
+    number[terminals] = np.arange(len(terminals))
+    symbols = number[ids]
     rules, known = [], len(terminals)
     while len(symbols) > 1:
-        taken = _frequent(symbols, least)
+        taken = _frequent(symbols, known, least)
         if not len(taken):
             break
         symbols = _replaced(symbols, taken, known)
@@ -34,15 +37,18 @@ def compress(ids: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.
     return terminals, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), symbols
 
 
-def _frequent(symbols: np.ndarray, least: int) -> np.ndarray:
-    """The pairs that this round replaces, as codes in ascending order."""
-    codes = np.sort(symbols[:-1] << _SHIFT | symbols[1:])
+def _frequent(symbols: np.ndarray, known: int, least: int) -> np.ndarray:
+    """The pairs that this round replaces, as codes in ascending order. Few symbols make short codes, which sort faster."""
+    shift, kind = (16, np.uint32) if known <= 1 << 16 else (_SHIFT, np.int64)
+    codes = (symbols[:-1] << shift | symbols[1:]).astype(kind)
+    codes.sort()
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     counts = np.diff(np.append(first, len(codes)))
     if counts.max() < least:
-        return codes[:0]
+        return np.zeros(0, np.int64)
     some = np.flatnonzero(counts >= max(least, counts.max() // ROUND_SHARE))
-    pairs = codes[first[some]][np.argsort(-counts[some], kind="stable")]
+    pairs = codes[first[some]].astype(np.int64)[np.argsort(-counts[some], kind="stable")]
+    pairs = pairs >> shift << _SHIFT | pairs & ((1 << shift) - 1)
     lefts, rights, taken = set(), set(), []
     for code in pairs.tolist():
         a, b = code >> _SHIFT, code & (2**_SHIFT - 1)
@@ -74,15 +80,21 @@ def _replaced(symbols: np.ndarray, taken: np.ndarray, known: int) -> np.ndarray:
     return out[stays]
 
 
+def stretches(n_terminals: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rules that name no rule of their own run, so that each can be worked on at once."""
+    at, latest = 0, np.maximum(left, right)
+    while at < len(latest):
+        later = np.flatnonzero(latest[at:] >= n_terminals + at)
+        end = at + int(later[0]) if len(later) else len(latest)
+        yield at, end
+        at = end
+
+
 def expansion_lengths(n_terminals: int, rules: np.ndarray) -> np.ndarray:
-    """Ids that each symbol stands for. A rule names earlier symbols only, so whole stretches of rules are done at once."""
+    """Ids that each symbol stands for. A rule names earlier symbols only."""
     sizes = np.ones(n_terminals + len(rules), np.int64)
-    at = 0
-    while at < len(rules):
-        later = np.flatnonzero(rules[at:].max(axis=1) >= n_terminals + at)
-        end = at + (int(later[0]) if len(later) else len(rules) - at)
-        sizes[n_terminals + at : n_terminals + end] = sizes[rules[at:end]].sum(axis=1)
-        at = end
+    for lo, hi in stretches(n_terminals, rules[:, 0], rules[:, 1]):
+        sizes[n_terminals + lo : n_terminals + hi] = sizes[rules[lo:hi]].sum(axis=1)
     return sizes
 
 
@@ -114,28 +126,38 @@ class Shard:
         self.terminals, self.left, self.right, sizes, self.sequence = parts
         self.sizes = np.concatenate([np.ones(len(self.terminals), np.int64), sizes])
         self.ends = np.cumsum(self.sizes[self.sequence])
+        self.known: tuple[np.ndarray, np.ndarray] | None = None
 
     def __len__(self) -> int:
         return int(self.ends[-1]) if len(self.ends) else 0
 
     def read(self, start: int, stop: int) -> np.ndarray:
-        """Ids from start to before stop; only the symbols of the sequence that hold them are expanded."""
+        """Ids from start to before stop; only what the symbols that hold them stand for is looked up."""
         start, stop = max(0, start), min(stop, len(self))
         if start >= stop:
             return np.zeros(0, np.uint32)
         a, b = np.searchsorted(self.ends, [start, stop - 1], side="right")
         symbols = self.sequence[a : b + 1]
-        base, known = int(self.ends[a] - self.sizes[symbols[0]]), len(self.terminals)
-        while True:
-            compound = symbols >= known
-            if not compound.any():
-                break
-            # Symbols outside the range go as soon as their ends tell.
-            at = np.cumsum(1 + compound) - 1 - compound
-            wider = np.empty(len(symbols) + int(compound.sum()), np.int64)
-            wider[at] = np.where(compound, self.left[np.maximum(symbols - known, 0)] if len(self.left) else 0, symbols)
-            wider[at[compound] + 1] = self.right[symbols[compound] - known]
-            ends = base + np.cumsum(self.sizes[wider])
-            keep = slice(int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop - 1, side="right")) + 1)
-            base, symbols = int(ends[keep.start] - self.sizes[wider[keep.start]]), wider[keep]
-        return self.terminals[symbols].astype(np.uint32)
+        before = int(self.ends[a] - self.sizes[symbols[0]])
+        return self._expanded(symbols)[start - before : stop - before]
+
+    def _expanded(self, symbols: np.ndarray) -> np.ndarray:
+        flat, at = self._expansions()
+        sizes = self.sizes[symbols]
+        ends = np.cumsum(sizes)
+        return flat[np.repeat(at[symbols] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
+
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all symbols one after another, and where each begins. A rule's two sides are known before it."""
+        if self.known is None:
+            at = np.cumsum(self.sizes) - self.sizes
+            flat = np.zeros(int(self.sizes.sum()), np.uint32)
+            n = len(self.terminals)
+            flat[:n] = self.terminals
+            for lo, hi in stretches(n, self.left, self.right):
+                for side, begin in ((self.left[lo:hi], at[n + lo : n + hi]), (self.right[lo:hi], at[n + lo : n + hi] + self.sizes[self.left[lo:hi]])):
+                    sizes = self.sizes[side]
+                    step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    flat[np.repeat(begin, sizes) + step] = flat[np.repeat(at[side], sizes) + step]
+            self.known = flat, at
+        return self.known

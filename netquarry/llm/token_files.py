@@ -38,6 +38,10 @@ REMEMBERED = 1 << 20
 CHARS_AT_ONCE = 1 << 18
 #: The tokenizer always cuts between a letter and one of these marks, so a space between them changes nothing.
 _LETTER_MARK = "([A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])"
+#: Stretches that the tokenizer takes as one word, whose last token alone has the mark of a word's end.
+_WORD = "^([a-zß-öø-ÿ]+|[.,;:!?]+)$"
+#: What stands between stretches that are encoded together: a control character, which is a token of its own.
+_MARK = "\x01"
 SHARDS = "part int, shard int, before long, n_ids long, doc_ids array<long>, ends array<long>, body binary"
 
 
@@ -50,44 +54,68 @@ class StretchEncoder:
         self.tokenizer = Tokenizer.from_file(json_path)
         with open(json_path, encoding="utf-8") as f:
             self.special = [x["content"] for x in json.load(f).get("added_tokens", ())]
-        if any(re.search(rf"[ \n]|{_LETTER_MARK}", x) for x in self.special):
+        if any(re.search(rf"[ \n{_MARK}]|{_LETTER_MARK}", x) for x in self.special):
             raise ValueError("a special token spans what texts are cut at")
+        (self.mark,) = self._ids(_MARK)
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for x, k in vocabulary.items() if x.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.place, self.flat, self.ends, self.used = {}, np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
 
-    def _key(self, stretch: str) -> str:
-        """The stretch in lower case where that cannot change its ids: the library lowers it itself, after composing letters and marks."""
-        lower = stretch.lower()
-        return lower if stretch.isascii() and not any(x.lower() in lower for x in self.special) else stretch
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _keys(self, stretches: pa.Array) -> list[str]:
+        """The stretches, in lower case where that cannot change their ids: the library lowers them itself, after composing letters and marks."""
+        plain = pc.string_is_ascii(stretches)
+        for x in self.special:
+            plain = pc.and_not(plain, pc.match_substring(stretches, x, ignore_case=True))
+        return pc.if_else(plain, pc.ascii_lower(stretches), stretches).to_pylist()
 
     def _learn(self, stretches: list[str]) -> None:
-        at = 0
-        while at < len(stretches):
-            end, starts = at, [0]
-            while end < len(stretches) and (end == at or starts[-1] < CHARS_AT_ONCE):
-                starts.append(starts[-1] + len(stretches[end]) + 1)
-                end += 1
-            got = self.tokenizer.encode_batch([" ".join(stretches[at:end])], add_special_tokens=False)[0]
-            ids = np.array(got.ids, np.uint32)
-            ends = np.searchsorted([x for x, _ in got.offsets], starts[1:])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while len(self.place) + end - at >= len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            n = len(self.place)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.ends[n + 1 : n + 1 + end - at] = self.used + ends
-            self.place.update(zip(stretches[at:end], range(n, n + end - at), strict=True))
-            self.used, at = self.used + len(ids), end
+        """Ids of new stretches: many are encoded as one text, told apart by the ends of words where each is one word, else by a mark."""
+        word = pc.match_substring_regex(pa.array(stretches, pa.string()), _WORD).to_pylist()
+        rest = [x for x, w in zip(stretches, word, strict=True) if not w]
+        for x in (x for x in rest if _MARK in x):
+            ids = self._ids(x)
+            self._keep([x], ids, np.array([len(ids)]))
+        for some, joint in (([x for x, w in zip(stretches, word, strict=True) if w], " "), ([x for x in rest if _MARK not in x], f" {_MARK} ")):
+            at = 0
+            while at < len(some):
+                end, chars = at, 0
+                while end < len(some) and (end == at or chars < CHARS_AT_ONCE):
+                    chars += len(some[end])
+                    end += 1
+                ids = self._ids(joint.join([*some[at:end], ""]))
+                if joint == " ":
+                    ends = np.flatnonzero(self.ends_word[ids]) + 1
+                else:
+                    marks = ids == self.mark
+                    ends, ids = np.flatnonzero(marks) - np.arange(end - at), ids[~marks]
+                self._keep(some[at:end], ids, ends)
+                at = end
+
+    def _keep(self, stretches: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n, used = len(self.place), self.used
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(ends) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[used : used + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(ends)] = used + ends
+        self.place.update(zip(stretches, range(n, n + len(ends)), strict=True))
+        self.used = used + len(ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
         spaced = pc.replace_substring_regex(pc.replace_substring(texts.fill_null(""), "\n", " "), _LETTER_MARK, r"\1 \2")
         split = pc.split_pattern(spaced, " ")
         coded = split.flatten().dictionary_encode()
-        words = [self._key(w) for w in coded.dictionary.to_pylist()]
+        words = self._keys(coded.dictionary)
         if len(self.place) > REMEMBERED:
             self._forget()
         self._learn([w for w in dict.fromkeys(words) if w not in self.place])
@@ -157,31 +185,33 @@ def with_starts(shards: DataFrame) -> DataFrame:
     return shards.join(F.broadcast(ahead), "part").withColumn("start", F.col("ahead") + F.col("before")).drop("ahead")
 
 
-def _read(batches):
-    for batch in batches:
-        for start, doc_ids, ends, body in zip(*[batch.column(c) for c in ("start", "doc_ids", "ends", "body")], strict=True):
-            shard, start = Shard(body.as_py()), start.as_py()
-            ids, ends = shard.read(0, len(shard)), np.array(ends.as_py(), np.int64)
-            starts = np.concatenate([[0], ends[:-1]])
-            own = [ids[a:b] for a, b in zip(starts, ends, strict=True)]
-            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in own]
-            columns = [pa.array(doc_ids.as_py(), pa.int64()), pa.array(starts + start), pa.array(ends - starts), pa.array(crc, pa.int64()), pa.array(own, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-
+def _decoded(with_ids: bool):
+    def run(batches):
+        for batch in batches:
+            for start, doc_ids, ends, body in zip(*[batch.column(c) for c in ("start", "doc_ids", "ends", "body")], strict=True):
+                shard, start = Shard(body.as_py()), start.as_py()
+                ids, ends = shard.read(0, len(shard)), ends.values.to_numpy()
+                starts = np.concatenate([[0], ends[:-1]])
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                columns = [doc_ids.values, pa.array(starts + start), pa.array(ends - starts), pa.array(crc, pa.int64())]
+                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int64))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-def _digests(batches):
-    for batch in _read(batches):
-        yield batch.select(["doc_id", "start", "n_tokens", "ids_crc32"])
+    return run
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and ids of every document, decoded from the shards."""
-    return map_arrow(with_starts(shards), _read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
+    return map_arrow(with_starts(shards), _decoded(True), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
 
 
 def document_digests(shards: DataFrame) -> DataFrame:
     """read_documents without the ids themselves."""
-    return map_arrow(with_starts(shards), _digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(with_starts(shards), _decoded(False), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_range(shards: DataFrame, start: int, stop: int) -> DataFrame:
