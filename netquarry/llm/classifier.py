@@ -2,26 +2,30 @@
 
 Bytes are embedded, read by learned filters (every byte by some position of them: the text is padded to the stride), and
 the filters' outputs are max-pooled over overlapping chunks that cover the whole document. A document's features are, for each filter, the mean and the largest of its chunk maxima; a logistic
-layer makes one probability of them. Trained by back-propagation (Adam) on the driver on a bounded sample of labelled
-rows, whole texts of any length; the weights are small and travel with the code.
+layer makes one probability of them. Trained by back-propagation (Adam) on the driver on a bounded number of labelled
+rows (of very long texts, spans from all over them); scores are of whole texts. The weights are small and travel with the code.
 
 Edge cases: null or empty texts are scored as a row of padding; labels that are null or contradict each other for a
-doc_id are not learnt from; without any usable label (or with one class only) the score is a constant; equal texts get
-equal scores; null doc_ids stay; extra columns are ignored.
+doc_id are not learnt from; without any usable label (or with one class only) the score is a constant, and keep_good keeps every row
+and warns; equal texts get equal scores; null doc_ids stay; extra columns, whatever their names, are ignored or pass through.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm.runtime import map_arrow, on_one_blas_thread, one_blas_thread, text_rows
 from netquarry.llm.words import chunks
 
-#: Bounds of the sample: labelled rows of each class that have a document, and bytes of all of them together.
-SAMPLE_ROWS, SAMPLE_BYTES = {0: 1500, 1: 4500}, 48_000_000
+#: Bound of the sample: labelled rows of each class that have a document. Of a text longer than LEARNT bytes, so many in all are
+#: learnt from, in SPANS spans that lie evenly from its first byte to its last.
+SAMPLE_ROWS, LEARNT, SPANS = {0: 1500, 1: 4500}, 16_384, 32
 EPOCHS, BATCH, RATE, SEED = 8, 24, 0.01, 7
 #: Bytes of a batch that are read together in training.
 BYTES_AT_ONCE = 1 << 16
@@ -165,9 +169,16 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _spans(raw: Column) -> Column:
+    """Bytes of a text, or of spans all over it."""
+    size = LEARNT // SPANS
+    begin = lambda k: F.floor((F.octet_length(raw) - size) * k / (SPANS - 1)).cast("int") + 1
+    return F.when(F.octet_length(raw) <= LEARNT, raw).otherwise(F.concat(*[F.substr(raw, begin(k), F.lit(size)) for k in range(SPANS)]))
+
+
 def sample(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None) -> list[tuple[bytes, int]]:
-    """Labelled texts: at most so many of each class (SAMPLE_ROWS) that have a document, in the order of a hash of doc_id, as long
-    as they have SAMPLE_BYTES bytes together. The bounds are what reaches the driver; a text's length decides nothing else."""
+    """Labelled texts: at most so many rows of each class (SAMPLE_ROWS) that have a document, the first in the order of a hash of
+    doc_id; the length of one text decides nothing about the others. At most LEARNT bytes of each reach the driver."""
     rows = rows or SAMPLE_ROWS
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("label_id").isNotNull())
     known = known.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
@@ -179,11 +190,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = Non
     # The chosen ids are as few as the bounds say, so that side is broadcast by a fixed bound.
     found = text_rows(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lo").alias("y"))
     found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    # A window over the bounded sample alone.
-    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    found = found.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES)
     # Arrow columns take a fraction of the driver's memory that rows of strings take.
-    got = found.select("doc_id", F.col("text").cast("binary").alias("text"), "y").toArrow().sort_by("doc_id")
+    got = found.select("doc_id", _spans(F.col("text").cast("binary")).alias("text"), "y").toArrow().sort_by("doc_id")
     return list(zip(got.column("text").to_pylist(), got.column("y").to_pylist(), strict=True))
 
 
@@ -208,9 +216,10 @@ def score_documents(docs: DataFrame, net: ByteNetwork | float) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, net: ByteNetwork | float) -> DataFrame:
-    """docs without those that the network rejects; columns unchanged. The score is one more column while rows stream by."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
+    """docs without those that the network rejects; columns unchanged. A constant tells nothing apart: then all rows stay, with a warning."""
+    if not isinstance(net, ByteNetwork):
+        warnings.warn("no quality labels of both classes to learn from: every document is kept", stacklevel=2)
+        return docs
     at = docs.columns.index("text")
 
     def run(batches):
@@ -218,7 +227,6 @@ def keep_good(docs: DataFrame, net: ByteNetwork | float) -> DataFrame:
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], ["doc_id", "text"])
             scores = pa.concat_arrays([x.column(1) for x in score([texts])] or [pa.array([], pa.float64())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "_score"])
+            yield batch.filter(pc.greater_equal(scores, THRESHOLD))
 
-    scored = map_arrow(docs, run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
-    return scored.where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    return map_arrow(docs, run, docs.schema)

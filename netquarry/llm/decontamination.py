@@ -39,6 +39,7 @@ WIDTH = RANK + OVERSAMPLED
 RIDGE = 0.2
 COSINE = 0.7
 LCS_ALONE, LCS_PARAPHRASE, ANSWER = 0.6, 0.5, 0.6
+LEAKED = "_leaked_items"
 ITEMS_AT_ONCE = 20_000
 #: Text handled at once by a task.
 CHUNK_BYTES = 1 << 18
@@ -457,8 +458,8 @@ def _answered(answer: frozenset, around: list[int]) -> bool:
     return bool(answer) and len(answer.intersection(around)) >= ANSWER * len(answer)
 
 
-def _leaks_of(space: np.ndarray, items: list[tuple[int, str]], at: int):
-    """Adds leaked_items (sorted ids) to every row; the text is column number at."""
+def _leaks_of(space: np.ndarray, items: list[tuple[int, str]], at: int, name: str):
+    """Adds a column of leaked items (sorted ids) to every row; the text is column number at."""
 
     def run(batches):
         one_blas_thread()
@@ -466,21 +467,22 @@ def _leaks_of(space: np.ndarray, items: list[tuple[int, str]], at: int):
         for batch in batches:
             for a, b, raw, offsets in chunks(batch.column(at), CHUNK_BYTES):
                 leaks = [sorted(bench.ids[k] for k in x) for x in find_leaks(raw, offsets, space, bench)]
-                yield pa.RecordBatch.from_arrays([*[c[a:b] for c in batch.columns], pa.array(leaks, pa.list_(pa.int64()))], [*batch.schema.names, "_leaked_items"])
+                yield pa.RecordBatch.from_arrays([*[c[a:b] for c in batch.columns], pa.array(leaks, pa.list_(pa.int64()))], [*batch.schema.names, name])
 
     return run
 
 
-def _searched(docs: DataFrame, space: np.ndarray, items: list[tuple[int, str]]) -> DataFrame:
-    return map_arrow(docs, _leaks_of(space, items, docs.columns.index("text")), StructType([*docs.schema.fields, StructField("_leaked_items", ArrayType(LongType()))]))
+def _searched(docs: DataFrame, space: np.ndarray, items: list[tuple[int, str]], name: str = LEAKED) -> DataFrame:
+    return map_arrow(docs, _leaks_of(space, items, docs.columns.index("text"), name), StructType([*docs.schema.fields, StructField(name, ArrayType(LongType()))]))
 
 
 def _text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit("leaks"), text)
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
-    """docs and one more column, _leaked_items."""
+def with_leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS_AT_ONCE, name: str = LEAKED) -> DataFrame:
+    """docs and one more column by the name given; one that docs has by that name is replaced."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() != name.lower()])
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     items = items.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     space = latent_space(text_rows(docs).select("text").unionByName(items.select("text")))
@@ -491,7 +493,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS
         return sorted((r["item_id"], r["text"]) for r in numbered.where(F.col("block") == k).collect())
 
     if blocks == 1:
-        return _searched(docs, space, block(0))
+        return _searched(docs, space, block(0), name)
     # Findings of a block are few (one row a leaking text); they wait in tables, so that one block is in memory at a time.
     distinct = stored(text_rows(docs).select("text").where("text is not null").distinct(), "texts")
     findings = None
@@ -504,7 +506,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS
     columns = docs.columns
     h1, h2 = _text_key(F.col("_doc.text").cast("string"))
     keyed = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_doc")).withColumns({"_h1": h1, "_h2": h2}).join(found, ["_h1", "_h2"], "left")
-    return keyed.select(*[F.col(f"_doc.{c}").alias(c) for c in columns], F.coalesce("_leaked_items", F.array().cast("array<bigint>")).alias("_leaked_items"))
+    return keyed.select(*[F.col(f"_doc.{c}").alias(c) for c in columns], F.coalesce("_leaked_items", F.array().cast("array<bigint>")).alias(name))
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -514,4 +516,8 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return with_leaks(docs, benchmark).where(F.size("_leaked_items") == 0).select(*docs.columns)
+    """docs without those that leak an item; columns unchanged, whatever their names."""
+    name = LEAKED
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    return with_leaks(docs, benchmark, name=name).where(F.size(name) == 0).select(*docs.columns)

@@ -12,12 +12,13 @@ ADDED is replaced by it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm.runtime import join_keyed, stored, text_rows
 
 WINDOW = 3
+KEY = ["none", "id", "hash"]
 #: Columns beside those of the documents.
 ADDED = ("_n_lines", "_removed_lines", "_changed")
 
@@ -52,15 +53,33 @@ def later_windows(windows: DataFrame) -> DataFrame:
     return joined.where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "k")
 
 
+def _numbered_copies(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """rows with copy: 1 for one row of each (none, id, hash), more for the others.
+
+    Only rows whose windows begin more than once have others; each of them draws a number that a written table fixes, and the
+    smallest one of a key is the first: partial minima, so no task gets the rows of a key.
+    """
+    again = windows.where("k = 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    again = stored(again.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"), "n"), "again")
+    if again.isEmpty():
+        return rows.withColumn("copy", F.lit(1))
+    told = join_keyed(rows, again, KEY, "n", "left")
+    repeated = stored(told.where("n is not null").withColumn("number", F.monotonically_increasing_id()), "repeated")
+    firsts = stored(repeated.groupBy(*KEY).agg(F.min("number").alias("first"), F.count("*").alias("weight")), "firsts")
+    placed = join_keyed(repeated, firsts, KEY, "weight").withColumn("copy", F.when(F.col("number") == F.col("first"), 1).otherwise(2))
+    return told.where("n is null").drop("n").withColumn("copy", F.lit(1)).unionByName(placed.drop("n", "number", "first", "weight"))
+
+
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with text cut, and the columns of ADDED: number of lines, removed lines (zero-based positions), whether any was."""
     windows = stored(line_windows(text_rows(docs), window), "windows")
-    gone = later_windows(windows).groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"))
-    gone = gone.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"), "gone")
+    # As many rows share a key as the most frequent window number of the key tells.
+    later = later_windows(windows).groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"), F.count("*").alias("later"))
+    found = later.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"), "gone", (F.ceil(F.col("later") / F.size("gone")) + 1).alias("rows"))
     # The row travels as one struct, so that no column of it can clash with ours.
     text, doc_id = F.col("doc.text").cast("string"), F.col("doc.doc_id").cast("long")
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc")).withColumns({"none": doc_id.isNull(), "id": F.coalesce(doc_id, F.lit(0)), "hash": F.coalesce(text_hash(text), F.lit(-1))})
-    joined = packed.join(gone, ["none", "id", "hash"], "left").withColumn("copy", F.row_number().over(Window.partitionBy("none", "id", "hash").orderBy("none")))
+    joined = _numbered_copies(join_keyed(packed, stored(found, "gone"), KEY, "rows", "left"), windows)
     lines = F.split(text, "\n", -1)
     # A repeated row has no window that was not met before.
     joined = joined.withColumns({"lines": lines, "spoken": F.when(F.col("gone").isNotNull() | (F.col("copy") > 1), _spoken(lines))})

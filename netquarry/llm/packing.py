@@ -6,7 +6,7 @@ are sequences of their own; the others are told apart by length only, so the sea
 subset-sum over the lengths left finds the fullest feasible filling of the slack; that filling is taken as often as
 the counts allow, and removed. Every taking uses up a length, so there are at most `capacity` kinds of bins.
 A piece then finds its bin by its rank among the pieces of its length: ranks are local counts of each partition plus
-offsets by (partition, length, run of ranks), so that a length that most rows share is never gathered in one task. There are as many
+offsets by (partition, length), so that a length that most rows share is never gathered in one task. There are as many
 offsets as partitions times lengths, so they are joined by a shuffle, never broadcast.
 
 `pack` gives every piece its place and its token ids; `packed_sequences` makes the training sequences of them.
@@ -31,8 +31,6 @@ from netquarry.llm.tokens import byte_bpe
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of one length of one partition that go to a task together.
-RUN = 1024
 _KEPT = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 _PIECES = f"{_KEPT}, part int, rank long"
 _NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
@@ -113,7 +111,7 @@ def _placements(bins: list[tuple[list[int], int]], first_sequence: int) -> dict[
     return runs
 
 
-def _place(runs: dict[int, list[tuple[int, int, int, int]]], capacity: int):
+def _place(runs: dict[int, list[tuple[int, int, int, int]]]):
     firsts = {length: [r[0] for r in found] for length, found in runs.items()}
 
     def run(batches):
@@ -121,10 +119,6 @@ def _place(runs: dict[int, list[tuple[int, int, int, int]]], capacity: int):
             lengths, ranks = (batch.column(c).to_pylist() for c in ("length", "rank"))
             sequences, offsets = [], []
             for length, rank in zip(lengths, ranks, strict=True):
-                if length == capacity:
-                    sequences.append(rank)
-                    offsets.append(0)
-                    continue
                 first, per, sequence, offset = runs[length][bisect_right(firsts[length], rank) - 1]
                 bins, place = divmod(rank - first, per)
                 sequences.append(sequence + bins)
@@ -137,17 +131,18 @@ def _place(runs: dict[int, list[tuple[int, int, int, int]]], capacity: int):
 def pack(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids (null unless with_ids), sequence_id, offset."""
     pieces = stored(map_arrow(text_rows(docs), _tokenize(json_path, ranks_path, capacity, end_id, with_ids), _PIECES), "pieces")
-    # Ranks are cut into runs, so that no key of the join has more than RUN pieces.
-    pieces = pieces.withColumn("run", F.floor(F.col("rank") / RUN))
-    shares = stored(pieces.groupBy("part", "length", "run").agg(F.count("*").alias("n")), "shares")
+    # Full pieces are sequences of their own and need no rank. Of the others, a part's have the ranks behind those of the parts before.
+    whole, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    shares = stored(rest.groupBy("part", "length").agg(F.count("*").alias("n")), "shares")
     # At most `capacity` rows, one a length.
     histogram = {r["length"]: r["n"] for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    full = histogram.pop(capacity, 0)
-    runs = _placements(fill_bins(histogram, capacity), full)
-    ahead = Window.partitionBy("length").orderBy("part", "run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = shares.select("part", "length", "run", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    ranked = pieces.join(offsets.hint("merge"), ["part", "length", "run"]).withColumn("rank", F.col("rank") % RUN + F.col("ahead")).select(*_NAMES, "rank")
-    return map_arrow(ranked, _place(runs, capacity), f"{_KEPT}, sequence_id long, offset long")
+    ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = shares.select("part", "length", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    ranked = rest.join(offsets.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("ahead")).select(*_NAMES, "rank")
+    placed = map_arrow(ranked, _place(_placements(fill_bins(histogram, capacity), 0)), f"{_KEPT}, sequence_id long, offset long")
+    # Numbers of full ones are below zero.
+    own = -(F.col("part").cast("long") * (1 << 32) + F.col("rank") + 1)
+    return placed.unionByName(whole.select(*_NAMES, own.alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
 def packed_sequences(pieces: DataFrame) -> DataFrame:

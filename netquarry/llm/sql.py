@@ -37,10 +37,7 @@ lines AS (
   SELECT r, host, x, trim(regexp_replace(lower(x), '[0-9]', '0', 'g'), ' ') AS h
   FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS x FROM docs) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 perdoc AS (SELECT r, (count(*) - count(DISTINCT x))::BIGINT AS n_dup_lines, sum(length(h))::BIGINT AS line_chars FROM lines GROUP BY r),
-hosts AS (SELECT host, greatest(20, floor(count(*) * 10 / 100)) AS most FROM docs GROUP BY host),
-frequent AS (
-  SELECT l.host, l.h FROM (SELECT host, h, count(DISTINCT r) AS n FROM lines GROUP BY host, h) l
-  JOIN hosts ON l.host IS NOT DISTINCT FROM hosts.host WHERE n > most),
+frequent AS (SELECT host, h FROM lines JOIN (SELECT r, text FROM docs) USING (r) GROUP BY host, h HAVING count(DISTINCT md5(text)) > 2),
 removed AS (
   SELECT r, count(*) AS removed_lines, sum(length(l.h))::BIGINT AS removed_chars FROM lines l
   JOIN frequent f ON l.host IS NOT DISTINCT FROM f.host AND l.h = f.h GROUP BY r),
@@ -52,7 +49,7 @@ whole AS (
   FROM docs LEFT JOIN counted USING (r) LEFT JOIN covered USING (r) LEFT JOIN perdoc USING (r) LEFT JOIN removed USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed,
-  NOT (n_words < 10 OR n_repeat_words * 100 > n_words * 20) AND NOT removed_chars * 100 > line_chars * 60 AS kept,
+  NOT (n_words < 10 OR n_repeat_words * 100 > n_words * 20) AND NOT removed_chars * 100 > line_chars * 75 AS kept,
   removed_lines, removed_chars, line_chars
 FROM whole
 """

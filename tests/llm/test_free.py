@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from netquarry.llm import classifier, components, decontamination, near_dedup, packing, sharding, token_counts, tokens
+from netquarry.llm import classifier, components, decontamination, line_dedup, near_dedup, packing, quality_rules, sharding, token_counts, tokens
 from netquarry.llm.queries import tokenizer_file
 
 from . import fixtures
@@ -360,7 +360,40 @@ def test_sample_reaches_its_bound(spark):
     docs = spark.createDataFrame([(i, "x" * (50_000 if i % 2 else 10)) for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 3 == 0 and 1 or 0, 0) for i in range(4000)], "doc_id long, quality int, toxic int")
     got = classifier.sample(docs, labels, {0: 100, 1: 50})
-    assert [sum(y == k for _, y in got) for k in (0, 1)] == [100, 50] and any(len(t) == 50_000 for t, _ in got)
+    assert [sum(y == k for _, y in got) for k in (0, 1)] == [100, 50] and any(len(t) == classifier.LEARNT for t, _ in got)
+
+
+def test_one_long_text_leaves_the_sample_whole(spark):
+    """A labelled text longer than any bound is learnt from in spans from its first byte to its last; all other rows stay."""
+    longest = "a" * 400 + "x" * 30_000_000 + "z" * 400
+    learnt = next(i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2)
+    docs = spark.createDataFrame([(i, longest if i == learnt else f"text {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = classifier.sample(docs, labels, {0: 1000, 1: 1000})
+    assert len(got) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(300))
+    (spans,) = [t for t, _ in got if len(t) > 100]
+    assert len(spans) == classifier.LEARNT and spans[:400] == b"a" * 400 and spans[-400:] == b"z" * 400 and spans[512:-512] == b"x" * (classifier.LEARNT - 1024)
+
+
+def test_columns_that_clash(spark):
+    """Extra columns named like those that the operators use inside pass unchanged."""
+    names = ["_score", "_leaked_items", "_doc", "_h1", "doc", "kept", "copy", "rows"]
+    docs = spark.createDataFrame([(1, "some good words of a text", *names), (2, "one two three four five six seven eight nine ten", *names)], ["doc_id", "text", *names])
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    net = classifier.ByteNetwork.fresh()
+    net.w["shift"][0] = 50
+    assert sorted(map(tuple, classifier.keep_good(docs, net).collect())) == sorted(map(tuple, docs.collect()))
+    for left in (decontamination.drop_contaminated(docs, bench), line_dedup.dedup_lines(docs).select(*docs.columns), near_dedup.keep_one_of_each(docs)):
+        assert left.columns == docs.columns and tuple(docs.first()) in set(map(tuple, left.collect()))
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, bench).collect()] == [1]
+    cleaned = quality_rules.cleaned_documents(docs)
+    assert cleaned.columns == [*[c for c in docs.columns if c != "kept"], "kept"]
+
+
+def test_nothing_learnt_rejects_nothing(spark):
+    docs = fixtures.awkward(spark)
+    with pytest.warns(UserWarning, match="every document is kept"):
+        assert classifier.keep_good(docs, 0.5).count() == docs.count()
 
 
 def test_gradients_are_right():
