@@ -19,8 +19,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go; a document left without a word by that goes too. n_chars follows the text."""
     cut = line_dedup.dedup_lines(docs)
     left = cut.where(~F.col("_changed") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    n_chars = F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        left = left.withColumn("n_chars", n_chars)
+    return left.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
