@@ -28,12 +28,29 @@ def keywords(phrase: Column, delimiters: str = " ") -> Column:
 
 
 def longest_shared(a: Column, b: Column, whole: bool = True) -> Column:
-    """Longest substring of a that is in b, the leftmost of equals; whole=False leaves out a's last character."""
-    n = F.length(a) if whole else F.length(a) - 1
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(a, i, k))))
-    shared = F.filter(pieces, lambda p: F.contains(b, p))
-    return F.aggregate(shared, F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best))
+    """Longest substring of a that is in b, the leftmost of equals; whole=False leaves out a's last character.
+
+    If a run of some length is shared, shorter ones are: the length is found by halving, each time with the hashes of all runs of
+    one length of both; the run itself is then looked for by its letters.
+    """
+    size = F.length(a) if whole else F.length(a) - 1
+    runs = lambda x, most, n: F.transform(F.sequence(F.lit(1), most - n + 1), lambda i: F.xxhash64(F.substr(x, i, n)))
+    most = F.least(size, F.length(b))
+
+    def halve(state: Column, _: Column) -> Column:
+        mid = F.floor((state["lo"] + state["hi"] + 1) / 2).cast("int")
+        shared = F.arrays_overlap(runs(a, size, mid), runs(b, F.length(b), mid))
+        return F.when(state["lo"] == state["hi"], state).when(shared, F.struct(mid.alias("lo"), state["hi"].alias("hi"))).otherwise(F.struct(state["lo"].alias("lo"), (mid - 1).alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), most.cast("int").alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(most + 1)).cast("int")), start, halve)["lo"]
+
+    def first(n: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), size - n + 1), lambda i: F.contains(b, F.substr(a, i, n)))
+        return F.when(n > 0, F.substr(a, F.get(at, F.lit(0)), n)).otherwise(F.lit(""))
+
+    # The length is bound, so that it is found once.
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(most > 0, F.get(F.transform(F.array(found), first), F.lit(0))).otherwise(F.lit("")))
 
 
 def common_starts(word: Column, starts: tuple[str, ...] = COMMON_STARTS) -> Column:

@@ -10,6 +10,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from netquarry.session import stored
 
@@ -17,12 +18,12 @@ MOST_VALUES, BINS = 15, 3
 
 
 def discretize(frame: DataFrame, column: str, max_share: float = 1.0) -> DataFrame:
-    """The frame with a numeric column as text: "(lo, hi)" of three bins with equally many distinct values if there are many; the column goes if it has a single value, or one that more than max_share of the rows have."""
+    """The frame with a column as text; a numeric one with many values as "(lo, hi)" of three bins with equally many distinct values. The column goes if it has a single value, or one that more than max_share of the rows have."""
     counts = frame.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.count("*").alias("values")).first()
     if not total["all"] or total["values"] < 2 or total["top"] > max_share * total["all"]:
         return frame.drop(column)
-    if total["values"] <= MOST_VALUES:
+    if total["values"] <= MOST_VALUES or not isinstance(frame.schema[column].dataType, NumericType):
         return frame.withColumn(column, F.col(column).cast("string"))
     # Cut points by rank among distinct values: three rows.
     sizes = [total["values"] // BINS + (k < total["values"] % BINS) for k in range(BINS)]
@@ -59,29 +60,29 @@ def learn(counts: DataFrame, features: list[str], depth: int) -> DataFrame:
     return spread.groupBy("rule", "grp").agg(F.sum("count").alias("a"))
 
 
-def not_rules(learned: DataFrame, counts: DataFrame) -> DataFrame:
+def not_rules(learned: DataFrame, counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """rule, grp, c: rows of each group where every item of the rule is different, by inclusion and exclusion over all subsets of
-    the rule (rules of any length; a rule's subsets are rules that were learned with it)."""
-    totals = counts.groupBy("grp").agg(F.sum("count").alias("total"))
-    rules = learned.select("rule").distinct()
+    the rule (rules of any length; a rule's subsets are rules that were learned with it). Columns in by keep several learnings apart."""
+    totals = counts.groupBy(*by, "grp").agg(F.sum("count").alias("total"))
+    rules = learned.select(*by, "rule").distinct()
     # The numbers 1 to 2^k - 1 are the subsets of k items: bit i tells whether item i is in.
     has = lambda m: (lambda x, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1)
     subsets = F.transform(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("rule")).cast("int") - 1), lambda m: F.struct(F.filter("rule", has(m)).alias("part"), F.when(F.bit_count(m) % 2 == 1, -1).otherwise(1).alias("sign")))
-    parts = rules.select("rule", F.explode(subsets).alias("s")).select("rule", "s.part", "s.sign")
-    met = parts.join(learned.select(F.col("rule").alias("part"), "grp", "a"), "part").groupBy("rule", "grp").agg(F.sum(F.col("a") * F.col("sign")).alias("met"))
-    # Groups are few: rules are crossed with the list of them.
-    every = rules.crossJoin(totals)
-    return every.join(met, ["rule", "grp"], "left").select("rule", "grp", (F.col("total") + F.coalesce("met", F.lit(0))).alias("c"))
+    parts = rules.select(*by, "rule", F.explode(subsets).alias("s")).select(*by, "rule", "s.part", "s.sign")
+    met = parts.join(learned.select(*by, F.col("rule").alias("part"), "grp", "a"), [*by, "part"]).groupBy(*by, "rule", "grp").agg(F.sum(F.col("a") * F.col("sign")).alias("met"))
+    # Groups are few: rules meet the list of them.
+    every = rules.join(totals, list(by)) if by else rules.crossJoin(totals)
+    return every.join(met, [*by, "rule", "grp"], "left").select(*by, "rule", "grp", (F.col("total") + F.coalesce("met", F.lit(0))).alias("c"))
 
 
-def score(learned: DataFrame, nots: DataFrame, min_support: float = 0.1, min_count: int = 10, min_difference: int = 2, min_lift: float = 2, min_confidence: float = 0.75) -> DataFrame:
+def score(learned: DataFrame, nots: DataFrame, min_support: float = 0.1, min_count: int = 10, min_difference: int = 2, min_lift: float = 2, min_confidence: float = 0.75, by: tuple[str, ...] = ()) -> DataFrame:
     """rule, grp, support, lift, confidence, precision, recall, frequency of the rules that pass all limits (strictly)."""
-    table = nots.join(learned, ["rule", "grp"], "left").select("rule", "grp", F.coalesce("a", F.lit(0)).alias("a"), "c")
-    whole = Window.partitionBy("rule")
+    table = nots.join(learned, [*by, "rule", "grp"], "left").select(*by, "rule", "grp", F.coalesce("a", F.lit(0)).alias("a"), "c")
+    whole = Window.partitionBy(*by, "rule")
     four = table.withColumn("b", F.sum("a").over(whole) - F.col("a")).withColumn("d", F.sum("c").over(whole) - F.col("c"))
     a, b, c, total = F.col("a"), F.col("b"), F.col("c"), F.col("a") + F.col("b") + F.col("c") + F.col("d")
     kept = four.where((F.abs(a - b) > min_difference) & (a > min_count))
-    scored = kept.select("rule", "grp", (a / total).alias("support"), (a * total / ((a + b) * (a + c))).alias("lift"), F.greatest(a / (a + b), a / (a + c)).alias("confidence"), (a / (a + b)).alias("precision"), (a / (a + c)).alias("recall"), a.alias("frequency"))
+    scored = kept.select(*by, "rule", "grp", (a / total).alias("support"), (a * total / ((a + b) * (a + c))).alias("lift"), F.greatest(a / (a + b), a / (a + c)).alias("confidence"), (a / (a + b)).alias("precision"), (a / (a + c)).alias("recall"), a.alias("frequency"))
     return scored.where((F.col("support") > min_support) & (F.col("lift") > min_lift) & (F.col("confidence") > min_confidence))
 
 
@@ -139,43 +140,63 @@ def drop_longer_rules(rules: DataFrame) -> DataFrame:
 def condense_violations(violated: DataFrame, rules: DataFrame) -> DataFrame:
     """row_id, centers: for each row, a greedy star cover of its violated rules (rules are adjacent if they share an item).
 
-    The most adjacent rule is taken with its neighbours until none is left; a row's rules are few and go through Arrow together.
+    The most adjacent rule (of several, the smallest) is taken with its neighbours until none is left. A row's rules are few: they
+    are an array that is folded as often as it is long.
     """
-    with_rules = violated.join(rules.select("rule_id", "rule"), "rule_id")
+    gathered = violated.join(rules.select("rule_id", F.col("rule").alias("items")), "rule_id").groupBy("row_id").agg(F.collect_set(F.struct("rule_id", "items")).alias("left"))
 
-    def cover(batch):
-        left = {int(r): frozenset(i) for r, i in zip(batch["rule_id"], batch["rule"], strict=True)}
-        centers = []
-        while left:
-            near = {r: {o for o, x in left.items() if x & i} for r, i in left.items()}
-            best = min(left, key=lambda r: (-len(near[r]), r))
-            centers.append(best)
-            left = {o: x for o, x in left.items() if o not in near[best] and o != best}
-        return batch.iloc[:1][["row_id"]].assign(centers=[centers])
+    def take(state: Column, _: Column) -> Column:
+        left = state["left"]
+        near = F.transform(left, lambda x: F.struct((-F.size(F.filter(left, lambda y: F.arrays_overlap(x["items"], y["items"])))).alias("n"), x["rule_id"].alias("rule_id"), x["items"].alias("items")))
+        best = F.array_min(near)
+        rest = F.filter(left, lambda y: ~F.arrays_overlap(y["items"], best["items"]) & (y["rule_id"] != best["rule_id"]))
+        return F.when(F.size(left) == 0, state).otherwise(F.struct(rest.alias("left"), F.concat(state["centers"], F.array(best["rule_id"])).alias("centers")))
 
-    return with_rules.groupBy("row_id").applyInPandas(cover, "row_id long, centers array<long>")
+    start = F.struct(F.col("left"), F.array().cast("array<bigint>").alias("centers"))
+    return gathered.select("row_id", F.aggregate("left", start, take)["centers"].alias("centers"))
+
+
+#: Rules whose gain is counted again in a round of spanning_rules at first.
+RECOUNTED = 32
+
+
+def _best_rule(rows: DataFrame, weights: DataFrame, bounds: DataFrame):
+    """(rule_id, gain of the best rule, counted (rule_id, gain) pairs). Gains only fall, so old ones are upper bounds: only the
+    rules with the largest ones are counted again, until the best of these is beyond the bound of all others."""
+    n = RECOUNTED
+    while True:
+        top = bounds.orderBy(F.desc("gain"), "rule_id").limit(n + 1).collect()
+        if not top:
+            return None, None, []
+        asked = [r["rule_id"] for r in top[:n]]
+        gains = rows.where(F.col("rule_id").isin(asked)).join(weights, "row_id").groupBy("rule_id").agg(F.sum("weight").alias("gain"))
+        counted = [(r["rule_id"], r["gain"]) for r in gains.collect()]
+        rule, gain = max(counted, key=lambda x: (x[1], -x[0]))
+        if len(top) <= n or (gain, -rule) > (top[n]["gain"], -top[n]["rule_id"]):
+            return rule, gain, counted
+        n *= 4
 
 
 def spanning_rules(rows: DataFrame, least_gain: float = 0.0005, drop_picked: bool = False) -> list[int]:
     """Greedy cover: rules (rule_id, row_id) picked by the weight of their rows, which halves each time a row is covered.
 
-    Stops when a pick gains less than a share of the weight left, or repeats. With drop_picked, as in the reference, a
+    Stops when a pick gains less than a share of the weight left, or repeats. With drop_picked, a
     picked rule is no longer a candidate, so a repeat means that no rule is left; and the pick that gains too little is
-    still kept. Row weights stay distributed; a round brings one row to the driver. Equal gains go to the smallest rule_id.
+    still kept. Row weights and the gains known last stay distributed; a round counts few rules again (_best_rule). Equal gains
+    go to the smallest rule_id.
     """
+    spark = rows.sparkSession
     weights = stored(rows.select("row_id").distinct().withColumn("weight", F.lit(1.0)))
+    bounds = stored(rows.groupBy("rule_id").agg(F.count("*").cast("double").alias("gain")))
     picked: list[int] = []
     while True:
         total = weights.agg(F.sum("weight")).first()[0]
         if not total:
             break
-        candidates = rows.where(~F.col("rule_id").isin(picked)) if drop_picked and picked else rows
-        gains = candidates.join(weights, "row_id").groupBy("rule_id").agg(F.sum("weight").alias("gain"))
-        best = gains.agg(F.max(F.struct("gain", (-F.col("rule_id")).alias("rule"))).alias("b")).select("b.*").first()
-        rule = -best["rule"] if best["gain"] is not None else None
+        rule, gain, counted = _best_rule(rows, weights, bounds)
         if rule is None or rule in picked:
             break
-        small = best["gain"] / 2 < least_gain * total
+        small = gain / 2 < least_gain * total
         if small and picked and not drop_picked:
             break
         picked.append(rule)
@@ -183,6 +204,10 @@ def spanning_rules(rows: DataFrame, least_gain: float = 0.0005, drop_picked: boo
             break
         covered = rows.where(F.col("rule_id") == rule).select("row_id").distinct().withColumn("hit", F.lit(0.5))
         weights = stored(weights.join(covered, "row_id", "left").select("row_id", (F.col("weight") * F.coalesce("hit", F.lit(1.0))).alias("weight")))
+        # As many rows as were counted again.
+        fresh = F.broadcast(spark.createDataFrame(counted, "rule_id long, fresh double"))
+        bounds = bounds.join(fresh, "rule_id", "left").select("rule_id", F.coalesce("fresh", "gain").alias("gain"))
+        bounds = stored(bounds.where(F.col("rule_id") != rule) if drop_picked else bounds)
     return picked
 
 
@@ -209,15 +234,19 @@ def top_keywords(keywords: DataFrame, n: int = 14) -> DataFrame:
 
 
 def sweep(frame: DataFrame, columns: list[str], depth: int, **limits) -> DataFrame:
-    """grouped_by, rule, grp and scores: contrast sets with each column as the group in turn, over the other columns."""
-    out = None
-    for group in columns:
-        features = [c for c in columns if c != group]
-        counts = item_counts(frame, features, group)
-        learned = learn(counts, features, depth)
-        scored = score(learned, not_rules(learned, counts), **limits).withColumn("grouped_by", F.lit(group)).withColumn("grp", F.col("grp").cast("string"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    """grouped_by, rule, grp and scores: contrast sets with each column as the group in turn, over the other columns.
+
+    One plan for all columns: the frame is summed once by all of them, and a summed row gives its rules for each column that
+    groups. The number of jobs does not depend on how many columns there are.
+    """
+    by = ("grouped_by",)
+    counts = frame.groupBy(*columns).agg(F.count("*").alias("count"))
+    value = lambda g: F.col(g).cast("string").alias("grp")
+    groups = counts.select("count", F.explode(F.array(*[F.struct(F.lit(g).alias("grouped_by"), value(g)) for g in columns])).alias("x")).select("x.*", "count")
+    cases = [F.struct(F.lit(g).alias("grouped_by"), value(g), F.array(*map(item, c)).alias("rule")) for g in columns for n in range(1, depth + 1) for c in combinations([x for x in columns if x != g], n)]
+    spread = counts.select("count", F.explode(F.array(*cases)).alias("x")).select("x.*", "count").where(~F.exists("rule", lambda x: x.isNull()))
+    learned = spread.groupBy("grouped_by", "rule", "grp").agg(F.sum("count").alias("a"))
+    return score(learned, not_rules(learned, groups, by), by=by, **limits)
 
 
 def anomalies(scored: DataFrame, precision: float) -> DataFrame:

@@ -221,10 +221,15 @@ def similar_nodes(adj: DataFrame, kind: str, weights: dict[str, float], threshol
 
 def suggest_links(adj: DataFrame, pairs: DataFrame) -> DataFrame:
     """node, suggestion: the neighbours of a similar node that has at least as many, and that the node itself lacks."""
+    return scored_links(adj, pairs.select("a", "b", F.lit(None).cast("double").alias("score"))).select("node", "suggestion")
+
+
+def scored_links(adj: DataFrame, pairs: DataFrame) -> DataFrame:
+    """suggest_links with score: the largest one of the pairs (a, b, score) that suggest a link."""
     degree = adj.groupBy("id").agg(F.count("*").alias("degree"))
-    ends = pairs.select("a", "b").join(degree.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a").join(degree.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b")
-    towards = ends.where("da <= db").select(F.col("a").alias("node"), F.col("b").alias("like")).union(ends.where("db <= da").select("b", "a"))
-    offered = towards.join(adj.select(F.col("id").alias("like"), F.col("nbr").alias("suggestion")), "like").where("node <> suggestion").select("node", "suggestion").distinct()
+    ends = pairs.select("a", "b", "score").join(degree.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a").join(degree.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b")
+    towards = ends.where("da <= db").select(F.col("a").alias("node"), F.col("b").alias("like"), "score").union(ends.where("db <= da").select("b", "a", "score"))
+    offered = towards.join(adj.select(F.col("id").alias("like"), F.col("nbr").alias("suggestion")), "like").where("node <> suggestion").groupBy("node", "suggestion").agg(F.max("score").alias("score"))
     return offered.join(adj.select(F.col("id").alias("node"), F.col("nbr").alias("suggestion")), ["node", "suggestion"], "left_anti")
 
 
@@ -244,6 +249,25 @@ def precision_recall(removed: DataFrame, suggested: DataFrame) -> DataFrame:
     return counts.withColumn("precision", F.try_divide("hits", "suggested")).withColumn("recall", F.try_divide("hits", "removed"))
 
 
+def precision_recall_curve(removed: DataFrame, scored: DataFrame, thresholds: list[float]) -> DataFrame:
+    """threshold, hits, suggested, precision, recall for each of ascending thresholds, of links (src, dst) removed and (src, dst, score) suggested.
+
+    A link counts for every threshold up to its score, so all thresholds are one count by the highest one that it reaches, summed from
+    the top: one pass, however many thresholds there are.
+    """
+    ends = [F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")]
+    grid = F.array(*[F.lit(float(t)) for t in thresholds])
+    best = scored.groupBy(*ends).agg(F.max("score").alias("score"))
+    gone = removed.select(*ends).distinct().withColumn("gone", F.lit(1))
+    level = F.size(F.filter(grid, lambda t: t <= F.col("score")))
+    counted = best.join(gone, ["u", "v"], "left").groupBy(level.alias("level")).agg(F.count("*").alias("s"), F.count("gone").alias("h"))
+    # A row a threshold from here on.
+    rows = gone.agg(F.count("*").alias("removed")).select("removed", F.posexplode(grid).alias("at", "threshold")).withColumn("level", F.col("at") + 1)
+    above = Window.orderBy(F.desc("level"))
+    whole = rows.join(counted, "level", "left").select("threshold", "removed", F.sum(F.coalesce("h", F.lit(0))).over(above).alias("hits"), F.sum(F.coalesce("s", F.lit(0))).over(above).alias("suggested"))
+    return whole.select("threshold", "hits", "suggested", F.try_divide("hits", "suggested").alias("precision"), F.try_divide("hits", "removed").alias("recall"))
+
+
 def remove_edges(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n edges by a seeded hash: a sample without replacement that is the same each time."""
     return edges.orderBy(F.md5(F.concat_ws("|", "src", "dst", F.lit(str(seed)))), "src", "dst").limit(n)
@@ -328,22 +352,30 @@ def subnet_acls(interfaces: DataFrame, lo: int, hi: int) -> DataFrame:
     return inside.select(F.explode(F.array("in_acl", "out_acl")).alias("acl")).where("acl is not null").distinct()
 
 
-def aggregate_prefixes(networks: DataFrame, max_rounds: int = 33) -> DataFrame:
-    """Smallest set of CIDR blocks (lo, length) that covers exactly the given ones: contained ones go, sibling halves merge, until nothing changes.
+def aggregate_prefixes(networks: DataFrame) -> DataFrame:
+    """Smallest set of CIDR blocks (lo, length) that covers exactly the given ones: contained ones go, sibling halves merge.
 
-    Containment is found by an equi-join with the at most 33 supernets of each block.
+    Containment is found once, by an equi-join with the at most 33 supernets of each block; without contained blocks, a merged
+    block is contained in none, so lengths are merged from long to short in one go.
     """
-    now = stored(networks.select("lo", "length").distinct())
-    for _ in range(max_rounds):
-        lengths = now.select(F.col("length").alias("wide")).distinct()
-        offered = now.join(F.broadcast(lengths), F.col("wide") < F.col("length")).withColumn("net", ipf.network(F.col("lo"), F.col("wide")))
-        inside = offered.join(now.select(F.col("lo").alias("net"), F.col("length").alias("wide")), ["net", "wide"], "left_semi").select("lo", "length").distinct()
-        kept = now.join(inside, ["lo", "length"], "left_anti")
-        parent = kept.withColumn("up", ipf.network(F.col("lo"), F.col("length") - 1))
-        merged = parent.groupBy("up", "length").agg(F.count("*").alias("halves"), F.min("lo").alias("first"))
-        following = stored(merged.select(F.when(F.col("halves") == 2, F.col("up")).otherwise(F.col("first")).alias("lo"), F.when(F.col("halves") == 2, F.col("length") - 1).otherwise(F.col("length")).alias("length")))
-        same = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "length").cast("decimal(20,0)"))).first() == following.agg(F.count("*"), F.sum(F.xxhash64("lo", "length").cast("decimal(20,0)"))).first()
-        now = following
-        if same:
+    every = stored(networks.select("lo", "length").distinct())
+    lengths = [r["length"] for r in every.select("length").distinct().collect()]
+    if not lengths:
+        return every
+    wider = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n < F.col("length"))
+    offered = every.select("lo", "length", F.explode(wider).alias("wide")).withColumn("net", ipf.network(F.col("lo"), F.col("wide")))
+    inside = offered.join(every.select(F.col("lo").alias("net"), F.col("length").alias("wide")), ["net", "wide"], "left_semi").select("lo", "length").distinct()
+    kept = stored(every.join(inside, ["lo", "length"], "left_anti"))
+    out, up = [], None
+    for length in range(max(lengths), -1, -1):
+        own = kept.where(F.col("length") == length).select("lo")
+        own = own if up is None else own.unionByName(up)
+        if not length:
+            out.append(own.withColumn("length", F.lit(0)))
+            break
+        halves = stored(own.groupBy(ipf.network(F.col("lo"), F.lit(length - 1)).alias("up")).agg(F.count("*").alias("n"), F.min("lo").alias("lo")))
+        out.append(halves.where("n = 1").select("lo", F.lit(length).alias("length")))
+        up = halves.where("n = 2").select(F.col("up").alias("lo"))
+        if length <= min(lengths) and up.isEmpty():
             break
-    return now
+    return union(*out)

@@ -85,14 +85,17 @@ def mixed_parts(keys: DataFrame) -> DataFrame:
     return parts.select("signature", "part", (F.col("n") / F.max("n").over(Window.partitionBy("signature"))).alias("share"))
 
 
-def extract_symbols(keys: DataFrame, max_depth: int = 12) -> DataFrame:
-    """doc, path, type, name of every symbol: names under name kinds, pairs "type name", and leaf values by their key."""
+def extract_symbols(keys: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """doc, path, type, name of every symbol: names under name kinds, pairs "type name", and leaf values by their key.
+
+    Levels are walked until one is empty; documents that are nested deeper than max_depth raise.
+    """
     level = keys.where(F.size("parent") == 0).select("doc", "parent", F.lit("").alias("signature"), F.lit("root").alias("last"), "key", "container", "leaf")
     found = None
     for _ in range(max_depth):
         level = stored(level)
         if level.isEmpty():
-            break
+            return found.distinct() if found is not None else _no_symbols(keys)
         instances = level.groupBy("signature").agg(F.count_distinct(F.struct("doc", "parent")).alias("instances"))
         below = keys.select(F.col("doc").alias("d"), F.col("parent").alias("p"), F.col("key").alias("sub"))
         single = level.join(instances.where("instances = 1"), "signature", "left_semi")
@@ -106,11 +109,17 @@ def extract_symbols(keys: DataFrame, max_depth: int = 12) -> DataFrame:
         path = F.concat("parent", F.array("key"))
         symbols = marked.where(named | paired).select("doc", path.alias("path"), F.when(named, F.col("last")).otherwise(words[0]).alias("type"), F.when(named, F.col("key")).otherwise(words[1]).alias("name"))
         leaves = marked.where((F.col("kind") == "type") & F.col("leaf").isNotNull()).select("doc", path.alias("path"), F.col("key").alias("type"), F.col("leaf").alias("name"))
-        found = symbols.unionByName(leaves) if found is None else found.unionByName(symbols).unionByName(leaves)
+        # A level's symbols are written, so that the plan does not grow with the depth.
+        own = stored(symbols.unionByName(leaves))
+        found = own if found is None else found.unionByName(own)
         step = F.when(named, F.lit("*")).when(paired, F.concat(words[0], F.lit(" *"))).otherwise(F.col("key"))
         children = marked.where("container is not null").select(F.col("doc").alias("d"), path.alias("p"), F.concat_ws("/", "signature", step).alias("signature"), F.when(named, F.col("last")).when(paired, words[0]).otherwise(F.col("key")).alias("last"))
         level = keys.join(children, (F.col("doc") == F.col("d")) & (F.col("parent") == F.col("p"))).select("doc", "parent", "signature", "last", "key", "container", "leaf")
-    return found.distinct()
+    raise RuntimeError(f"documents are nested deeper than {max_depth} levels")
+
+
+def _no_symbols(keys: DataFrame) -> DataFrame:
+    return keys.where(F.lit(False)).select("doc", F.col("parent").alias("path"), F.col("key").alias("type"), F.col("key").alias("name"))
 
 
 def typescope(instances: DataFrame) -> DataFrame:
@@ -219,3 +228,24 @@ def syntax_template(kinds: list[tuple[str, str]]) -> dict:
         if kind == "name":
             at.setdefault("NAME", {})
     return out
+
+
+def template_paths(kinds: DataFrame) -> DataFrame:
+    """path, depth: the nodes of the syntax template of (signature, kind), names as NAME. Prefixes of all signatures are merged where they
+    lie: equal ones are one row before the shuffle."""
+    parts = F.transform(F.filter(F.split("signature", "/"), lambda x: x != ""), lambda x: F.replace(x, F.lit("*"), F.lit("NAME")))
+    whole = F.when(F.col("kind") == "name", F.concat(parts, F.array(F.lit("NAME")))).otherwise(parts)
+    nodes = kinds.select(whole.alias("p")).where(F.size("p") > 0).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.slice("p", F.lit(1), n))).alias("p"))
+    return nodes.select(F.array_join("p", "/").alias("path"), F.size("p").alias("depth")).distinct()
+
+
+def infer_graph(documents: DataFrame) -> dict[str, DataFrame]:
+    """The whole chain over (doc, json): keys, symbols, cleaned symbols (special types, aliases merged, small types dropped),
+    relationships and graph. Each step is a written table, so a later one does not run the earlier ones again."""
+    keys = stored(flatten_json(documents), "keys")
+    symbols = stored(extract_symbols(keys), "symbols")
+    special = stored(special_types(symbols), "special")
+    merged = stored(merge_aliases(special, type_aliases(special.select("type", "name").distinct())), "merged")
+    cleaned = stored(remove_small_types(merged), "cleaned")
+    related = stored(relationships(cleaned), "related")
+    return {"keys": keys, "symbols": symbols, "cleaned": cleaned, "relationships": related, "graph": relationship_graph(related)}

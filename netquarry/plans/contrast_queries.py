@@ -234,3 +234,51 @@ SELECT grouped_by, rule, grp, a AS frequency, round(a / r, 9) AS precision FROM
 def p02(spark, d):
     s = C.sweep(B.frame(spark, d), SWEEP, 1, min_support=0, min_count=10, min_difference=2, min_lift=0, min_confidence=0)
     return _text(C.anomalies(s, 0.3)).select("grouped_by", "rule", "grp", "frequency", F.round("precision", 9).alias("precision"))
+
+
+def overlapping_rules(frame):
+    """Rules of one item and of two: each row matches several, and most of them share items."""
+    from functools import reduce
+    from itertools import combinations
+
+    parts = []
+    for n in (1, 2):
+        for c in combinations(ROW_FEATURES, n):
+            parts.append(frame.groupBy(F.array(*map(C.item, c)).alias("rule")).agg(F.max("grp").alias("grp"), F.count("*").alias("n")).where("n >= 3").select("rule", "grp"))
+    from pyspark.sql import Window
+
+    rules = reduce(lambda a, b: a.unionByName(b), parts)
+    # As many rules as pairs of values of three features.
+    return rules.withColumn("rule_id", F.row_number().over(Window.orderBy("rule")).cast("long"))
+
+
+@query("g13_overlapping_spanning_rules")
+def g13_overlapping(spark, d):
+    """Rules that overlap, so weights are halved again and again: greedy, beyond SQL; the test counts every rule in every round."""
+    from netquarry.session import stored
+
+    f = rule_frame(spark, d)
+    rules = stored(overlapping_rules(f), "rules")
+    rows = stored(C.rule_rows(rules, C.long_items(f, ROW_FEATURES)), "rows")
+    return spark.createDataFrame([(k, r) for k, r in enumerate(C.spanning_rules(rows))], "place int, rule_id long")
+
+
+@query("g15_condense_overlapping_violations")
+def g15_overlapping(spark, d):
+    """Rows that break several rules which share items: greedy star covers, held against brute force in the tests."""
+    from netquarry.session import stored
+
+    f = rule_frame(spark, d)
+    rules = stored(overlapping_rules(f), "rules")
+    found = C.condense_violations(C.violations(rules, f, ROW_FEATURES, "grp"), rules)
+    return found.select("row_id", F.array_join(F.col("centers").cast("array<string>"), ",").alias("centers"))
+
+
+@query("p05_batch_of_features", f"""WITH {RULE_FRAME_SQL.split(",\nrules AS")[0]}, n AS (SELECT row_id, 'segment' AS feature, 'priority' AS f, segment AS g, priority AS v FROM f UNION ALL SELECT row_id, 'segment', 'grp', segment, grp FROM f
+  UNION ALL SELECT row_id, 'priority', 'segment', priority, segment FROM f UNION ALL SELECT row_id, 'priority', 'grp', priority, grp FROM f UNION ALL SELECT row_id, 'grp', 'segment', grp, segment FROM f UNION ALL SELECT row_id, 'grp', 'priority', grp, priority FROM f),
+l AS (SELECT feature AS grouped_by, f || '=>' || v AS rule, g AS grp, count(*) AS a FROM n GROUP BY ALL), t AS (SELECT *, sum(a) OVER (PARTITION BY grouped_by, rule) AS r FROM l)
+SELECT grouped_by, grp, count(*) AS rules, arg_min(rule, (-a / r, rule)) AS best FROM t WHERE abs(a - (r - a)) > 2 AND a > 10 GROUP BY ALL""")
+def p05(spark, d):
+    """For each feature as the group and each of its values: how many rules there are and the most precise one, from one sweep."""
+    s = _text(C.sweep(rule_frame(spark, d), ["segment", "priority", "grp"], 1, min_support=0, min_count=10, min_difference=2, min_lift=0, min_confidence=0))
+    return s.groupBy("grouped_by", "grp").agg(F.count("*").alias("rules"), F.min_by("rule", F.struct(-F.col("precision"), F.col("rule"))).alias("best"))

@@ -96,6 +96,36 @@ def g11(spark, d):
     return G.suggest_links(m, G.similar_nodes(m, "vlan", {"interface": 0.75, "acl": 0.25}, 0.5))
 
 
+GRID = [0.5, 0.6, 0.7, 0.8, 0.9]
+
+
+@query(
+    "p04_link_prediction_sweep",
+    f"""WITH {MEMBERS_SQL.split(",\ncommon AS")[0]}, gone AS (SELECT id, nbr FROM member ORDER BY md5(id || '|' || nbr || '|3'), id, nbr LIMIT 200),
+m AS (SELECT * FROM member WHERE (id, nbr) NOT IN (SELECT id, nbr FROM gone)),
+common AS (SELECT a.id AS a, b.id AS b, a.nbr_type AS k, count(*) AS n FROM m a JOIN m b ON a.nbr = b.nbr AND a.id < b.id GROUP BY ALL),
+degree AS (SELECT id, nbr_type AS k, count(*) AS d FROM m GROUP BY ALL),
+parts AS (SELECT a, b, CASE common.k WHEN 'interface' THEN 0.75 ELSE 0.25 END * n / x.d AS pa, CASE common.k WHEN 'interface' THEN 0.75 ELSE 0.25 END * n / y.d AS pb
+  FROM common JOIN degree x ON a = x.id AND common.k = x.k JOIN degree y ON b = y.id AND common.k = y.k),
+alike AS (SELECT a, b, round(least(sum(pa), sum(pb)), 9) AS score FROM parts GROUP BY a, b HAVING sum(pa) >= 0.5 AND sum(pb) >= 0.5 AND NOT (sum(pa) = 1 AND sum(pb) = 1)),
+whole AS (SELECT id, count(*) AS d FROM m GROUP BY id),
+ends AS (SELECT a, b, x.d AS da, y.d AS db, score FROM alike JOIN whole x ON a = x.id JOIN whole y ON b = y.id),
+towards AS (SELECT a AS node, b AS other, score FROM ends WHERE da <= db UNION ALL SELECT b, a, score FROM ends WHERE db <= da),
+offered AS (SELECT node, nbr AS suggestion, max(score) AS score FROM towards JOIN m ON id = other WHERE NOT EXISTS (SELECT 1 FROM m n WHERE n.id = node AND n.nbr = m.nbr) GROUP BY ALL),
+grid AS (SELECT unnest({GRID}) AS threshold),
+c AS (SELECT threshold, count(score) AS suggested, count(gone.id) AS hits FROM grid LEFT JOIN offered ON score >= threshold LEFT JOIN gone ON gone.id = node AND gone.nbr = suggestion GROUP BY threshold)
+SELECT threshold, hits, suggested, hits / nullif(suggested, 0) AS precision, hits / (SELECT count(*) FROM gone) AS recall FROM c""",
+)
+def p04(spark, d):
+    """Precision and recall at every threshold, from one table of scored suggestions."""
+    m = members(spark, d)
+    gone = stored(G.remove_edges(m.select(F.col("id").alias("src"), F.col("nbr").alias("dst")), 200, seed=3), "gone")
+    left = m.join(gone.select(F.col("src").alias("id"), F.col("dst").alias("nbr")), ["id", "nbr"], "left_anti")
+    alike = G.similar_nodes(left, "vlan", {"interface": 0.75, "acl": 0.25}, GRID[0])
+    scored = G.scored_links(left, alike.select("a", "b", F.round(F.least("pa", "pb"), 9).alias("score")))
+    return G.precision_recall_curve(gone, scored.select(F.col("node").alias("src"), F.col("suggestion").alias("dst"), "score"), GRID)
+
+
 BOTH_SQL = "both_ways AS (SELECT id, type, nbr, nbr_type FROM member UNION SELECT nbr, nbr_type, id, type FROM member)"
 
 

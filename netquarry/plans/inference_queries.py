@@ -151,7 +151,31 @@ def f21(spark, d):
     return spark.createDataFrame([(json.dumps(I.syntax_template(kinds), sort_keys=True),)], "template string")
 
 
-@query("k12_shared_remainders")
+@query(
+    "f21_template_paths",
+    f"""WITH {KEYS_SQL}, c AS (SELECT signature, count(*) AS total, count(DISTINCT key) AS u, count(DISTINCT key) FILTER (length(key) - length(replace(key, ' ', '')) = 1) AS single, count(DISTINCT key) FILTER (contains(key, ' ')) AS spaced FROM keys GROUP BY 1)
+SELECT signature AS path, 1 AS depth FROM c UNION ALL SELECT signature || '/NAME', 2 FROM c WHERE single <> u AND spaced = 0 AND (u > 0.2 * total OR u > 25)""",
+)
+def f21_paths(spark, d):
+    return I.template_paths(I.keykinds(keys(spark, d)))
+
+
+@query(
+    "p03_infer_graph",
+    "SELECT DISTINCT c_mktsegment AS src, 'acl' AS src_type, c_name AS dst, 'interfaces' AS dst_type FROM customer UNION SELECT '10.0.' || (c_custkey % 256) || '.0/24', 'subnet', c_name, 'interfaces' FROM customer UNION SELECT unnest(['link', lower(c_mktsegment)]), 'keyword', c_name, 'interfaces' FROM customer",
+)
+def p03(spark, d):
+    return I.infer_graph(documents(spark, d))["graph"]
+
+
+@query(
+    "k12_shared_remainders",
+    """WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part UNION SELECT DISTINCT event_type FROM events),
+runs AS (SELECT x.w AS a, y.w AS b, substr(x.w, i, n) AS run, i, n FROM w x, w y, (SELECT unnest(range(1, 40)) AS i), (SELECT unnest(range(2, 40)) AS n) WHERE x.w < y.w AND i + n - 1 <= length(x.w) AND contains(y.w, substr(x.w, i, n))),
+best AS (SELECT a, b, arg_min(run, (-n, i)) AS shared FROM runs GROUP BY a, b),
+ends AS (SELECT a AS word, shared FROM best UNION SELECT b, shared FROM best)
+SELECT word, shared, list_filter([substr(word, 1, strpos(word, shared) - 1), substr(word, strpos(word, shared) + length(shared))], lambda x: x <> '') AS rest FROM ends""",
+)
 def k12(spark, d):
     w = B.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).union(B.table(spark, d, "events").select("event_type"))
     return I.shared_remainders(I.shared_keywords(w, 2))
