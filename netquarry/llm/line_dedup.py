@@ -79,7 +79,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # The row travels as one struct, so that no column of it can clash with ours.
     text, doc_id = F.col("doc.text").cast("string"), F.col("doc.doc_id").cast("long")
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc")).withColumns({"none": doc_id.isNull(), "id": F.coalesce(doc_id, F.lit(0)), "hash": F.coalesce(text_hash(text), F.lit(-1))})
-    joined = _numbered_copies(join_keyed(packed, stored(found, "gone"), KEY, "rows", "left"), windows)
+    # The same join at every size: what goes grows with the documents, so it is never broadcast as a whole.
+    joined = _numbered_copies(join_keyed(packed, stored(found, "gone").hint("merge"), KEY, "rows", "left"), windows)
     lines = F.split(text, "\n", -1)
     # A repeated row has no window that was not met before.
     joined = joined.withColumns({"lines": lines, "spoken": F.when(F.col("gone").isNotNull() | (F.col("copy") > 1), _spoken(lines))})

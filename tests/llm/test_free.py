@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from netquarry.llm import classifier, components, decontamination, line_dedup, near_dedup, packing, quality_rules, sharding, token_counts, tokens
 from netquarry.llm.queries import tokenizer_file
@@ -386,6 +387,7 @@ def test_columns_that_clash(spark):
     for left in (decontamination.drop_contaminated(docs, bench), line_dedup.dedup_lines(docs).select(*docs.columns), near_dedup.keep_one_of_each(docs)):
         assert left.columns == docs.columns and tuple(docs.first()) in set(map(tuple, left.collect()))
     assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, bench).collect()] == [1]
+    docs = docs.withColumn("source", F.lit("host"))
     cleaned = quality_rules.cleaned_documents(docs)
     assert cleaned.columns == [*[c for c in docs.columns if c != "kept"], "kept"]
 
