@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from netquarry.functions import ip as ipf
 from netquarry.functions.rules import confidence
+from netquarry.operators.numbering import numbered_in
 
 MOST_VLANS = 1024
 
@@ -147,10 +148,16 @@ def keyword_exceptions(keywords: DataFrame, interfaces: DataFrame, rules: DataFr
 
 
 def keyword_stanzas(keywords: DataFrame) -> DataFrame:
-    """Inverted index: word, number of owners, and owners in order."""
+    """word, owners, devices: how many interfaces and devices have a word."""
     return keywords.groupBy("word").agg(F.count_distinct("device", "iface").alias("owners"), F.count_distinct("device").alias("devices"))
 
 
+def keyword_owners(keywords: DataFrame) -> DataFrame:
+    """Inverted index: word, k, device, iface; a word's owners in order, from 0. It is long, so a word that most interfaces have is no row of its own."""
+    owned = keywords.select("word", F.struct("device", "iface").alias("owner")).distinct()
+    return numbered_in(owned, "word", "owner").select("word", "k", "owner.device", "owner.iface")
+
+
 def keyword_ospf(keywords: DataFrame, ospf: DataFrame, threshold: int = 10) -> DataFrame:
     """word, n, d, c: of the interfaces with a common keyword, those that run OSPF."""
     marked = keywords.select("word", "device", "iface").distinct().join(ospf.select("device", "iface").distinct().withColumn("runs", F.lit(True)), ["device", "iface"], "left")

@@ -133,6 +133,11 @@ def j05(spark, d):
     return A.keyword_exceptions(words, ifaces, A.keyword_rules(words, ifaces).where("10 * n >= d"))
 
 
+@query("j06_keyword_owners", f"WITH {B.IFACE_KEYWORDS_SQL} SELECT word, row_number() OVER (PARTITION BY word ORDER BY device, iface) - 1 AS k, device, iface FROM iface_keywords")
+def j06_owners(spark, d):
+    return A.keyword_owners(B.iface_keywords(spark, d))
+
+
 @query("j06_keyword_stanzas", f"WITH {B.IFACE_KEYWORDS_SQL} SELECT word, count(*) AS owners, count(DISTINCT device) AS devices FROM iface_keywords GROUP BY word")
 def j06(spark, d):
     return A.keyword_stanzas(B.iface_keywords(spark, d))

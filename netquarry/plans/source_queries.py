@@ -44,6 +44,77 @@ def s08(spark, d):
     return S.dot_text(B.site_edges(spark, d))
 
 
+@query(
+    "s08_dot_document",
+    f"""WITH {B.SITE_SQL} SELECT 'graph G {{' AS line UNION ALL SELECT DISTINCT '"' || id || '" [type="' || type || '"];' FROM adj UNION ALL SELECT '"' || src || '" -- "' || dst || '";' FROM site UNION ALL SELECT '}}'""",
+)
+def s08_document(spark, d):
+    return S.dot_document(B.site_edges(spark, d)).select("line")
+
+
+def written(spark, write, name):
+    """A folder that write has filled."""
+    import uuid
+
+    from netquarry.session import shared_dir
+
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
+@query("s03_json_round_trip", f"WITH {B.INTERFACES_SQL} SELECT device, iface, ip, in_acl FROM interfaces")
+def s03(spark, d):
+    i = B.interfaces(spark, d).select("device", "iface", "ip", "in_acl")
+    return spark.read.schema(i.schema).json(written(spark, lambda p: S.write_json(i, p), "json"))
+
+
+@query("s06_csv_round_trip", f"WITH {B.INTERFACES_SQL} SELECT device, iface, ip, in_acl FROM interfaces")
+def s06(spark, d):
+    i = B.interfaces(spark, d).select("device", "iface", "ip", "in_acl")
+    return S.read_csv(spark, written(spark, lambda p: S.write_csv(i, p), "csv"), i.schema)
+
+
+@query("s04_interfaces_by_file", f"WITH {B.INTERFACES_SQL} SELECT device::VARCHAR AS file, count(*) AS interfaces FROM interfaces GROUP BY device")
+def s04(spark, d):
+    parsed = S.parse(config_texts(spark, d), S.CONFIG).where("ok").select("doc.*")
+    whole = S.aggregate_interfaces(parsed)
+    return whole.select("file", F.size(F.from_json("interfaces", f"map<string,{S.INTERFACE}>")).cast("long").alias("interfaces"))
+
+
+@query("s05_first_files", "SELECT n_nationkey, n_name FROM nation")
+def s05(spark, d):
+    """The first file of a list only, as the operator has it."""
+    return S.read_parquet_folder(spark, [f"{d}/nation.parquet", f"{d}/customer.parquet"], 1).select("n_nationkey", "n_name")
+
+
+@query(
+    "g01_config_graph",
+    f"""WITH {B.INTERFACES_SQL}, n AS (SELECT device || '_' || iface AS id, device, ip, in_acl, out_acl FROM interfaces)
+SELECT id AS src, 'interface' AS src_type, {B.DOTTED_SQL.format("((ip >> 8) << 8)")} || '/24' AS dst, 'subnet' AS dst_type, NULL AS etype FROM n WHERE ip IS NOT NULL
+UNION ALL SELECT id, 'interface', device || '_' || in_acl, 'acl', 'in' FROM n WHERE in_acl IS NOT NULL UNION ALL SELECT id, 'interface', device || '_' || out_acl, 'acl', 'out' FROM n WHERE out_acl IS NOT NULL""",
+)
+def g01_configs(spark, d):
+    """From documents through the parser to the graph of configurations."""
+    from netquarry.operators.graph import config_graph
+
+    parsed = S.parse(config_texts(spark, d), S.CONFIG).where("ok").select("doc.*")
+    return config_graph(parsed).drop("seq")
+
+
+@query(
+    "g02_keyword_graph",
+    f"WITH {B.IFACE_KEYWORDS_SQL} SELECT device || '_' || iface AS src, 'interface' AS src_type, word AS dst, 'keyword' AS dst_type FROM iface_keywords",
+)
+def g02_keywords(spark, d):
+    from netquarry.operators.graph import keyword_edges
+
+    k = B.iface_keywords(spark, d).groupBy("device", "iface").agg(F.collect_list("word").alias("words"))
+    docs = k.groupBy("device").agg(F.map_from_entries(F.collect_list(F.struct(F.col("iface").cast("string"), "words"))).alias("interfaces"))
+    docs = docs.select(F.col("device").cast("string").alias("name"), "interfaces", F.from_json(F.lit("{}"), "map<string,array<string>>").alias("acls"))
+    return keyword_edges(docs).select("src", "src_type", "dst", "dst_type")
+
+
 @query("s11_resolve_aliases", "SELECT c_nationkey AS device, 'a' || c_custkey AS acl, CASE WHEN c_custkey % 3 = 0 THEN c_custkey WHEN c_custkey % 3 = 1 THEN c_custkey - 1 END AS lines FROM (SELECT *, c_custkey // 3 % 5 AS n FROM customer)".replace("c_nationkey AS device", "n AS device"))
 def s11(spark, d):
     c = B.table(spark, d, "customer").select(F.expr("c_custkey div 3 % 5").alias("device"), F.concat(F.lit("a"), "c_custkey").alias("acl"), F.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("a"), F.col("c_custkey") - 1)).when(F.col("c_custkey") % 3 == 2, F.lit("missing")).alias("alias"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("lines"), F.lit(None).cast("string").alias("remarks"))

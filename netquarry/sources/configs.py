@@ -88,6 +88,19 @@ def dot_text(edges: DataFrame) -> DataFrame:
     return edges.select(F.format_string('"%s" -- "%s";', "src", "dst").alias("line"))
 
 
+def dot_document(edges: DataFrame, name: str = "G") -> DataFrame:
+    """place, line: a whole DOT drawing: header, nodes with their types, edges, end. Lines are sorted by place, so a text of any size is
+    written by ranges: dot_document(e).orderBy("place").select("line").write.text(path)."""
+    from netquarry.operators.graph import nodes
+
+    place = lambda k, *by: F.struct(F.lit(k).alias("k"), F.concat_ws("|", *by).alias("by")).alias("place")
+    one = edges.sparkSession.range(1)
+    head = one.select(place(0, F.lit("")), F.lit(f"graph {name} {{").alias("line"))
+    own = nodes(edges).select(place(1, F.col("id")), F.format_string('"%s" [type="%s"];', "id", "type").alias("line"))
+    lines = edges.select(place(2, F.col("src"), F.col("dst")), F.format_string('"%s" -- "%s";', "src", "dst").alias("line"))
+    return head.unionByName(own).unionByName(lines).unionByName(one.select(place(3, F.lit("")), F.lit("}").alias("line")))
+
+
 def flat_interfaces(configs: DataFrame) -> DataFrame:
     """device, iface, ip, length, in_acl, out_acl, description, switchport, access_vlan, lag."""
     from netquarry.functions import ip as ipf
@@ -122,8 +135,8 @@ def flat_ospf(configs: DataFrame) -> DataFrame:
 
 
 def aggregate_interfaces(configs: DataFrame) -> DataFrame:
-    """One row, json: interfaces of all files by file name."""
-    return configs.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.to_json("interfaces")))))).alias("json"))
+    """file, interfaces (JSON): the interfaces of all files by file name, a row a file; written as JSON lines they are one document a line."""
+    return configs.select(F.col("name").alias("file"), F.to_json("interfaces").alias("interfaces"))
 
 
 def resolve_aliases(acls: DataFrame) -> DataFrame:

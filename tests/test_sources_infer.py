@@ -84,7 +84,7 @@ groups [ a b ]; system { host-name lab; /* note */ no-redirects; }"""
 def test_braced(spark):
     d = V.parse_braced(BRACED)
     assert d["groups"] == ["a", "b"] and d["system"] == {"host-name": "lab", "no-redirects": None}
-    assert V.parse_braced_normal(BRACED)["interfaces"]["ge-0/0/0"]["unit"]["0"]["family"]["inet"] == {"address": "10.0.0.1/24"}
+    assert V.parse_braced_normal(BRACED)["interfaces"]["ge-0/0/0"]["unit"]["0"]["family"]["inet"] == {"address": {"10.0.0.1/24": {}}}
     got = {r["file"]: r for r in V.convert(texts(spark, good=BRACED, bad="a { b;"), V.parse_braced).collect()}
     assert json.loads(got["good"]["json"]) == d and got["good"]["error"] is None
     assert got["bad"]["json"] is None and "brace" in got["bad"]["error"]
