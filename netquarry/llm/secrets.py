@@ -1,11 +1,12 @@
 """Secret scans in built-in functions only: three base patterns, and sliding-window Shannon entropy.
 
-Candidates are runs of 20 or more of [A-Za-z0-9+/_-] that hold a letter and a digit. Each belongs to a character class
-(hex digits only; letters and digits; base64, with one of the four signs as well); a window of 20 characters slides over
+Candidates are runs of 20 or more of [A-Za-z0-9+/_-] that hold a letter. Each belongs to a character class (hex digits
+only; letters only; letters and digits; base64, with one of the four signs as well); a window of 20 characters slides over
 it, its counts kept incrementally (one character in, one out), and the candidate is a span of kind "entropy" if the
 window's entropy reaches the class's threshold anywhere, unless the allow-list suppresses it or it meets a base span.
-The allow-list tells whole candidates: UUIDs, ordered runs, marked examples, and paths or names whose parts between signs
-are all words or numbers. Entropies are sums of scaled integers, so the result does not depend on the order of additions.
+The allow-list tells whole candidates: UUIDs, ordered runs, marked examples, and paths, names and times whose parts between signs
+are words, capitals and numbers, as long as their letters go together like those of words (plausible pairs); letters alone are a
+candidate only where they do not. Entropies are sums of scaled integers, so the result does not depend on the order of additions.
 Offsets are prefix sums, so that texts full of matches take time in proportion (times a logarithm).
 
 Edge cases: null text is empty and has no spans; offsets are code points, end exclusive; equal rows give equal rows;
@@ -26,20 +27,27 @@ ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][e
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-#: A word or a number between signs: camel case with humps of three letters, capitals or one letter, with up to four digits behind.
-_PART = r"(?:(?:(?:[A-Z]?[a-z]{2,}+)++|[A-Z]++|[a-z])?[0-9]{0,4}|[0-9]++)"
+#: Words, capitals and numbers in a row, with one letter behind (or one letter with a number): what stands between the signs of paths and names.
+_SHORT = "By|Id|Of|In|On|To|Is|At|As|Or|No|Up|My|Be|Do|Go|Ok|Db|Ui|Js|Py"
+_PART = rf"(?:(?=[^/_+-]*[a-z]{{2}})(?:[A-Z]?[a-z]{{2,}}+|{_SHORT}|[A-Z]{{1,6}}+|[0-9]{{1,4}}+)++[a-z]?|[A-Z]++[0-9]{{0,4}}|[a-z][0-9]{{0,4}}|[0-9]++(?:T[0-9]++)?Z?)?"
+NAME = rf"^{_PART}(?:[/_+-]++{_PART})*+$"
 #: Whole candidates that are no secrets.
 ALLOWED = "|".join(
     [
         r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
         r"^(?:0123456789|1234567890|(?i:abcdefghijklmnopqrstuvwxyz|abcdefghij|abcdef)|[/_+-])++[0-9]{0,3}$",
         r"^(?i:example|placeholder|changeme|your|dummy)[/_+-]|(?i:example|placeholder)(?i:key)?$|^(.)\1{5,}",
-        rf"^{_PART}(?:[/_+-]++{_PART})*+$",
     ]
 )
+#: Pairs of letters that words are made of: a vowel and a consonant, vowels and consonants that often stand together, and few with rare letters.
+_VOWELS, _CONSONANTS, _RARE = "aeiouy", "bcdfghklmnprstvw", ("qu", "ex", "xt", "ze", "iz", "jo", "ja", "ju", "ob", "je")
+_TOGETHER = "ee oo ea ou ai ie io ia ue ei au oa th st nd ng nt tr pr pl cl cr br bl gr gl fr fl dr sh ch ck ll ss tt ff pp rr mm nn sp sc sk sm sn sw tw wh ct pt ft lt rt rd rk rm rn rs ld lf lk lm ls mp mb nk nc ns ts ds ks ps gh dd cc gg bb ry ly ty my by".split()
+PLAUSIBLE = frozenset([*[x for v in _VOWELS for c in _CONSONANTS for x in (v + c, c + v)], *_TOGETHER, *_RARE])
+#: Letters of which fewer pairs than this percentage are plausible are no words, if there are at least so many pairs.
+WORDS_PERCENT, LEAST_PAIRS = 65, 8
 WINDOW = 20
 #: Least entropy in bits a character, by class.
-HEX_BITS, MIXED_BITS, BASE64_BITS = 2.9, 3.4, 3.6
+HEX_BITS, MIXED_BITS, BASE64_BITS, LETTER_BITS = 2.9, 3.4, 3.6, 3.6
 KINDS = ("assign", "access", "hex", "entropy")
 _SCALE = 1 << 24
 _NLOGN = [round(n * math.log2(n) * _SCALE) if n else 0 for n in range(WINDOW + 1)]
@@ -102,10 +110,20 @@ def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
     return F.lit(round(window * math.log2(window) * _SCALE)) - least
 
 
+def random_letters(x: Column) -> Column:
+    """Whether the pairs of neighbouring letters are too seldom those of words."""
+    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.lower(F.substr(x, i, F.lit(2)))), lambda p: p.rlike("^[a-z]{2}$"))
+    known = F.lit(" " + " ".join(sorted(PLAUSIBLE)))
+    words = lambda p: F.size(F.filter(p, lambda x: F.contains(known, F.concat(F.lit(" "), x)))) * 100 < F.size(p) * WORDS_PERCENT
+    return bound(pairs, lambda p: (F.size(p) >= LEAST_PAIRS) & words(p))
+
+
 def _suspicious(x: Column) -> Column:
     what = x["what"]
-    bits = F.when(what.rlike("^[0-9a-fA-F]+$"), HEX_BITS).when(what.rlike("[+/_-]"), BASE64_BITS).otherwise(MIXED_BITS)
-    return what.rlike("[0-9]") & what.rlike("[A-Za-z]") & ~what.rlike(ALLOWED) & (window_entropy(what) >= F.round(bits * (WINDOW * _SCALE)).cast("long"))
+    digit = what.rlike("[0-9]")
+    bits = F.when(what.rlike("^[0-9a-fA-F]+$") & digit, HEX_BITS).when(~digit, LETTER_BITS).when(what.rlike("[+/_-]"), BASE64_BITS).otherwise(MIXED_BITS)
+    told = F.when(digit, ~what.rlike(NAME) | random_letters(what)).otherwise(random_letters(what))
+    return what.rlike("[A-Za-z]") & ~what.rlike(ALLOWED) & told & (window_entropy(what) >= F.round(bits * (WINDOW * _SCALE)).cast("long"))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -113,7 +131,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     t = F.col("text")
-    found = rows.select("doc_id", F.filter(located(t, ASSIGN, 1), lambda x: F.length(x["what"]) >= 8).alias("assign"), located(t, ACCESS).alias("access"), located(t, HEX).alias("hex"), F.when(t.rlike(r"[0-9]"), located(t, CANDIDATE)).otherwise(F.array().cast(_SPANS)).alias("candidates"))
+    found = rows.select("doc_id", F.filter(located(t, ASSIGN, 1), lambda x: F.length(x["what"]) >= 8).alias("assign"), located(t, ACCESS).alias("access"), located(t, HEX).alias("hex"), located(t, CANDIDATE).alias("candidates"))
     based = found.withColumn("base", F.concat("assign", "access", "hex"))
     return based.select("doc_id", "assign", "access", "hex", F.filter(_apart(F.col("candidates"), F.col("base")), _suspicious).alias("entropy"))
 

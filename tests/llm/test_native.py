@@ -191,15 +191,23 @@ def brute_entropy(x):
     return best
 
 
+def brute_random(x):
+    pairs = [p.lower() for p in map("".join, zip(x, x[1:])) if re.fullmatch("[A-Za-z]{2}", p)]
+    return len(pairs) >= secrets.LEAST_PAIRS and sum(p in secrets.PLAUSIBLE for p in pairs) * 100 < len(pairs) * secrets.WORDS_PERCENT
+
+
 def brute_secrets(text):
     text = text or ""
     spans = [(m.start(), i, m.end()) for i, (p, ok) in enumerate(BASE.values()) for m in p.finditer(text) if ok(m)]
     extra = []
     for m in re.finditer(secrets.CANDIDATE, text):
         x = m[0]
-        if any(a < m.end() and m.start() < b for a, _, b in spans) or not re.search("[0-9]", x) or not re.search("[A-Za-z]", x) or re.search(secrets.ALLOWED, x):
+        if any(a < m.end() and m.start() < b for a, _, b in spans) or not re.search("[A-Za-z]", x) or re.search(secrets.ALLOWED, x):
+            continue
+        digit = re.search("[0-9]", x)
+        if not (brute_random(x) or (digit and not re.search(secrets.NAME, x))):
             continue
-        least = secrets.HEX_BITS if re.fullmatch("[0-9a-fA-F]+", x) else secrets.MIXED_BITS
+        least = secrets.HEX_BITS if digit and re.fullmatch("[0-9a-fA-F]+", x) else secrets.LETTER_BITS if not digit else secrets.BASE64_BITS if re.search("[+/_-]", x) else secrets.MIXED_BITS
         if brute_entropy(x) >= round(least * secrets.WINDOW * secrets._SCALE):
             extra.append((m.start(), 3, m.end()))
     say = lambda s: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(s))
@@ -245,6 +253,39 @@ def test_secrets_spare_paths_and_names(spark):
     assert [got[i] for i in range(len(rows))] == [0] * len(clean) + [1] * len(found)
 
 
+CLEAN = """src/main/java/com/acme/Util5/parseHTTPResponseV2 getUserById2FromHTTPServerV3Response7 2024-05-17T12-30-45Z_run7_log1a
+node_modules/react-dom/cjs/react-dom-server /usr/local/lib/python3/site-packages/requests AbstractSingletonProxyFactoryBean2
+docs/2023/11/02/release-notes-v1 TestCaseForUserAuthenticationHandler internationalization_of_currencies
+http_response_status_code_404_not_found LongDescriptionOfTheProductInEnglish Donaudampfschifffahrtsgesellschaft
+backup_2021-03-04_05-06-07_final /var/log/nginx/access_log_2024_01 MAX_NUMBER_OF_CONNECTIONS_PER_HOST
+customer-support-ticket-4411-resolved XMLHttpRequestEventTargetV2 getElementsByClassNameAndTagName""".split()
+
+
+def test_secrets_recall_and_precision(spark):
+    """Random tokens of several kinds are found; paths, names, times and long words are not."""
+    import string
+
+    rng = __import__("random").Random(5)
+    draw = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    low, mixed, base62 = string.ascii_lowercase, string.ascii_letters, string.ascii_letters + string.digits
+    kinds = {
+        "base62": lambda: draw(32, base62),
+        "base32": lambda: draw(32, string.ascii_uppercase + "234567"),
+        "base64": lambda: draw(40, base62 + "+/"),
+        "hex": lambda: draw(31, "0123456789abcdef"),
+        "dashed": lambda: "-".join(draw(5, string.ascii_uppercase + string.digits) for _ in range(5)),
+        "letters and digits": lambda: draw(20, low) + draw(4, string.digits),
+        "mixed letters": lambda: draw(40, mixed),
+        "small letters": lambda: draw(40, low),
+    }
+    rows = [(k, f"see {make()} here") for k, make in kinds.items() for _ in range(300)] + [("clean", f"see {x} here") for x in CLEAN]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_entropy"] for r in secrets.secret_digests(secrets.scan_secrets(docs)).collect()}
+    share = {k: sum(got[i] > 0 for i, r in enumerate(rows) if r[0] == k) / sum(r[0] == k for r in rows) for k in [*kinds, "clean"]}
+    print(share)
+    assert share["clean"] == 0 and all(share[k] >= 0.93 for k in kinds), share
+
+
 def test_chat_of_many_turns(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} </s>" if i % 7 == 0 else f"turn {i}") for i in range(20_000)]
     check_chats(spark, rows)
