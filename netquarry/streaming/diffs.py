@@ -57,5 +57,5 @@ def stream_diffs(snapshots: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 def change_counts(snapshots: DataFrame, window: str = "1 hour", lateness: str = "1 day") -> DataFrame:
-    """window, stanza, changes: states that arrived in each window of time, of a streaming table."""
+    """window, stanza, elements (about how many different ones), rows: what arrived in each window of time, of a streaming table."""
     return snapshots.withWatermark("ts", lateness).groupBy(F.window("ts", window), "stanza").agg(F.approx_count_distinct("element").alias("elements"), F.count("*").alias("rows"))

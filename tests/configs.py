@@ -16,6 +16,7 @@ def by_name(*items):
     return {x["name"]: x for x in items}
 
 
+# The small network whose rules and confidences are known, so that results can be held against them.
 G = "GigabitEthernet0/"
 ANY = "0.0.0.0/0"
 ACLS = {

@@ -1,4 +1,5 @@
-from pyspark.sql import functions as F
+import collections
+import random
 
 from netquarry.operators import associations as A
 from netquarry.sources import configs as S
@@ -15,6 +16,7 @@ def test_reference_rules(spark, tmp_path):
     rules = A.reference_rules(S.flat_interfaces(c), S.flat_acl_lines(c))
     got = {r["msg"]: (r["n"], r["d"], r["c"]) for r in rules.collect()}
     span = "C(interface's IP falls within range ['{}', '{}'] => ACL {} applied to the interface)"
+    # Messages and counts that are known for this network.
     assert got == {
         "C(interface => has ACL reference)": (5, 8, 0.625),
         "C(interface has 'in' ACL applied => interface has 'out' ACL applied)": (2, 3, 0.667),
@@ -30,39 +32,59 @@ def test_reference_rules(spark, tmp_path):
 def test_vlan_pairs(spark, tmp_path):
     c = documents(spark, tmp_path, configs.VLANS)
     got = {(r["v1"], r["v2"]): (r["n"], r["d"]) for r in A.vlan_pairs(S.flat_trunks(c)).collect()}
+    # Pair counts that are known for this network.
     assert got == {(100, 200): (3, 3), (200, 100): (3, 3), (100, 300): (1, 3), (300, 100): (1, 2), (200, 300): (1, 3), (300, 200): (1, 2)}
     assert A.vlan_pairs(S.flat_trunks(c), most=1).count() == 0
 
 
-KEYWORDS = [(1, "blue"), (2, "red"), (3, "red"), (3, "yellow"), (4, "yellow"), (4, "blue"), (5, "red"), (5, "yellow"), (6, "yellow")]
-APPLIED = [(1, None, None), (2, "R", None), (3, None, "O"), (4, "Y", "G"), (5, "O", "Y"), (6, None, "Y")]
+def drawn(seed=11, n=60):
+    """Own random interfaces: (words, in and out ACL)."""
+    rng = random.Random(seed)
+    words = {i: {w for w in ("uplink", "lab", "guest", "voice", "rare") if rng.random() < (0.03 if w == "rare" else 0.4)} for i in range(n)}
+    acls = {i: (rng.choice([None, "EDGE", "CORE"]), rng.choice([None, "CORE", "OUT"])) for i in range(n)}
+    return words, acls
 
 
 def small(spark):
-    words = spark.createDataFrame([("device", str(i), w) for i, w in KEYWORDS], "device string, iface string, word string")
-    ifaces = spark.createDataFrame([("device", str(i), 0x0A000001 + 256 * i, 24, a, b) for i, a, b in APPLIED], "device string, iface string, ip long, length int, in_acl string, out_acl string")
-    return words, ifaces
+    words, acls = drawn()
+    rows = [(f"d{i % 3}", str(i), w) for i, own in words.items() for w in own]
+    ifaces = [(f"d{i % 3}", str(i), 0x0A000001 + 256 * i, 24, a, b) for i, (a, b) in acls.items()]
+    return spark.createDataFrame(rows, "device string, iface string, word string"), spark.createDataFrame(ifaces, "device string, iface string, ip long, length int, in_acl string, out_acl string")
 
 
 def test_keyword_rules(spark):
     words, ifaces = small(spark)
-    rules = A.keyword_rules(words, ifaces, 2)
+    known, acls = drawn()
+    rules = A.keyword_rules(words, ifaces, 10)
     got = {(r["word"], r["acl"]): (r["n"], r["d"]) for r in rules.collect()}
-    assert got == {("blue", "G"): (1, 2), ("blue", "O"): (0, 2), ("blue", "R"): (0, 2), ("blue", "Y"): (1, 2), ("red", "G"): (0, 3), ("red", "O"): (2, 3), ("red", "R"): (1, 3), ("red", "Y"): (1, 3), ("yellow", "G"): (1, 4), ("yellow", "O"): (2, 4), ("yellow", "R"): (0, 4), ("yellow", "Y"): (3, 4)}
-    missing = A.keyword_exceptions(words, ifaces, rules).groupBy("word", "acl").agg(F.array_sort(F.collect_list("iface")).alias("i"))
-    got = {(r["word"], r["acl"]): r["i"] for r in missing.collect()}
-    assert got["red", "Y"] == ["2", "3"] and got["yellow", "Y"] == ["3"] and got["blue", "R"] == ["1", "4"]
+    owners = {w: [i for i in known if w in known[i]] for w in {w for own in known.values() for w in own}}
+    want = {(w, a): (sum(a in acls[i] for i in own), len(own)) for w, own in owners.items() if len(own) >= 10 for a in ("EDGE", "CORE", "OUT")}
+    assert got == want and len(want) == 12
+    missing = {(r["word"], r["acl"], int(r["iface"])) for r in A.keyword_exceptions(words, ifaces, rules).collect()}
+    assert missing == {(w, a, i) for w, a in want for i in owners[w] if a not in acls[i]}
 
 
 def test_common_keywords(spark):
     words, _ = small(spark)
-    assert {r["word"]: r["count"] for r in A.common_keywords(words, 3).collect()} == {"red": 3, "yellow": 4}
+    counts = collections.Counter(w for own in drawn()[0].values() for w in own)
+    assert {r["word"]: r["count"] for r in A.common_keywords(words, 10).collect()} == {w: n for w, n in counts.items() if n >= 10}
+
+
+def test_owners_of_keywords_in_order(spark):
+    words, _ = small(spark)
+    got = collections.defaultdict(list)
+    for r in sorted(A.keyword_owners(words.union(words)).collect(), key=lambda r: (r["word"], r["k"])):
+        assert r["k"] == len(got[r["word"]])
+        got[r["word"]].append((r["device"], r["iface"]))
+    assert got == {w: sorted((f"d{i % 3}", str(i)) for i, own in drawn()[0].items() if w in own) for w in got} and len(got) == 5
 
 
 def test_keyword_ranges(spark):
     words, ifaces = small(spark)
+    known, _ = drawn()
     got = {r["word"]: (r["n"], r["d"]) for r in A.keyword_ranges(words, ifaces).collect()}
-    assert got == {"red": (3, 4), "yellow": (4, 4), "blue": (2, 4)}
+    owners = {w: [i for i in known if w in known[i]] for w in got}
+    assert got == {w: (len(own), max(own) - min(own) + 1) for w, own in owners.items()}
 
 
 def test_no_range_join_or_product_in_the_cover_plan(spark):
@@ -72,7 +94,7 @@ def test_no_range_join_or_product_in_the_cover_plan(spark):
     plan = A.covering(nets, ifaces)._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "CartesianProduct" not in plan and "[length" in plan
-    assert A.covering(nets, ifaces).count() == 6
+    assert A.covering(nets, ifaces).count() == 60
 
 
 def test_rules_over_nothing(spark):

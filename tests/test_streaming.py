@@ -1,4 +1,4 @@
-from netquarry.streaming.diffs import stream_diffs
+from netquarry.streaming.diffs import change_counts, stream_diffs
 
 SCHEMA = "device string, stanza string, element string, ts timestamp, attr string, val string"
 STATES = [
@@ -19,3 +19,13 @@ def test_stream_of_snapshots(spark, tmp_path):
     query.stop()
     got = {(str(r["ts"].date()), r["change"], r["attr"], r["old"], r["new"]) for r in spark.table("diffs").collect()}
     assert got == {("2024-01-01", "Addition", None, None, None), ("2024-01-02", "Modification", "x", "1", "2"), ("2024-01-02", "Deletion", "y", "1", None), ("2024-01-02", "Addition", "z", None, "1")}
+
+
+def test_counts_by_window(spark, tmp_path):
+    rows = [("d", "ACL", f"a{k % 3}", f"2024-01-01 0{k % 2}:10:00", "x", "1") for k in range(8)]
+    spark.createDataFrame(rows, SCHEMA.replace("timestamp", "string")).selectExpr("device", "stanza", "element", "cast(ts as timestamp) ts", "attr", "val").write.parquet(str(tmp_path / "in"))
+    query = change_counts(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "check")).outputMode("complete").start()
+    query.processAllAvailable()
+    query.stop()
+    got = {r["window"]["start"].hour: (r["stanza"], r["elements"], r["rows"]) for r in spark.table("counts").collect()}
+    assert got == {0: ("ACL", 3, 4), 1: ("ACL", 3, 4)}
