@@ -435,6 +435,8 @@ def find_leaks(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray, bench: B
     row, n = p.block_row[p.window[window]], bench.length[item]
     begin = np.maximum(p.at[row], p.start[window] - n)
     end = np.minimum(p.at[row + 1], p.end[window] + n)
+    row, item, begin, end = merged_surroundings(row, item, n, begin, end)
+    n = bench.length[item]
     numbers = bench.numbers(p.hashes)
     worth = _enough_words(numbers, begin, end, item, bench)
     row, item, n, begin, end = row[worth], item[worth], n[worth], begin[worth], end[worth]
@@ -454,6 +456,18 @@ def find_leaks(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray, bench: B
     return found
 
 
+def merged_surroundings(row: np.ndarray, item: np.ndarray, n: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, item, begin, end), where surroundings of one row and item that begin within half the item's length are one, from the
+    first begin to the last end: each place of a long item's surroundings is compared a few times, not once for every window."""
+    bucket = begin // np.maximum(1, n // 2)
+    order = np.lexsort((begin, bucket, item, row))
+    row, item, bucket, begin, end = (x[order] for x in (row, item, bucket, begin, end))
+    new = np.ones(len(row), bool)
+    new[1:] = (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(bucket) != 0)
+    first = np.flatnonzero(new)
+    return row[first], item[first], begin[first], np.maximum.reduceat(end, first) if len(first) else end
+
+
 def _answered(answer: frozenset, around: list[int]) -> bool:
     return bool(answer) and len(answer.intersection(around)) >= ANSWER * len(answer)
 

@@ -580,3 +580,32 @@ def test_decontamination_in_blocks_of_items(spark):
     assert parts.columns == [*docs.columns, "_leaked_items"]
     show = lambda rows: sorted(key((r["doc_id"], r["text"], ",".join(map(str, r["_leaked_items"])))) for r in rows)
     assert show(whole) == show(parts.collect())
+
+
+def test_surroundings_of_long_items_are_merged():
+    """Merged ones cover all of the given ones, stay within one and a half item lengths more, and are few for long items."""
+    rng = np.random.default_rng(2)
+    n = np.array([40, 300, 1000])
+    row, item = np.sort(rng.integers(0, 5, 4000)), rng.integers(0, 3, 4000)
+    start = rng.integers(0, 5000, 4000)
+    begin, end = start - n[item], start + 30 + n[item]
+    got = np.stack(decontamination.merged_surroundings(row, item, n[item], begin, end), axis=1)
+    for k in range(3):
+        for r in range(5):
+            own = got[(got[:, 0] == r) & (got[:, 1] == k)]
+            mine = (row == r) & (item == k)
+            assert all(any(a <= x and y <= b for _, _, a, b in own) for x, y in zip(begin[mine], end[mine], strict=True))
+            assert (own[:, 3] - own[:, 2]).max(initial=0) <= 30 + 2.5 * n[k]
+    assert (got[:, 1] == 2).sum() <= 5 * 14
+
+
+def test_long_items_are_found(spark):
+    """Items of a thousand words, verbatim and with every fifth word replaced."""
+    rng = random.Random(3)
+    vocab, weights = [f"w{i}" for i in range(3000)], [1 / (i + 1) for i in range(3000)]
+    text = lambda k: rng.choices(vocab, weights, k=k)
+    items = [text(1000) for _ in range(3)]
+    rows = [(k, " ".join([*text(200), *[x if i % 5 or k % 2 else "new" for i, x in enumerate(items[k % 3])], *text(200)])) for k in range(12)] + [(100 + k, " ".join(text(1500))) for k in range(12)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontamination.contaminated_documents(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert all(got[k] == str(k % 3) for k in range(12)) and not any(got[100 + k] for k in range(12))
