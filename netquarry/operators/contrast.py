@@ -160,7 +160,7 @@ def condense_violations(violated: DataFrame, rules: DataFrame) -> DataFrame:
 RECOUNTED = 32
 
 
-def _best_rule(rows: DataFrame, weights: DataFrame, bounds: DataFrame):
+def best_rule(rows: DataFrame, weights: DataFrame, bounds: DataFrame):
     """(rule_id, gain of the best rule, counted (rule_id, gain) pairs). Gains only fall, so old ones are upper bounds: only the
     rules with the largest ones are counted again, until the best of these is beyond the bound of all others."""
     n = RECOUNTED
@@ -182,7 +182,7 @@ def spanning_rules(rows: DataFrame, least_gain: float = 0.0005, drop_picked: boo
 
     Stops when a pick gains less than a share of the weight left, or repeats. With drop_picked, a
     picked rule is no longer a candidate, so a repeat means that no rule is left; and the pick that gains too little is
-    still kept. Row weights and the gains known last stay distributed; a round counts few rules again (_best_rule). Equal gains
+    still kept. Row weights and the gains known last stay distributed; a round counts few rules again (best_rule). Equal gains
     go to the smallest rule_id.
     """
     spark = rows.sparkSession
@@ -193,7 +193,7 @@ def spanning_rules(rows: DataFrame, least_gain: float = 0.0005, drop_picked: boo
         total = weights.agg(F.sum("weight")).first()[0]
         if not total:
             break
-        rule, gain, counted = _best_rule(rows, weights, bounds)
+        rule, gain, counted = best_rule(rows, weights, bounds)
         if rule is None or rule in picked:
             break
         small = gain / 2 < least_gain * total

@@ -282,3 +282,16 @@ def p05(spark, d):
     """For each feature as the group and each of its values: how many rules there are and the most precise one, from one sweep."""
     s = _text(C.sweep(rule_frame(spark, d), ["segment", "priority", "grp"], 1, min_support=0, min_count=10, min_difference=2, min_lift=0, min_confidence=0))
     return s.groupBy("grouped_by", "grp").agg(F.count("*").alias("rules"), F.min_by("rule", F.struct(-F.col("precision"), F.col("rule"))).alias("best"))
+
+
+@query("o05_greedy_pick", f"WITH {RULE_FRAME_SQL} SELECT rule_id, count(*)::DOUBLE AS gain FROM matched GROUP BY rule_id ORDER BY count(*) DESC, rule_id LIMIT 1")
+def o05(spark, d):
+    """The first pick of the greedy cover: the rule with most rows, of equals the smallest."""
+    from netquarry.session import stored
+
+    f = rule_frame(spark, d)
+    rules = fixed_rules(f)
+    rows = stored(C.rule_rows(rules, C.long_items(f, ROW_FEATURES)), "rows")
+    weights = rows.select("row_id").distinct().withColumn("weight", F.lit(1.0))
+    rule, gain, _ = C.best_rule(rows, weights, rows.groupBy("rule_id").agg(F.count("*").cast("double").alias("gain")))
+    return spark.createDataFrame([(rule, gain)] if rule is not None else [], "rule_id long, gain double")
