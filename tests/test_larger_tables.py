@@ -29,3 +29,19 @@ def same(spark, tmp_path):
 
 def test_braced_addresses_beyond_one_octet(same):
     assert same("g03_braced_graph", customer="SELECT k AS c_custkey, (k % 2)::INT AS c_nationkey, 'BUILDING' AS c_mktsegment FROM (SELECT unnest([1, 65535, 65536, 70001, 900000]) AS k)") == 15
+
+
+def test_a_large_group_is_named_once(spark):
+    """Forty thousand interfaces of one VLAN become one: a name a member, or one folded from each edge, would be gigabytes."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from netquarry.operators import graph as G
+
+    n = 40_000
+    edges = spark.range(n).select(F.concat(F.lit("i"), "id").alias("src"), F.lit("interface").alias("src_type"), F.lit("v").alias("dst"), F.lit("vlan").alias("dst_type"), F.lit(None).cast("string").alias("etype"))
+    start = time.monotonic()
+    (row,) = G.coalesce_vertices(edges, ("interface",)).collect()
+    assert row["src"] == ",".join(sorted(f"i{k}" for k in range(n))) and row["dst"] == "v"
+    assert time.monotonic() - start < 60
