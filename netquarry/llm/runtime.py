@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import lru_cache
-from pathlib import Path
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netquarry.session import settled, shared_dir, ship, stored
+from netquarry.session import _blas, one_blas_thread, settled, shared_dir, ship, stored
 
 #: Bytes that Python workers get at once; one text may be longer.
 BYTES_AT_ONCE = 8 << 20
@@ -61,23 +57,6 @@ def join_parts(rows: DataFrame, hot: DataFrame, cold: DataFrame, keys: list[str]
     return rest.unionByName(rows.join(F.broadcast(hot), keys).select(*rest.columns))
 
 
-@lru_cache(maxsize=1)
-def _blas():
-    """What sets and gets the number of threads of numpy's OpenBLAS, where it is that."""
-    for library in (Path(np.__file__).parents[1] / "numpy.libs").glob("*openblas*"):
-        loaded = ctypes.CDLL(str(library))
-        for name in ("scipy_openblas_{}_num_threads64_", "openblas_{}_num_threads64_", "openblas_{}_num_threads"):
-            if hasattr(loaded, name.format("set")):
-                return getattr(loaded, name.format("set")), getattr(loaded, name.format("get"))
-    return (lambda n: None), (lambda: 1)
-
-
-def one_blas_thread() -> None:
-    """In a Python worker: numpy's matrix products keep to the task's own core. Workers of one executor that each start a thread
-    a core wait for one another most of the time."""
-    _blas()[0](1)
-
-
 @contextmanager
 def on_one_blas_thread() -> Iterator[None]:
     """On the driver: small matrices need no more threads, each of which has buffers of its own."""

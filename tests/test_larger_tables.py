@@ -45,3 +45,30 @@ def test_a_large_group_is_named_once(spark):
     (row,) = G.coalesce_vertices(edges, ("interface",)).collect()
     assert row["src"] == ",".join(sorted(f"i{k}" for k in range(n))) and row["dst"] == "v"
     assert time.monotonic() - start < 60
+
+
+def test_pairs_in_cells_equal_pairs_by_neighbours(spark, monkeypatch):
+    """Dense nodes over several cells, with counts, degrees and weighted shares of two types."""
+    import itertools
+    import random
+
+    from netquarry.operators import graph as G
+    from netquarry.operators import paths as P
+
+    from .test_similarity import brute_similar
+
+    monkeypatch.setattr(G, "CELL_SIDE", 20)
+    rng = random.Random(5)
+    rows = [(f"n{k}", "vlan", f"{kind}{x}", kind) for k in range(70) for kind, most, n in (("interface", 600, 250), ("acl", 4, 1)) for x in rng.sample(range(most), n)]
+    adj = spark.createDataFrame(rows, "id string, type string, nbr string, nbr_type string")
+    own = {}
+    for i, _, x, kind in rows:
+        own.setdefault(i, set()).update([x] if kind == "interface" else [])
+    want = {(a, b): (len(own[a] & own[b]), 250, 250) for a, b in itertools.combinations(sorted(own), 2)}
+    met = G.common_neighbors(adj, "vlan", "interface")
+    assert "ArrowInGroups" in met._jdf.queryExecution().toString() or "FlatMapGroupsInArrow" in met._jdf.queryExecution().toString()
+    assert {(r["a"], r["b"]): (r["common"], r["da"], r["db"]) for r in met.collect()} == want
+    assert {(r["a"], r["b"]): (r["both"], r["either"], r["apart"]) for r in P.neighbor_set_sizes(adj, "vlan", "interface").collect()} == {k: (n, 500 - n, 500 - 2 * n) for k, (n, _, _) in want.items()}
+    weights = {"interface": 0.75, "acl": 0.25}
+    got = {(r["a"], r["b"]): (round(r["pa"], 9), round(r["pb"], 9)) for r in G.similar_nodes(adj, "vlan", weights, 0.45).collect()}
+    assert got == brute_similar(rows, weights, 0.45) and got
