@@ -141,3 +141,41 @@ def test_paths_of_a_hub_are_counted_not_listed(spark):
     got = {tuple(r) for r in P.sort_patterns(counts).collect()}
     assert got == {(3, "low", n + 1, n + 1), (4, "full", n * (n - 1) + 1, n * (n - 1) // 2 + 1)}
     assert time.monotonic() - start < 60
+
+
+def test_pairs_in_place_equal_pairs_by_neighbours(spark, monkeypatch):
+    """Several lists of one hub, nodes that share more than one neighbour, and unnamed neighbours."""
+    import itertools
+    import random
+
+    from netquarry.operators import graph as G
+
+    met = G.met_in_place
+    monkeypatch.setattr(G, "met_in_place", lambda rows, at_once: met(rows, 7))
+    rng = random.Random(6)
+    rows = [(f"n{k}", "vlan", x, kind) for k in range(60) for kind, least, most, n in (("acl", 1, 3, 5), ("interface", 0, 4, 12)) for x in rng.sample([f"{kind}{z}" for z in range(n)], rng.randint(least, most))]
+    rows += [("n1", "vlan", None, "interface"), ("n2", "vlan", None, "interface"), ("n3", "vlan", None, "acl")]
+    adj = spark.createDataFrame(rows, "id string, type string, nbr string, nbr_type string")
+    own = lambda i, kind: {x for n, _, x, k in rows if n == i and k == kind and x}
+    some = {i: own(i, "interface") for i, *_ in rows}
+    acls, bare = {i: own(i, "acl") for i in some}, {"n1", "n2"}
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(some), 2) if acls[a] & acls[b]]
+    want = [(a, b) for a, b in pairs if not some[a] & some[b] and (some[a] or some[b] or {a, b} & bare)]
+    assert sorted(map(tuple, G.shared_subnet_without_vlan(adj, "vlan", "acl", "interface").collect())) == want and want
+    apart = [(a, b, x or "", side) for a, b in pairs for side, one, other in (("a", a, b), ("b", b, a)) for x in [*(some[one] - some[other]), *([None] if one in bare else [])]]
+    assert sorted((r["a"], r["b"], r["nbr"] or "", r["side"]) for r in G.neighbor_differences(adj, "vlan", "acl", "interface").collect()) == sorted(apart)
+
+
+def test_pairs_of_a_hub_are_not_shuffled(spark):
+    """Six thousand interfaces of one ACL are 18 million pairs; the shuffle holds lists of them."""
+    from pyspark.sql import functions as F
+
+    from netquarry.operators import graph as G
+
+    n = 6_000
+    side = lambda id_, kind: spark.range(n).select(F.concat(F.lit("i"), "id").alias("src"), F.lit("interface").alias("src_type"), id_.alias("dst"), F.lit(kind).alias("dst_type"))
+    adj = G.adjacency(side(F.lit("a"), "acl").union(side(F.concat(F.lit("v"), F.col("id") % 2), "vlan")))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert G.shared_subnet_without_vlan(adj, "interface", "acl", "vlan").count() == n * n // 4
+    assert written() - before < 30e6
