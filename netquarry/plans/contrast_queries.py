@@ -133,6 +133,11 @@ def rule_frame(spark, d):
     return o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("grp"), F.substring("o_orderpriority", 1, 1).alias("priority"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"))
 
 
+def rule_classes(frame):
+    """Rows of the frame with the same items and group as one, numbered and counted."""
+    return C.classes(frame, ROW_FEATURES, "grp")
+
+
 def fixed_rules(frame):
     from pyspark.sql import Window
 
@@ -169,8 +174,8 @@ def j16(spark, d):
 @query("g15_condense_violations", f"WITH {RULE_FRAME_SQL} SELECT row_id, string_agg(rule_id::VARCHAR, ',' ORDER BY rule_id) AS centers FROM matched WHERE grp <> row_group GROUP BY row_id")
 def g15_condense(spark, d):
     f = rule_frame(spark, d)
-    rules = fixed_rules(f)
-    found = C.condense_violations(C.violations(rules, f, ROW_FEATURES, "grp"), rules)
+    kinds = rule_classes(f)
+    found = C.condensed(fixed_rules(kinds), f, ROW_FEATURES, "grp", kinds)
     return found.select("row_id", F.array_join(F.col("centers").cast("array<string>"), ",").alias("centers"))
 
 
@@ -183,11 +188,11 @@ s AS (SELECT *, n / 2.0 < 0.0005 * ((SELECT sum(n) FROM m) - 0.5 * before) AS sm
 SELECT place::INT AS place, rule_id FROM s WHERE place <= coalesce((SELECT min(place) FROM s WHERE small), 1000000)""",
 )
 def g13(spark, d):
-    f = rule_frame(spark, d)
-    rules = fixed_rules(f)
     from netquarry.session import stored
 
-    picked = C.spanning_rules(stored(C.rule_rows(rules, C.long_items(f, ROW_FEATURES))), drop_picked=True)
+    kinds = rule_classes(rule_frame(spark, d))
+    rows = stored(C.rule_rows(fixed_rules(kinds), C.long_items(kinds, ROW_FEATURES)), "rows")
+    picked = C.spanning_rules(rows, drop_picked=True, sizes=kinds)
     return spark.createDataFrame([(k, r) for k, r in enumerate(picked)], "place int, rule_id long")
 
 
@@ -236,15 +241,15 @@ def p02(spark, d):
     return _text(C.anomalies(s, 0.3)).select("grouped_by", "rule", "grp", "frequency", F.round("precision", 9).alias("precision"))
 
 
-def overlapping_rules(frame):
-    """Rules of one item and of two: each row matches several, and most of them share items."""
+def overlapping_rules(kinds):
+    """Rules of one item and of two, from classes of rows: each row matches several, and most of them share items."""
     from functools import reduce
     from itertools import combinations
 
     parts = []
     for n in (1, 2):
         for c in combinations(ROW_FEATURES, n):
-            parts.append(frame.groupBy(F.array(*map(C.item, c)).alias("rule")).agg(F.max("grp").alias("grp"), F.count("*").alias("n")).where("n >= 3").select("rule", "grp"))
+            parts.append(kinds.groupBy(F.array(*map(C.item, c)).alias("rule")).agg(F.max("grp").alias("grp"), F.sum("n").alias("n")).where("n >= 3").select("rule", "grp"))
     from pyspark.sql import Window
 
     rules = reduce(lambda a, b: a.unionByName(b), parts)
@@ -257,10 +262,10 @@ def g13_overlapping(spark, d):
     """Rules that overlap, so weights are halved again and again: greedy, beyond SQL; the test counts every rule in every round."""
     from netquarry.session import stored
 
-    f = rule_frame(spark, d)
-    rules = stored(overlapping_rules(f), "rules")
-    rows = stored(C.rule_rows(rules, C.long_items(f, ROW_FEATURES)), "rows")
-    return spark.createDataFrame([(k, r) for k, r in enumerate(C.spanning_rules(rows))], "place int, rule_id long")
+    kinds = rule_classes(rule_frame(spark, d))
+    rules = stored(overlapping_rules(kinds), "rules")
+    rows = stored(C.rule_rows(rules, C.long_items(kinds, ROW_FEATURES)), "rows")
+    return spark.createDataFrame([(k, r) for k, r in enumerate(C.spanning_rules(rows, sizes=kinds))], "place int, rule_id long")
 
 
 @query("g15_condense_overlapping_violations")
@@ -269,8 +274,9 @@ def g15_overlapping(spark, d):
     from netquarry.session import stored
 
     f = rule_frame(spark, d)
-    rules = stored(overlapping_rules(f), "rules")
-    found = C.condense_violations(C.violations(rules, f, ROW_FEATURES, "grp"), rules)
+    kinds = rule_classes(f)
+    rules = stored(overlapping_rules(kinds), "rules")
+    found = C.condensed(rules, f, ROW_FEATURES, "grp", kinds)
     return found.select("row_id", F.array_join(F.col("centers").cast("array<string>"), ",").alias("centers"))
 
 
@@ -289,9 +295,8 @@ def o05(spark, d):
     """The first pick of the greedy cover: the rule with most rows, of equals the smallest."""
     from netquarry.session import stored
 
-    f = rule_frame(spark, d)
-    rules = fixed_rules(f)
-    rows = stored(C.rule_rows(rules, C.long_items(f, ROW_FEATURES)), "rows")
-    weights = rows.select("row_id").distinct().withColumn("weight", F.lit(1.0))
-    rule, gain, _ = C.best_rule(rows, weights, rows.groupBy("rule_id").agg(F.count("*").cast("double").alias("gain")))
+    kinds = rule_classes(rule_frame(spark, d))
+    rows = stored(C.rule_rows(fixed_rules(kinds), C.long_items(kinds, ROW_FEATURES)), "rows")
+    weights = kinds.select("row_id", F.col("n").cast("double").alias("weight"))
+    rule, gain, _ = C.best_rule(rows, weights, rows.join(weights, "row_id").groupBy("rule_id").agg(F.sum("weight").alias("gain")))
     return spark.createDataFrame([(rule, gain)] if rule is not None else [], "rule_id long, gain double")

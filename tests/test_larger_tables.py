@@ -179,3 +179,35 @@ def test_pairs_of_a_hub_are_not_shuffled(spark):
     before = written()
     assert G.shared_subnet_without_vlan(adj, "interface", "acl", "vlan").count() == n * n // 4
     assert written() - before < 30e6
+
+
+def test_rules_meet_classes_of_rows(spark):
+    """Two hundred thousand rows of twelve kinds: rules are matched with the kinds, so little is shuffled; nulls are kinds too."""
+    from pyspark.sql import functions as F
+
+    from netquarry.operators import contrast as C
+
+    n = 200_000
+    frame = spark.range(n).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("f"), (F.floor(F.col("id") / 3) % 2).alias("g"), F.when(F.floor(F.col("id") / 6) % 2 == 0, "x").otherwise("y").alias("grp"))
+    rules = spark.createDataFrame([(1, ["f=>1"], "x"), (2, ["f=>1", "g=>0"], "y"), (3, ["g=>1"], "x")], "rule_id long, rule array<string>, grp string")
+    has = {1: lambda f, g: f == 1, 2: lambda f, g: f == 1 and g == 0, 3: lambda f, g: g == 1}
+    group = {1: "x", 2: "y", 3: "x"}
+    rows = [(i, i % 3 or None, i // 3 % 2, "y" if i // 6 % 2 else "x") for i in range(n)]
+    met = [(i, r, grp) for i, f, g, grp in rows for r in has if has[r](f, g)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    bad = C.violations(rules, frame, ["f", "g"], "grp")
+    assert bad.count() == bad.distinct().count() == sum(group[r] != grp for _, r, grp in met)
+    assert {(r["rule_id"], r["matched"], r["covered"]) for r in C.coverage(rules, frame, ["f", "g"], "grp").collect()} == {(k, sum(r == k for _, r, _ in met), sum(r == k and grp == group[k] for _, r, grp in met)) for k in has}
+    hit = {i for i, r, grp in met if grp == group[r]}
+    assert {r["row_id"] for r in C.uncovered_rows(rules, frame, ["f", "g"], "grp").collect()} == set(range(n)) - hit
+    got = {r["row_id"]: sorted(r["centers"]) for r in C.condensed(rules, frame, ["f", "g"], "grp").collect()}
+    broken = {}
+    for i, r, grp in met:
+        if grp != group[r]:
+            broken.setdefault(i, set()).add(r)
+    assert got.keys() == broken.keys() and all(set(c) <= broken[i] for i, c in got.items())
+    # The count of distinct rows above shuffles about 2 MB itself.
+    assert written() - before < 6e6
+    kinds = C.classes(frame, ["f", "g"], "grp")
+    assert C.spanning_rules(C.rule_rows(rules, C.long_items(kinds, ["f", "g"])), 0.01, sizes=kinds) == C.spanning_rules(C.rule_rows(rules, C.long_items(frame, ["f", "g"])), 0.01)
