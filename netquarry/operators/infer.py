@@ -7,6 +7,7 @@ object as an array. All inference is on that table; levels are walked from the r
 from __future__ import annotations
 
 import json
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from netquarry.functions import ip as ipf
 from netquarry.functions.text import keywords, longest_shared
-from netquarry.session import stored
+from netquarry.session import parts_for, stored
 
 KEYS = "doc string, parent array<string>, key string, container string, leaf string"
+#: Keys that a Python worker gathers before it hands them on.
+KEYS_AT_ONCE = 10_000
 #: Types kept however few names they have, and types of free text.
 PRESERVED, DESCRIPTIONS = ("_address", "_description"), ("description", "comment", "remark")
 
@@ -24,26 +27,30 @@ PRESERVED, DESCRIPTIONS = ("_address", "_description"), ("description", "comment
 def flatten_json(documents: DataFrame) -> DataFrame:
     """Keys of (doc, json) rows: container is dict, list or null; list elements are keys of their list. Broken JSON gives no rows."""
 
+    columns = ["doc", "parent", "key", "container", "leaf"]
+    kinds = [pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string()]
+
+    def keys_of(doc, text):
+        try:
+            root = json.loads(text) if text else None
+        except ValueError:
+            return
+        todo = [((), root)]
+        while todo:
+            path, value = todo.pop()
+            pairs = value.items() if isinstance(value, dict) else ((str(x), None) for x in value if not isinstance(x, dict | list)) if isinstance(value, list) else ()
+            for k, v in pairs:
+                kind = "dict" if isinstance(v, dict) else "list" if isinstance(v, list) else None
+                yield doc, path, k, kind, None if kind or v is None or isinstance(v, bool) else str(v)
+                if kind:
+                    todo.append(((*path, k), v))
+
     def run(batches):
+        # A worker holds one document and KEYS_AT_ONCE keys, however many documents a batch has.
         for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    root = json.loads(text) if text else None
-                except ValueError:
-                    continue
-                todo = [((), root)]
-                while todo:
-                    path, value = todo.pop()
-                    pairs = value.items() if isinstance(value, dict) else ((str(x), None) for x in value if not isinstance(x, dict | list)) if isinstance(value, list) else ()
-                    for k, v in pairs:
-                        kind = "dict" if isinstance(v, dict) else "list" if isinstance(v, list) else None
-                        out.append((doc, list(path), k, kind, None if kind or v is None or isinstance(v, bool) else str(v)))
-                        if kind:
-                            todo.append(((*path, k), v))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc", "parent", "key", "container", "leaf"])
+            found = (row for k in range(batch.num_rows) for row in keys_of(batch.column(0)[k].as_py(), batch.column(1)[k].as_py()))
+            while some := list(islice(found, KEYS_AT_ONCE)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], columns)
 
     return documents.select(F.col("doc").cast("string"), F.col("json").cast("string")).mapInArrow(run, KEYS)
 
@@ -88,21 +95,24 @@ def mixed_parts(keys: DataFrame) -> DataFrame:
 def extract_symbols(keys: DataFrame, max_depth: int = 1000) -> DataFrame:
     """doc, path, type, name of every symbol: names under name kinds, pairs "type name", and leaf values by their key.
 
-    Levels are walked until one is empty; documents that are nested deeper than max_depth raise.
+    Levels are walked until one is empty; documents that are nested deeper than max_depth raise. Keys meet in parts that do not grow with
+    the table; what is told of signatures is written, so that the optimizer knows how small it is and does not gather a signature's keys.
     """
+    keys = stored(keys, "keys")
+    parts = parts_for(keys.count(), keys.sparkSession)
     level = keys.where(F.size("parent") == 0).select("doc", "parent", F.lit("").alias("signature"), F.lit("root").alias("last"), "key", "container", "leaf")
     found = None
     for _ in range(max_depth):
         level = stored(level)
         if level.isEmpty():
-            return found.distinct() if found is not None else _no_symbols(keys)
-        instances = level.groupBy("signature").agg(F.count_distinct(F.struct("doc", "parent")).alias("instances"))
+            return found.repartition(parts, "doc", "path").distinct() if found is not None else _no_symbols(keys)
+        instances = stored(level.groupBy("signature").agg(F.count_distinct(F.struct("doc", "parent")).alias("instances")), "instances")
         below = keys.select(F.col("doc").alias("d"), F.col("parent").alias("p"), F.col("key").alias("sub"))
         single = level.join(instances.where("instances = 1"), "signature", "left_semi")
         seen = single.join(below, (F.col("doc") == F.col("d")) & (F.concat("parent", F.array("key")) == F.col("p")), "left")
         one = single_keykinds(seen.select("signature", "key", "container", "sub")).withColumnRenamed("kind", "one")
         kinds = keykinds(level.select("signature", F.struct("doc", "parent").alias("instance"), "key")).select("signature", "kind").join(one, "signature", "left").select("signature", F.coalesce("one", "kind").alias("kind"))
-        marked = level.join(kinds, "signature")
+        marked = level.join(stored(kinds, "kinds"), "signature")
         words = F.split("key", " ", 2)
         paired = F.col("kind").isin("pair", "mixed") & (F.size(words) == 2)
         named = F.col("kind") == "name"
@@ -114,7 +124,7 @@ def extract_symbols(keys: DataFrame, max_depth: int = 1000) -> DataFrame:
         found = own if found is None else found.unionByName(own)
         step = F.when(named, F.lit("*")).when(paired, F.concat(words[0], F.lit(" *"))).otherwise(F.col("key"))
         children = marked.where("container is not null").select(F.col("doc").alias("d"), path.alias("p"), F.concat_ws("/", "signature", step).alias("signature"), F.when(named, F.col("last")).when(paired, words[0]).otherwise(F.col("key")).alias("last"))
-        level = keys.join(children, (F.col("doc") == F.col("d")) & (F.col("parent") == F.col("p"))).select("doc", "parent", "signature", "last", "key", "container", "leaf")
+        level = keys.repartition(parts, "doc", "parent").join(children, (F.col("doc") == F.col("d")) & (F.col("parent") == F.col("p"))).select("doc", "parent", "signature", "last", "key", "container", "leaf")
     raise RuntimeError(f"documents are nested deeper than {max_depth} levels")
 
 
@@ -183,10 +193,12 @@ def relationships(symbols: DataFrame) -> DataFrame:
     """src_type, src_name, dst_type, dst_name, docs: each symbol with the nearest symbol that encloses it."""
     inner = symbols.select("doc", "path", "type", "name").distinct().withColumn("id", F.monotonically_increasing_id())
     inner = stored(inner)
+    parts = parts_for(inner.count(), inner.sparkSession)
     ancestors = inner.where(F.size("path") > 1).select("id", "doc", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))).alias("path"))
     outer = inner.select("doc", "path", F.col("type").alias("dst_type"), F.col("name").alias("dst_name"))
-    met = ancestors.join(outer, ["doc", "path"]).groupBy("id").agg(F.max(F.struct(F.size("path").alias("n"), "dst_type", "dst_name")).alias("x"))
-    return met.join(inner.select("id", "doc", "type", "name"), "id").groupBy(F.col("type").alias("src_type"), F.col("name").alias("src_name"), F.col("x.dst_type").alias("dst_type"), F.col("x.dst_name").alias("dst_name")).agg(F.count_distinct("doc").alias("docs"))
+    met = ancestors.repartition(parts, "doc", "path").join(outer, ["doc", "path"]).repartition(parts, "id").groupBy("id").agg(F.max(F.struct(F.size("path").alias("n"), "dst_type", "dst_name")).alias("x"))
+    pairs = met.join(inner.select("id", "doc", "type", "name"), "id").select("doc", F.col("type").alias("src_type"), F.col("name").alias("src_name"), F.col("x.dst_type").alias("dst_type"), F.col("x.dst_name").alias("dst_name"))
+    return pairs.repartition(parts, "src_name", "dst_name").groupBy("src_type", "src_name", "dst_type", "dst_name").agg(F.count_distinct("doc").alias("docs"))
 
 
 def relationship_graph(related: DataFrame) -> DataFrame:

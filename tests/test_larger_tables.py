@@ -211,3 +211,39 @@ def test_rules_meet_classes_of_rows(spark):
     assert written() - before < 6e6
     kinds = C.classes(frame, ["f", "g"], "grp")
     assert C.spanning_rules(C.rule_rows(rules, C.long_items(kinds, ["f", "g"])), 0.01, sizes=kinds) == C.spanning_rules(C.rule_rows(rules, C.long_items(frame, ["f", "g"])), 0.01)
+
+
+def test_a_worker_hands_keys_on(spark):
+    """Two documents of thirty thousand keys in one batch: no more than KEYS_AT_ONCE are gathered."""
+    import json
+
+    import pyarrow as pa
+
+    from netquarry.operators import infer as I
+
+    class Documents:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    texts = [json.dumps({"a": {f"k{k}": str(k) for k in range(30_000)}}), "{broken", None, json.dumps({"b": ["x"]})]
+    found = list(I.flatten_json(Documents())([pa.RecordBatch.from_pydict({"doc": ["1", "2", "3", "4"], "json": texts})]))
+    assert sum(b.num_rows for b in found) == 30_003 and max(b.num_rows for b in found) <= 10_000
+    assert found[-1].to_pylist()[-1] == {"doc": "4", "parent": ["b"], "key": "x", "container": None, "leaf": None}
+
+
+def test_keys_of_a_signature_are_not_gathered(spark, monkeypatch):
+    """Keys are read from a written table and shuffled in as many parts as there are rows for."""
+    from netquarry import session
+    from netquarry.operators import infer as I
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 10)
+    keys = I.flatten_json(spark.createDataFrame([("1", '{"interfaces": {' + ", ".join(f'"i{k}": {{"acl": "a{k % 2}"}}' for k in range(100)) + "}}")], "doc string, json string"))
+    symbols = I.extract_symbols(keys)
+    plan = symbols._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and ", 21)" in plan
+    related = I.relationships(symbols)
+    assert ", 20)" in related._jdf.queryExecution().toString()
+    assert {tuple(r) for r in related.collect()} == {("acl", f"a{k % 2}", "interfaces", f"i{k}", 1) for k in range(100)}
