@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netquarry.functions import ip as ipf
 from netquarry.functions import text as T
 from netquarry.functions.rules import additional_metrics, rule_group, rule_items
+from netquarry.operators.nearest import hamming_pairs
 from netquarry.plans import bindings as B
 from netquarry.plans.registry import query
 
@@ -145,8 +146,7 @@ def f19(spark, d):
 @query("f16_hamming", "SELECT a.vec_id AS a, b.vec_id AS b, len(list_filter(range(1, 65), lambda i: (a.embedding[i] > 0) <> (b.embedding[i] > 0))) / 64.0 AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def f16(spark, d):
     e = B.table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x > 0).alias("bits"))
-    left, right = e.select(F.col("vec_id").alias("a"), "label", F.col("bits").alias("x")), e.select(F.col("vec_id").alias("b"), "label", F.col("bits").alias("y"))
-    return left.join(right, "label").where("a < b").select("a", "b", T.hamming(F.col("x"), F.col("y")).alias("distance"))
+    return hamming_pairs(e, "label")
 
 
 @query("f20_regex_found", "SELECT p_type AS k, count(*) FILTER (regexp_matches(p_name, 'r[ei]')) AS hits FROM part GROUP BY 1")

@@ -177,3 +177,34 @@ def test_similar_pairs_are_chosen_before_the_shuffle(spark):
     before = written()
     assert N.similar_pairs(df, 0.8).count() > 20_000
     assert written() - before < 8e6
+
+
+def test_vectors_far_from_all_meet_in_cells(spark, monkeypatch):
+    """Random vectors of several groups: most have no neighbour that one flipped bit finds; the shuffle stays small."""
+    from netquarry.operators import nearest as R
+
+    monkeypatch.setattr(R, "CELL_SIDE", 300)
+    rng = random.Random(9)
+    rows = {i: rng.getrandbits(64) for i in range(1000)}
+    df = spark.createDataFrame([(i, [bool(x >> k & 1) for k in range(64)]) for i, x in rows.items()], "vec_id long, v array<boolean>")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    got = {r["id"]: (r["nearest"], r["distance"] * 64) for r in R.nearest_by_hamming(df, 64).collect()}
+    assert written() - before < 10e6
+    assert got == {i: min(((x ^ y).bit_count(), j) for j, y in rows.items() if j != i)[::-1] for i, x in rows.items()}
+
+
+def test_pairs_of_packed_bits(spark):
+    """Unknown bits, lengths that differ, more than one word; bits are not compared one by one."""
+    from netquarry.functions.text import hamming
+    from netquarry.operators.nearest import hamming_pairs
+
+    rng = random.Random(3)
+    rows = [(i, i % 3, [rng.choice([True, False, None]) for _ in range(rng.choice([1, 63, 64, 65, 70]))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, bits array<boolean>")
+    from pyspark.sql import functions as F
+
+    x, y = df.toDF("a", "label", "x"), df.toDF("b", "label", "y")
+    want = x.join(y, "label").where("a < b").select("a", "b", hamming(F.col("x"), F.col("y")))
+    got = hamming_pairs(df, "label")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and "zip_with" not in got._jdf.queryExecution().toString()
