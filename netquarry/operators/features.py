@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from netquarry.functions import ip as ipf
 from netquarry.session import stored
@@ -35,7 +36,14 @@ def neighbor_features(adj: DataFrame, kind: str, nbr_kind: str, flags: bool = Fa
 
 def vocabulary(words: DataFrame, n: int = TOP_WORDS) -> DataFrame:
     """word, count of the n most frequent words of (word, seq); of equally frequent ones those that were seen first."""
-    counted = words.groupBy("word").agg(F.count("*").alias("count"), F.min("seq").alias("first"))
+    kind = words.schema["seq"].dataType
+    if isinstance(kind, StructType):
+        # The least struct of a word would sort all rows; least last fields are hashed, and few rows are left to compare.
+        *head, last = kind.names
+        parts = words.select("word", *[F.col(f"seq.{c}").alias(f"_{c}") for c in kind.names]).groupBy("word", *[f"_{c}" for c in head]).agg(F.count("*").alias("n"), F.min(f"_{last}").alias(f"_{last}"))
+        counted = parts.groupBy("word").agg(F.sum("n").alias("count"), F.min(F.struct(*[f"_{c}" for c in kind.names])).alias("first"))
+    else:
+        counted = words.groupBy("word").agg(F.count("*").alias("count"), F.min("seq").alias("first"))
     return counted.orderBy(F.desc("count"), "first", "word").limit(n).select("word", "count")
 
 

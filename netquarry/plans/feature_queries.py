@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netquarry.operators import features as X
 from netquarry.plans import bindings as B
 from netquarry.plans.registry import query
+from netquarry.session import stored
 
 WORDS_SQL = f"""{B.INTERFACES_SQL}, {B.IFACE_KEYWORDS_SQL},
 vocabulary AS (SELECT word, count(*) AS n FROM iface_keywords GROUP BY word ORDER BY count(*) DESC, min({{'d': device, 'i': iface, 'w': word}}), word LIMIT 14),
@@ -25,7 +26,7 @@ frame AS (
 
 def words(spark, d):
     k = B.iface_keywords(spark, d)
-    return k.select(F.col("iface").alias("row"), "word", F.struct("device", "iface", "word").alias("seq"))
+    return k.select(F.col("iface").alias("row"), "word", F.struct("device", "iface").alias("seq"))
 
 
 def groups(spark, d):
@@ -35,7 +36,7 @@ def groups(spark, d):
 def interface_frame(spark, d):
     i = B.interfaces(spark, d).withColumn("row", F.col("iface"))
     vlans = i.select(F.col("row").alias("id"), F.lit("interface").alias("type"), F.col("device").cast("string").alias("nbr"), F.lit("vlan").alias("nbr_type"))
-    w = words(spark, d)
+    w = stored(words(spark, d), "words")
     return X.frame(
         X.neighbor_features(vlans, "interface", "vlan", flags=True),
         X.word_features(w, X.vocabulary(w)),
@@ -88,8 +89,8 @@ UNION ALL SELECT x.f || '=>' || x.v || '|' || y.f || '=>' || y.v, x.grp, count(*
 )
 def a10_one_hot(spark, d):
     """Rules with the zeros of one-hot words, which the frame does not store."""
-    w = words(spark, d)
-    known = X.vocabulary(w)
+    w = stored(words(spark, d), "words")
+    known = stored(X.vocabulary(w), "vocabulary")
     learned = X.learn_one_hot(X.word_features(w, known), groups(spark, d), known.select(F.col("word").alias("feature")))
     return learned.withColumn("rule", F.array_join("rule", "|"))
 
@@ -103,9 +104,10 @@ FROM interfaces JOIN ladder ON ladder.row = iface GROUP BY iface, device, in_acl
 )
 def k07(spark, d):
     """The wide frame of an interface table and its words, as it is exported: addresses, ACL, prefixes, the most frequent words."""
-    i, w = B.interfaces(spark, d).withColumn("row", F.col("iface")), words(spark, d)
-    known = X.vocabulary(w)
-    top = [r["word"] for r in known.collect()]
+    i, w = B.interfaces(spark, d).withColumn("row", F.col("iface")), stored(words(spark, d), "words")
+    top = [r["word"] for r in X.vocabulary(w).collect()]
+    # As many rows as the vocabulary has.
+    known = spark.createDataFrame([(t,) for t in top], "word string")
     ladder = X.prefix_features(i.select("row", "ip"))
     prefixes = [f"subnet_/{p}" for p in range(X.LADDER[0], X.LADDER[1] + 1)]
     whole = X.wide(X.frame(X.attribute_features(i, "in_acl"), ladder, X.word_features(w, known)), ["in_acl", *prefixes, *top])

@@ -247,3 +247,19 @@ def test_keys_of_a_signature_are_not_gathered(spark, monkeypatch):
     related = I.relationships(symbols)
     assert ", 20)" in related._jdf.queryExecution().toString()
     assert {tuple(r) for r in related.collect()} == {("acl", f"a{k % 2}", "interfaces", f"i{k}", 1) for k in range(100)}
+
+
+def test_keyword_tables_are_dealt_by_their_size(spark, sf_dir, monkeypatch):
+    """Shuffles of lines have as many parts as there are rows for; frames read the words once; edges are not made distinct as texts."""
+    import re
+
+    from netquarry import session
+    from netquarry.plans import bindings as B
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    parts = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 100)
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert re.search(rf"hashpartitioning\(iface#\d+L?, {parts}\)", plan(B.iface_keywords(spark, sf_dir)))
+    assert not re.search(r"HashAggregate\(keys=\[src#", plan(B.part_edges(spark, sf_dir)))
+    assert "lineitem.parquet" not in plan(entry.queries()["a10_learn_one_hot"](spark, sf_dir))
+    assert "SortAggregate" not in plan(entry.queries()["a17_vocabulary"](spark, sf_dir)).split("HashAggregate(keys=[word", 2)[-1]
