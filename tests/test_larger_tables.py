@@ -263,3 +263,15 @@ def test_keyword_tables_are_dealt_by_their_size(spark, sf_dir, monkeypatch):
     assert not re.search(r"HashAggregate\(keys=\[src#", plan(B.part_edges(spark, sf_dir)))
     assert "lineitem.parquet" not in plan(entry.queries()["a10_learn_one_hot"](spark, sf_dir))
     assert "SortAggregate" not in plan(entry.queries()["a17_vocabulary"](spark, sf_dir)).split("HashAggregate(keys=[word", 2)[-1]
+
+
+def test_names_of_a_customer_are_not_hashed(spark, sf_dir):
+    """A task hashes the few words of its customers, not all names of their parts."""
+    import re
+
+    from netquarry.plans import bindings as B
+
+    words = B.iface_keywords(spark, sf_dir)
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*name#", plan) and re.search(r"Aggregate\(keys=\[iface#\d+L?, word#", plan)
+    assert words.count() == words.distinct().count() > 0
