@@ -148,8 +148,14 @@ def keyword_exceptions(keywords: DataFrame, interfaces: DataFrame, rules: DataFr
 
 
 def keyword_stanzas(keywords: DataFrame) -> DataFrame:
-    """word, owners, devices: how many interfaces and devices have a word."""
-    return keywords.groupBy("word").agg(F.count_distinct("device", "iface").alias("owners"), F.count_distinct("device").alias("devices"))
+    """word, owners, devices: how many interfaces and devices have a word.
+
+    Owners are counted for each device first, so a word's owners are not doubled and dealt again for its devices.
+    """
+    owned = keywords.select("word", "device", "iface").distinct()
+    by_device = owned.groupBy("word", "device").agg(F.count("iface").alias("n"))
+    owners = F.sum(F.when(F.col("device").isNotNull(), F.col("n")).otherwise(0))
+    return by_device.groupBy("word").agg(owners.alias("owners"), F.count("device").alias("devices"))
 
 
 def keyword_owners(keywords: DataFrame) -> DataFrame:

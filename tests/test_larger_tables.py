@@ -275,3 +275,25 @@ def test_names_of_a_customer_are_not_hashed(spark, sf_dir):
     plan = words._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Aggregate\(keys=\[[^\]]*name#", plan) and re.search(r"Aggregate\(keys=\[iface#\d+L?, word#", plan)
     assert words.count() == words.distinct().count() > 0
+
+
+def test_owners_of_a_word_are_not_dealt_again(spark):
+    """Words that lie by interface are counted where they lie; rows given twice and unnamed owners count as SQL counts them."""
+    from pyspark.sql import functions as F
+
+    from netquarry.operators import associations as A
+
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    n = 100_000
+    row = spark.range(n).select((F.col("id") % 5).alias("device"), F.col("id").alias("iface"))
+    dealt = row.repartition(8, "iface")
+    before = written()
+    dealt.groupBy("iface").count().count()
+    own = written() - before
+    words = dealt.select("device", "iface", F.explode(F.array(*[F.lit(f"w{k}") for k in range(10)])).alias("word"))
+    before = written()
+    assert {tuple(r) for r in A.keyword_stanzas(words).collect()} == {(f"w{k}", n, 5) for k in range(10)}
+    assert written() - before < 2 * own
+    rows = [("a", 1, 1), ("a", 1, 1), ("a", 1, 2), ("a", 2, 1), ("a", None, 1), ("a", 3, None), ("b", None, 1), ("b", None, None), ("c", 4, None), (None, 1, 1)]
+    odd = spark.createDataFrame(rows, "word string, device long, iface long")
+    assert {tuple(r) for r in A.keyword_stanzas(odd).collect()} == {("a", 3, 3), ("b", 0, 0), ("c", 0, 1), (None, 1, 1)}
