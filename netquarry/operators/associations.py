@@ -158,6 +158,13 @@ def keyword_stanzas(keywords: DataFrame) -> DataFrame:
     return by_device.groupBy("word").agg(owners.alias("owners"), F.count("device").alias("devices"))
 
 
+def keyword_pairing(interfaces: DataFrame, keywords: DataFrame) -> DataFrame:
+    """device, ifaces, words: interfaces that have a keyword, and how many keywords they have in all. Only an interface's number of keywords is joined."""
+    numbers = keywords.groupBy("device", "iface").agg(F.count("*").alias("n"))
+    paired = interfaces.select("device", "iface").join(numbers, ["device", "iface"])
+    return paired.groupBy("device").agg(F.count_distinct("iface").alias("ifaces"), F.sum("n").alias("words"))
+
+
 def keyword_owners(keywords: DataFrame) -> DataFrame:
     """Inverted index: word, k, device, iface; a word's owners in order, from 0. It is long, so a word that most interfaces have is no row of its own."""
     owned = keywords.select("word", F.struct("device", "iface").alias("owner")).distinct()

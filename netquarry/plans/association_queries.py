@@ -190,5 +190,4 @@ def k06(spark, d):
 
 @query("j01_config_keyword_pairing", f"WITH {B.IFACE_KEYWORDS_SQL}, {B.INTERFACES_SQL} SELECT device, count(DISTINCT i.iface) AS ifaces, count(*) AS words FROM interfaces i JOIN iface_keywords k USING (device, iface) GROUP BY device")
 def j01(spark, d):
-    paired = B.interfaces(spark, d).select("device", "iface").join(B.iface_keywords(spark, d), ["device", "iface"])
-    return paired.groupBy("device").agg(F.count_distinct("iface").alias("ifaces"), F.count("*").alias("words"))
+    return A.keyword_pairing(B.interfaces(spark, d), B.iface_keywords(spark, d))

@@ -297,3 +297,22 @@ def test_owners_of_a_word_are_not_dealt_again(spark):
     rows = [("a", 1, 1), ("a", 1, 1), ("a", 1, 2), ("a", 2, 1), ("a", None, 1), ("a", 3, None), ("b", None, 1), ("b", None, None), ("c", 4, None), (None, 1, 1)]
     odd = spark.createDataFrame(rows, "word string, device long, iface long")
     assert {tuple(r) for r in A.keyword_stanzas(odd).collect()} == {("a", 3, 3), ("b", 0, 0), ("c", 0, 1), (None, 1, 1)}
+
+
+def test_numbers_of_keywords_are_paired(spark, sf_dir):
+    """Where interfaces are too large for a broadcast, an interface's number of keywords is dealt to them, not each keyword."""
+    import re
+
+    from netquarry.operators import associations as A
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = entry.queries()["j01_config_keyword_pairing"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    dealt = [below for line, below in zip(lines, lines[1:]) if re.search(r"Exchange hashpartitioning\(device#\d+L?, iface#\d+L?, ", line)]
+    assert len(dealt) == 2 and sum("Aggregate(keys=[device#" in x for x in dealt) == 1
+    interfaces = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (None, 1), (3, 1)], "device long, iface long")
+    words = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 2, "a"), (2, 1, None), (None, 1, "a"), (4, 1, "a")], "device long, iface long, word string")
+    assert {tuple(r) for r in A.keyword_pairing(interfaces, words).collect()} == {(1, 2, 5), (2, 1, 1)}
