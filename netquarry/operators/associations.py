@@ -161,7 +161,8 @@ def keyword_stanzas(keywords: DataFrame) -> DataFrame:
 def keyword_pairing(interfaces: DataFrame, keywords: DataFrame) -> DataFrame:
     """device, ifaces, words: interfaces that have a keyword, and how many keywords they have in all. Only an interface's number of keywords is joined."""
     numbers = keywords.groupBy("device", "iface").agg(F.count("*").alias("n"))
-    paired = interfaces.select("device", "iface").join(numbers, ["device", "iface"])
+    # Broadcast, either would be held by each task whole.
+    paired = interfaces.select("device", "iface").hint("merge").join(numbers, ["device", "iface"])
     return paired.groupBy("device").agg(F.count_distinct("iface").alias("ifaces"), F.sum("n").alias("words"))
 
 

@@ -316,3 +316,10 @@ def test_numbers_of_keywords_are_paired(spark, sf_dir):
     interfaces = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (None, 1), (3, 1)], "device long, iface long")
     words = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 2, "a"), (2, 1, None), (None, 1, "a"), (4, 1, "a")], "device long, iface long, word string")
     assert {tuple(r) for r in A.keyword_pairing(interfaces, words).collect()} == {(1, 2, 5), (2, 1, 1)}
+
+
+def test_interfaces_are_not_held_whole(spark, sf_dir):
+    """Tables of a row an interface grow with the input: a task gets its part of them, however small their files are."""
+    for name in ("j01_config_keyword_pairing", "a17_vocabulary"):
+        plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin [iface#" in x or "BroadcastHashJoin [device#" in x] and "SortMergeJoin" in plan
