@@ -323,3 +323,32 @@ def test_interfaces_are_not_held_whole(spark, sf_dir):
     for name in ("j01_config_keyword_pairing", "a17_vocabulary"):
         plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not [x for x in plan.splitlines() if "BroadcastHashJoin [iface#" in x or "BroadcastHashJoin [device#" in x] and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("grid", [[], [0.5, 0.6, 0.7, 0.8]])
+def test_links_are_offered_within_cells(spark, monkeypatch, grid):
+    """What similar nodes offer, folded in cells, is what their pairs give, with alike nodes, a third type, unshared neighbours and several cells."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from netquarry.operators import graph as G
+
+    monkeypatch.setattr(G, "CELL_SIDE", 10)
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        own = rng.sample(range(40), rng.randint(18, 34))
+        for twin in range(rng.choice([1, 1, 3])):
+            node = f"n{k}_{twin}"
+            rows += [(node, "vlan", f"interface{x}", "interface") for x in own] + [(node, "vlan", f"acl{k % 4}", "acl")] * (k % 7 > 0)
+            rows += [(node, "vlan", f"word{k % 5}", "keyword")] * (k % 3 > 0) + [(node, "vlan", f"n{(k + 1) % 60}_0", "vlan")] * (k % 6 == 0) + [(node, "vlan", f"interface_{node}", "interface")] * (k % 9 == 0)
+    adj = spark.createDataFrame(rows, "id string, type string, nbr string, nbr_type string")
+    weights = {"interface": 0.75, "acl": 0.25}
+    alike = G.similar_nodes(adj, "vlan", weights, 0.5)
+    score = F.array_max(F.filter(F.array(*map(F.lit, grid)).cast("array<double>"), lambda t: t <= F.round(F.least("pa", "pb"), 9)))
+    want = {tuple(r) for r in G.scored_links(adj, alike.select("a", "b", score.alias("score"))).collect()}
+    monkeypatch.setattr(G, "similar_nodes", None)
+    got = G.similar_links(adj, "vlan", weights, 0.5, grid).collect()
+    assert len(got) == len(want) > 500
+    assert {tuple(r) for r in got} == want
