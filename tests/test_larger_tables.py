@@ -352,3 +352,17 @@ def test_links_are_offered_within_cells(spark, monkeypatch, grid):
     got = G.similar_links(adj, "vlan", weights, 0.5, grid).collect()
     assert len(got) == len(want) > 500
     assert {tuple(r) for r in got} == want
+
+
+def test_members_of_a_class_come_in_few_lists(spark, monkeypatch):
+    """Two thousand interfaces of one ACL and VLAN are one list: what is dealt for their pairs is a row a pair of lists."""
+    from netquarry.operators import paths as P
+
+    lists = []
+    kept = P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name="table": lists.append((name, kept(df, name))) or lists[-1][1])
+    adj = _site(spark, {(f"i{k}", end) for k in range(2000) for end in ("a0", "v0")})
+    found = P.simple_paths(adj, 3, "acl")
+    (members,) = [x for name, x in lists if name == "members"]
+    assert members.count() == 1
+    assert found.count() == 2000
