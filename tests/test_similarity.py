@@ -208,3 +208,27 @@ def test_pairs_of_packed_bits(spark):
     want = x.join(y, "label").where("a < b").select("a", "b", hamming(F.col("x"), F.col("y")))
     got = hamming_pairs(df, "label")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and "zip_with" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("p,q", [(0.5, 2.0), (4.0, 0.25), (1.0, 3.0)])
+def test_few_draws_are_looked_up(spark, monkeypatch, p, q):
+    """A step of walks on a hub's leaves joins few draws a walk, in one or two rounds, and has the weights of its edges."""
+    from collections import Counter
+
+    from netquarry.operators import node2vec as N
+
+    tables = []
+    kept = N.stored
+    monkeypatch.setattr(N, "stored", lambda df, name="table": tables.append((name, kept(df, name))) or tables[-1][1])
+    edges = [(f"leaf{k}", "hub") for k in range(40)] + [("leaf0", "leaf1"), ("leaf0", "leaf2")]
+    adj = spark.createDataFrame(edges + [(b, a) for a, b in edges], "id string, nbr string")
+    found = [r["path"] for r in N.random_walks(adj, 3, 400, p, q).collect()]
+    assert len(found) == 41 * 400 and all(len(x) == 3 for x in found)
+    met = [x.count() for name, x in tables if name == "met"]
+    assert 1 <= len(met) <= 2 and sum(met) < 5 * len(found)
+    came = Counter(x[2] for x in found if x[:2] == ["leaf0", "hub"])
+    n = sum(came.values())
+    whole = 1 / p + 2 + 37 / q
+    for want, got in ((1 / p, came["leaf0"]), (2, came["leaf1"] + came["leaf2"]), (37 / q, n - came["leaf0"] - came["leaf1"] - came["leaf2"])):
+        share = want / whole
+        assert abs(got - n * share) < 5 * (n * share * (1 - share)) ** 0.5 + 1
